@@ -71,20 +71,16 @@ def _texts(words: str, starts: Column, n: int) -> Column:
 def item_windows(items: DataFrame, id_col: str, text_col: str, span: int = SPAN) -> DataFrame:
     """(item, n, window, fp): all runs of span words of each item, or its words if fewer.  Items without id are left out."""
     rows = items.select(quoted(id_col).cast("string").alias("item"), words_of(quoted(text_col)).alias("_w"))
-    rows = rows.where("item is not null").withColumn("_n", F.size("_w")).where("_n > 0")
+    rows = stored(rows.where("item is not null").withColumn("_n", F.size("_w")), "item-words").where("_n > 0")
+    w = F.col("_w")
     long = _windowed(rows.where(F.col("_n") >= span), span, [])
-    long = long.select("item", F.arrays_zip(_texts("_w", _starts(f"_m{span}"), span).alias("t"), F.col(f"_m{span}").alias("fp")).alias("z"))
-    long = long.select("item", F.explode("z").alias("z")).select("item", F.lit(span).alias("n"), "z.t.window", "z.fp")
-    short = rows.where(F.col("_n") < span)
+    pairs = F.transform(F.col(f"_m{span}"), lambda x, i: F.struct(F.concat_ws(" ", *_run(w, i, span)).alias("window"), x.alias("fp")))
+    out = long.select("item", F.lit(span).alias("n"), F.inline(pairs))
+    whole = F.lit(None).cast("long")
     for n in range(1, span):
-        one = short.where(F.col("_n") == n)
-        one = one.select("item", F.lit(n).alias("n"), F.concat_ws(" ", "_w").alias("window"), gram_hashes("_w", "_n", n)[0].alias("fp"))
-        long = long.unionByName(one)
-    return long.distinct()
-
-
-def _starts(values: str) -> Column:
-    return F.transform(F.col(values), lambda x, i: i)
+        whole = F.when(F.col("_n") == n, F.xxhash64(F.lit(n), *[F.get(w, F.lit(j)) for j in range(n)])).otherwise(whole)
+    short = rows.where(F.col("_n") < span).select("item", F.col("_n").alias("n"), F.concat_ws(" ", "_w").alias("window"), whole.alias("fp"))
+    return out.unionByName(short).distinct()
 
 
 def contamination(
