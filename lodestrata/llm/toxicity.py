@@ -1,6 +1,7 @@
 """Toxicity as severity grades, by cumulative-link ordinal regression on sparse text features.
 
-Features are the distinct words of a text, their beginnings and their endings, hashed into SPACE columns.  One weight
+Features are the distinct words of a text, their beginnings and their endings, named by 63-bit hashes (so that in practice no
+two share one), and one column for having any of those that the fit knows.  One weight
 vector w serves all thresholds: P(grade > k) = sigmoid(w . x - t_k) with t_0 <= t_1 <= ...; the expected severity is
 the sum of these probabilities.  An L1 penalty leaves weights only where the labels ask for them.
 
@@ -22,10 +23,11 @@ from lodestrata.llm.common import bounded_sample, fresh, map_text, quoted, sigmo
 
 #: Labelled documents of each class that the fit sees.
 SAMPLE_PER_CLASS = 2500
-SPACE = 1 << 20
+#: The column of having any known feature.
+ANY = -1
 GRADES = 4
-#: Features that the fit keeps: those whose frequencies differ most between the classes.
-SCREENED = 20_000
+#: Features that the fit keeps: at most SCREENED, at least ODDS times as frequent under label 1, by SURE standard errors.
+SCREENED, ODDS, SURE = 20_000, 100.0, 6.0
 #: Expected severity from which a document is rejected.
 REJECT = 0.5
 MEMORY_WORDS = 400_000
@@ -38,7 +40,7 @@ def word_features(word: str) -> list[int]:
     import xxhash
 
     parts = ["=" + word] + ["<" + word[:n] for n in (4, 5, 6) if len(word) > n] + [">" + word[-5:]] * (len(word) > 5)
-    return [xxhash.xxh3_64_intdigest(p) % SPACE for p in parts]
+    return [xxhash.xxh3_64_intdigest(p) >> 1 for p in parts]
 
 
 class _Columns(dict):
@@ -49,7 +51,7 @@ class _Columns(dict):
 
 @dataclass
 class Model:
-    columns: np.ndarray  # rising feature columns that have a weight
+    columns: np.ndarray  # rising feature columns that the fit knows
     weights: np.ndarray
     thresholds: np.ndarray
 
@@ -72,50 +74,62 @@ class Model:
                     f = carried(w)
                 if f:
                     found.update(f)
-            s = sum(weight[f] for f in sorted(found))
+            if found:
+                found.add(ANY)
+            s = sum(weight.get(f, 0.0) for f in sorted(found))
             above = sigmoid(s - self.thresholds)
             return s, float(above.sum()), int((above > 0.5).sum())
 
         return score
 
 
-def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    columns = _Columns()
-    rows, cols, sizes = [], [], []
-    for i, t in enumerate(texts):
-        words = set(_WORD.findall((t or "").lower()))
-        f = np.fromiter({c for w in words for c in columns[w]}, np.int64)
-        rows.append(np.full(len(f), i, np.int64))
-        cols.append(f)
-        sizes.append(len(words))
-    return np.concatenate(rows), np.concatenate(cols), sizes
-
-
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_cols: int, n_grades: int, l1: float = 2e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and rising thresholds of the cumulative-link model for 0/1 features (rows, cols), by accelerated
-    proximal gradient steps.  Classes weigh the same in sum."""
+def _matrix(words: list[set[str]], columns: _Columns) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of every feature of every text."""
+    cols = [np.fromiter({c for w in ws for c in columns[w]}, np.int64) for ws in words]
+    return np.repeat(np.arange(len(cols)), list(map(len, cols))), np.concatenate(cols)
+
+
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_cols: int, n_grades: int, l1: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and rising thresholds of the cumulative-link model for 0/1 features (rows, cols), by Adam steps each
+    followed by soft thresholding; no weight is below 0, so a feature never lowers the severity.  Grade 0 weighs as much as all others, which weigh the same among themselves."""
     n = len(grades)
     count = np.bincount(grades, minlength=n_grades)
-    weight = (1.0 / (np.maximum(count, 1) * max(1, (count > 0).sum())))[grades]
-    w, w_old = np.zeros(n_cols), np.zeros(n_cols)
-    base = np.linspace(1.0, 2.0, n_grades - 1)
-    gaps = np.concatenate([[base[0]], np.full(n_grades - 2, 0.5)])
-    per_row = np.bincount(rows, minlength=n)
-    rate = 4.0 / max(1.0, float(np.average(per_row, weights=weight) * (n_grades - 1)))
+    others = max(1, int((count[1:] > 0).sum()))
+    share = np.array([0.5] + [0.5 / others] * (n_grades - 1))
+    weight = (share / np.maximum(count, 1))[grades]
     target = (grades[:, None] > np.arange(n_grades - 1)[None, :]).astype(float)
-    for k in range(steps):
-        y = w + (k / (k + 3)) * (w - w_old)
-        s = np.bincount(rows, y[cols], n)
-        t = np.cumsum(gaps)
-        error = (sigmoid(s[:, None] - t[None, :]) - target) * weight[:, None]
-        grad = np.bincount(cols, error.sum(axis=1)[rows], n_cols)
-        w_old, w = w, y - rate * grad
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0.0)
-        back = -error.sum(axis=0)  # by threshold
-        gaps = gaps - 2.0 * np.cumsum(back[::-1])[::-1]
+    params = [np.zeros(n_cols), np.array([1.0] + [0.5] * (n_grades - 2))]  # weights; first threshold and the gaps
+    m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    for step in range(1, steps + 1):
+        rate = 0.1 if step <= steps // 2 else 0.03
+        w, gaps = params
+        s = np.bincount(rows, w[cols], n)
+        error = (sigmoid(s[:, None] - np.cumsum(gaps)[None, :]) - target) * weight[:, None]
+        grads = [np.bincount(cols, error.sum(axis=1)[rows], n_cols), -np.cumsum(error.sum(axis=0)[::-1])[::-1]]
+        for p, g, a1, a2 in zip(params, grads, m1, m2):
+            a1 *= 0.9
+            a1 += 0.1 * g
+            a2 *= 0.999
+            a2 += 0.001 * g * g
+            scale = rate / (np.sqrt(a2 / (1 - 0.999**step)) + 1e-6)
+            p -= scale * a1 / (1 - 0.9**step)
+            if p is w:
+                p[:] = np.maximum(p - np.minimum(scale, 50.0) * l1, 0.0)
         gaps[1:] = np.maximum(gaps[1:], 0.0)
-        gaps[0] = max(gaps[0], 0.1)
-    return w, np.cumsum(gaps)
+    return params[0], np.cumsum(params[1])
+
+
+def new_words(texts: list[str], run: int = 5) -> list[set[str]]:
+    """Of each text the words in runs of five that no earlier text has.  Copies and passages that texts share would else
+    pass their chance words for evidence."""
+    seen: set[int] = set()
+    out = []
+    for t in texts:
+        words = _WORD.findall((t or "").lower())
+        runs = [hash(tuple(words[j : j + run])) for j in range(max(1, len(words) - run + 1))]
+        out.append({w for j, h in enumerate(runs) if h not in seen for w in words[j : j + run]})
+        seen.update(runs)
+    return out
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
@@ -124,31 +138,36 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     none = Model(np.zeros(0, np.int64), np.zeros(0), np.linspace(3, 5, GRADES - 1))
     if not (y == 1).any() or not (y == 0).any():
         return none
-    rows, cols, sizes = _matrix(texts)
-    seen1 = np.bincount(cols[y[rows] == 1], minlength=SPACE)
-    seen0 = np.bincount(cols[y[rows] == 0], minlength=SPACE)
+    columns = _Columns()
+    rows, cols = _matrix(new_words(texts), columns)
+    names, cols = np.unique(cols, return_inverse=True)
+    seen1 = np.bincount(cols[y[rows] == 1], minlength=len(names))
+    seen0 = np.bincount(cols[y[rows] == 0], minlength=len(names))
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     p1, p0 = (seen1 + 0.5) / (n1 + 1), (seen0 + 0.5) / (n0 + 1)
     both = (seen1 + seen0 + 1) / (n1 + n0 + 2)
     z = (p1 - p0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
-    chosen = np.flatnonzero((seen1 + seen0 >= 3) & (np.abs(z) >= 2.5))
+    telling = (z >= SURE) & (seen1 * n0 >= ODDS * seen0 * n1)
+    chosen = np.flatnonzero(telling)
     chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:SCREENED]])
     if not len(chosen):
         return none
-    place = np.full(SPACE, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[cols] >= 0
-    rows, cols = rows[keep], place[cols[keep]]
-    telling = (z > 2.5) & (p1 > 4 * p0)
-    share = np.bincount(rows[telling[chosen[cols]]], minlength=len(y)) / np.maximum(1, np.array(sizes))
+    every = [set(_WORD.findall((t or "").lower())) for t in texts]
+    rows, cols = _matrix(every, columns)
+    sizes = list(map(len, every))
+    place = np.searchsorted(names[chosen], cols)
+    keep = names[chosen][np.minimum(place, len(chosen) - 1)] == cols
+    rows, cols = rows[keep], place[keep]
+    share = np.bincount(rows, minlength=len(y)) / np.maximum(1, np.array(sizes))
     grades = np.zeros(len(y), np.int64)
     order = np.lexsort((np.arange(n1), share[y == 1]))
     rank = np.empty(n1, np.int64)
     rank[order] = np.arange(n1)
     grades[y == 1] = 1 + rank * (GRADES - 1) // n1
-    w, t = fit_ordinal(rows, cols, grades, len(chosen), GRADES)
-    has = w != 0
-    return Model(chosen[has], w[has], t)
+    carriers = np.unique(rows)
+    rows, cols = np.concatenate([rows, carriers]), np.concatenate([cols, np.full(len(carriers), len(chosen))])
+    w, t = fit_ordinal(rows, cols, grades, len(chosen) + 1, GRADES)
+    return Model(np.append(names[chosen], ANY), w, t)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
