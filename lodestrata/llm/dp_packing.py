@@ -73,16 +73,20 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> np.ndarray:
 def cut_points(ends: np.ndarray, stops: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and penalties of possible cuts: documents' ends, sentences' ends, and every quarter window of a stretch over a quarter window long without either."""
     total = int(ends[-1])
-    at = np.union1d(np.union1d(ends, stops), [0])
+    at = np.concatenate([[0], ends, stops])
+    penalty = np.zeros(len(at))
+    penalty[1 + len(ends) :] = SENTENCE_PENALTY
+    order = np.argsort(at, kind="stable")  # of equal positions a document's end comes first
+    at, penalty = at[order], penalty[order]
+    first = np.diff(at, prepend=-1) > 0
+    at, penalty = at[first], penalty[first]
     step = window // 4 or 1
-    gap = np.diff(at)
-    wide = np.flatnonzero(gap > step)
-    inside = [np.arange(at[k] + step, at[k + 1], step) for k in wide]
-    if inside:
-        at = np.union1d(at, np.concatenate(inside))
-    penalty = np.full(len(at), INSIDE_PENALTY)
-    penalty[np.isin(at, stops)] = SENTENCE_PENALTY
-    penalty[np.isin(at, ends)] = 0.0
+    wide = np.flatnonzero(np.diff(at) > step)
+    if len(wide):
+        inside = np.concatenate([np.arange(at[k] + step, at[k + 1], step) for k in wide])
+        at, penalty = np.concatenate([at, inside]), np.concatenate([penalty, np.full(len(inside), INSIDE_PENALTY)])
+        order = np.argsort(at, kind="stable")
+        at, penalty = at[order], penalty[order]
     penalty[at == total] = 0.0
     return at, penalty
 

@@ -1,22 +1,22 @@
 """Whole texts as token ids by way of a memory of word parts.
 
-The tokenizer splits at white space before it merges, so a text's ids are its words' ids in a row.  Each distinct
-word is tokenized once a worker; texts are then assembled by array gathers.  A text that holds one of the few control
-characters which Python calls white space and the tokenizer does not is tokenized directly.
+The tokenizer splits at white space before it merges, so a text's ids are its words' ids in a row.  A batch is cut at
+ASCII white space and its words are numbered in Arrow; each distinct word is tokenized once a worker, and the ids of
+the batch are then put together by array gathers.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_ODD = re.compile("[\x1c-\x1f]")
 _STOPS = (".", "!", "?", "。", "！", "？", "…", ":", ";")
 
 #: Distinct words remembered by a worker; beyond it the memory starts anew, which changes no result.
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 1_500_000
 
 _open: dict = {}
 
@@ -47,8 +47,8 @@ class WordIds:
         self.used = 0
 
     def learn(self, words: list[str]) -> None:
-        n0 = len(self.index)
         got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        n0 = len(self.index)
         need, total = n0 + len(words), self.used + sum(map(len, got))
         if need > len(self.size):
             grow = max(need, 2 * len(self.size))
@@ -61,36 +61,35 @@ class WordIds:
             new = np.zeros(max(total, 2 * len(self.pool)), np.int32)
             new[: self.used] = self.pool[: self.used]
             self.pool = new
-        for k, (w, ids) in enumerate(zip(words, got), n0):
-            self.index[w] = k
-            self.begin[k] = self.used
-            self.size[k] = len(ids)
-            self.stop[k] = w.endswith(_STOPS)
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        sizes = list(map(len, got))
+        self.index.update(zip(words, range(n0, need)))
+        self.size[n0:need] = sizes
+        self.begin[n0:need] = self.used + np.cumsum([0, *sizes])[:-1]
+        self.stop[n0:need] = [w.endswith(_STOPS) for w in words]
+        self.pool[self.used : total] = [i for ids in got for i in ids]
+        self.used = total
 
     def __call__(self, texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text its ids and the counts of ids at which sentences end."""
-        split = [(t or "").split() for t in texts]
+        """For each text its ids and the rising counts of ids at which sentences end."""
+        parts = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        coded = parts.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self.index) > MEMORY_WORDS:
             self.clear()
-        index = self.index
-        new = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in index]
-        if new:
-            self.learn(new)
-        out = []
-        for text, ws in zip(texts, split):
-            if text and _ODD.search(text):
-                ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, np.int32)
-                out.append((ids, np.zeros(0, np.int64)))
-                continue
-            at = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
-            size = self.size[at]
-            ends = np.cumsum(size, dtype=np.int64)
-            total = int(ends[-1]) if len(ends) else 0
-            where = np.repeat(self.begin[at] - (ends - size), size) + np.arange(total)
-            out.append((self.pool[where], np.unique(ends[self.stop[at]])))
-        return out
+        known = list(map(self.index.get, words))
+        if None in known:
+            self.learn([w for w, k in zip(words, known) if k is None])
+            known = list(map(self.index.__getitem__, words))
+        at = np.array(known, np.int64)[coded.indices.to_numpy()]
+        size = self.size[at]
+        ends = np.cumsum(size, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.pool[np.repeat(self.begin[at] - (ends - size), size) + np.arange(total)]
+        ends = np.concatenate([[0], ends])
+        cut = ends[parts.offsets.to_numpy()]
+        stops = ends[1:][self.stop[at] & (size > 0)]
+        where = np.searchsorted(stops, cut, "right")
+        return [(ids[a:b], stops[i:j] - a) for a, b, i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), where[:-1].tolist(), where[1:].tolist())]
 
 
 def word_ids(path: str) -> WordIds:
