@@ -114,7 +114,7 @@ def pagerank_fixed_iter(spark, sf):
 def _tracked(spark, sf):
     o = table(spark, sf, "orders")
     return o.select(
-        F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"), F.lit("caused_by").alias("rel"), F.round(F.col("o_totalprice") / 500000, 6).alias("confidence"),
+        F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"), F.lit("caused_by").alias("rel"), (F.col("o_totalprice") / 500000).alias("confidence"),
         (F.col("o_orderkey") % 12).cast("int").alias("traversal_count"), F.when(F.col("o_orderkey") % 12 > 0, (F.col("o_orderkey") % 3).cast("int")).alias("last_tick"),
     )
 
@@ -355,7 +355,7 @@ SELECT seed, node, depth FROM seen WHERE depth = 0 OR seed NOT IN (SELECT seed F
 _PR = _E + ", nd AS (SELECT DISTINCT node FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e)), st AS (SELECT src, dst, conf / sum(conf) OVER (PARTITION BY src) AS p FROM (SELECT src, dst, sum(conf) AS conf FROM e GROUP BY src, dst)), s AS (SELECT node, (node LIKE 'o%')::INT::DOUBLE / (SELECT count(*) FROM nd WHERE node LIKE 'o%') AS s, node NOT IN (SELECT src FROM e) AS dang FROM nd), m0 AS (SELECT node, s AS m FROM s)"
 for _i in range(1, 5):
     _PR += f", f{_i} AS (SELECT dst, sum(m * p) AS f FROM m{_i - 1} JOIN st ON node = src GROUP BY dst), m{_i} AS (SELECT s.node, 0.85::DOUBLE * (coalesce(f, 0) + (SELECT sum(m) FROM m{_i - 1} JOIN s USING (node) WHERE dang) * s.s) + 0.15::DOUBLE * s.s AS m FROM s LEFT JOIN f{_i} ON dst = node)"
-_TR = "SELECT o_orderkey AS src, o_custkey AS dst, round(o_totalprice / 500000, 6) AS c, o_orderkey % 12 AS tc, CASE WHEN o_orderkey % 12 > 0 THEN o_orderkey % 3 END AS lt FROM orders"
+_TR = "SELECT o_orderkey AS src, o_custkey AS dst, o_totalprice / 500000 AS c, o_orderkey % 12 AS tc, CASE WHEN o_orderkey % 12 > 0 THEN o_orderkey % 3 END AS lt FROM orders"
 _DE = f"WITH t AS ({_TR}), n AS (SELECT src, dst, tc, CASE WHEN tc >= 10 THEN least(1.0, c + 0.075) WHEN tc = 0 OR lt IS NULL OR 2 - lt >= 1 THEN c * 0.9::DOUBLE ELSE c END AS c, CASE WHEN tc >= 10 THEN 'reinforced' WHEN tc = 0 OR lt IS NULL OR 2 - lt >= 1 THEN 'decayed' ELSE 'kept' END AS what FROM t), k AS (SELECT * FROM n WHERE NOT (c < 0.1 AND tc = 0))"
 _METRICS = (
     _BASE
