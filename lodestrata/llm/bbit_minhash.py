@@ -3,11 +3,12 @@
 1. Each text's set of distinct word shingles (64-bit hashes) gives a digest of the set, the minima of BANDS * ROWS
    hash functions folded into BANDS band keys, and the low BITS bits of each minimum packed into longs.
 2. Texts with equal sets form a class at once; the class's least id stands for it from here on.
-3. Classes that share a band key are candidates.  Two rounds link each class with one other of its bands, the one
+3. Classes that share a band key are candidates.  ROUNDS rounds link each class with one other of its bands, the one
    with the best similarity estimated from the packed bits (bit counts, corrected for chance agreement of BITS bits);
    links are confirmed on the full sets and contracted to components.  All pairs of band mates that are then still in
-   different components are compared, so no candidate pair is lost, and none is made within a component: a
-   group of copies costs as many comparisons as it has members.
+   different components are compared, so no candidate pair is lost, and none is made within a component.  Where the two
+   have the same centre, what each lacks of it and has beyond it bounds what they share, which rules out most pairs of
+   a large group exactly and before they leave the join.
 A pair of similarity s shares no band with probability (1 - s**ROWS) ** BANDS: 3e-6 at 0.8, 4e-13 at 0.9.
 """
 
@@ -22,8 +23,10 @@ from lodestrata.llm.common import fresh, map_text, quoted, small_batches, stored
 
 BANDS, ROWS, BITS = 32, 5, 2
 HASHES = BANDS * ROWS
-#: Candidates whose estimate is below threshold less this are dropped: over six standard deviations at 160 hashes.
-MARGIN = 0.25
+#: Candidates whose estimate is below threshold less this are dropped: over five standard deviations at 160 hashes.
+MARGIN = 0.2
+#: Rounds in which each band key has one centre; what they leave apart is compared pair by pair.
+ROUNDS = 2
 #: Distinct words whose hash a worker remembers.
 MEMORY_WORDS = 800_000
 
@@ -174,6 +177,62 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+PROFILE = T.StructType(
+    [
+        T.StructField("id", T.LongType()),
+        T.StructField("centre", T.LongType()),
+        T.StructField("n", T.IntegerType()),
+        T.StructField("n_centre", T.IntegerType()),
+        T.StructField("lost", T.ArrayType(T.LongType())),
+        T.StructField("own", T.ArrayType(T.LongType())),
+        T.StructField("spare", T.IntegerType()),
+    ]
+)
+MAP_LONGS = 16
+
+
+def _profiles(there: DataFrame, sets: DataFrame) -> DataFrame:
+    """What sets (id, centre) lack of their centre's set, and have beyond it, as bit maps of MAP_LONGS longs; spare: how
+    many more shingles beyond it there are than bits set."""
+    x = sets.select("id", F.col("shingles").alias("s"))
+    c = sets.select(F.col("id").alias("centre"), F.col("shingles").alias("c"))
+    both = there.join(x, "id").join(c, "centre")
+    both = both.select("id", "centre", F.size("s").alias("n"), F.size("c").alias("n_centre"), F.array_except("c", "s").alias("lost"), F.array_except("s", "c").alias("own"))
+
+    def marks(values) -> np.ndarray:
+        bits = np.zeros(64 * MAP_LONGS, np.uint8)
+        bits[np.asarray(values, np.int64) % (64 * MAP_LONGS)] = 1
+        return bits
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            lost, own, spare = [], [], []
+            for x, y in zip(b.column(4), b.column(5)):
+                x, y = marks(x.values.to_numpy()), marks(y.values.to_numpy())
+                lost.append(np.packbits(x, bitorder="little").view("<i8"))
+                own.append(np.packbits(y, bitorder="little").view("<i8"))
+                spare.append(-int(y.sum()))
+            n_own = [len(y.values) for y in b.column(5)]
+            kind = pa.list_(pa.int64())
+            arrays = [*b.columns[:4], pa.array(lost, kind), pa.array(own, kind), pa.array([n + s for n, s in zip(n_own, spare)], pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, PROFILE.names)
+
+    return both.mapInArrow(run, PROFILE)
+
+
+def _possible(percent: int) -> Column:
+    """Whether two sets with one centre C can be similar enough: they share at most |C| less what either lacks of it,
+    plus what both have beyond it.  Bits count what either lacks from below; bits and spare what both have from above."""
+    lacked = common = F.lit(0)
+    for i in range(MAP_LONGS):
+        lacked = lacked + F.bit_count(F.get("x_lost", F.lit(i)).bitwiseOR(F.get("y_lost", F.lit(i))))
+        common = common + F.bit_count(F.get("x_own", F.lit(i)).bitwiseAND(F.get("y_own", F.lit(i))))
+    most = F.col("x_n_centre") - lacked + common + F.least("x_spare", "y_spare")
+    return (F.col("x_centre") != F.col("y_centre")) | (100 * most >= percent * (F.col("x_n") + F.col("y_n") - most))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept.
 
@@ -191,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(classes.select("set_hi", "set_lo", "r.*"), "classes")
 
     keyed = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
     mates = stored(keyed.join(shared, "key", "left_semi").select("key", "id"), "band-mates")
     ids = stored(mates.select("id").distinct(), "candidates")
     bits = stored(classes.join(ids, "id", "left_semi").select("id", "n_shingles", "bits"), "bits")
@@ -220,10 +279,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         split = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
         return m.join(split, "key", "left_semi")
 
-    links = comp = None
-    for centre in (F.min, F.max):
-        m = member(comp) if comp is None else stored(member(comp), "split-mates")
-        hub = m.groupBy("key").agg(centre(F.struct("id", "comp")).alias("h")).select("key", F.col("h.id").alias("b"), F.col("h.comp").alias("bc"))
+    degree = mates.join(shared, "key").groupBy("id").agg(F.sum("n").alias("degree"))
+    links = comp = centres = None
+    for turn in range(ROUNDS):
+        m = stored(member(comp), "split-mates")
+        if m.isEmpty():
+            break
+        # first the text that shares most bands with others, which is the likeliest to be a group's source; then any
+        order = F.struct(F.col("degree"), F.col("id"), F.col("comp")) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), F.col("id"), F.col("comp"))
+        hub = (m.join(degree, "id") if turn == 0 else m).groupBy("key").agg(F.max(order).alias("h"))
+        if turn == 0:
+            hub = stored(hub, "hubs")
+            centres = mates.join(hub, "key").groupBy("id").agg(F.max(F.struct("h.degree", "h.id")).alias("c")).select("id", F.col("c.id").alias("centre"))
+        hub = hub.select("key", F.col("h.id").alias("b"), F.col("h.comp").alias("bc"))
         spokes = m.join(hub, "key").where("comp <> bc").select(F.col("id").alias("a"), "b").distinct()
         best = similar(spokes).groupBy("a").agg(F.max(F.struct("est", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         new = stored(confirmed(best), "links")
@@ -231,12 +299,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp = components(links)
 
     m = stored(member(comp), "split-mates")
-    parts = m.select("key", "comp").distinct()
-    cross = parts.join(parts.withColumnRenamed("comp", "comp2"), "key").where("comp < comp2")
-    left = cross.join(m.withColumnRenamed("id", "a"), ["key", "comp"]).select("key", "a", F.col("comp2").alias("comp"))
-    pairs = left.join(m.withColumnRenamed("id", "b"), ["key", "comp"]).select("a", "b").distinct()
-    rest = stored(confirmed(similar(pairs).select("a", "b")), "links")
-    comp = components(links.unionAll(rest))
+    if not m.isEmpty():
+        most = m.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+        there = m.select("id").distinct().join(centres, "id")
+        facts = stored(_profiles(there, sets).join(bits.select("id", "bits"), "id"), "profiles")
+        rows = m.join(most, "key").join(facts, "id").withColumn("minor", F.col("comp") != F.col("main")).drop("main")
+        x = rows.where("minor").select(*[F.col(c).alias(f"x_{c}") for c in rows.columns])
+        y = rows.select(*[F.col(c).alias(f"y_{c}") for c in rows.columns])
+        near = (F.col("x_comp") != F.col("y_comp")) & (~F.col("y_minor") | (F.col("x_id") < F.col("y_id")))
+        near &= 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
+        near &= estimate(F.col("x_bits"), F.col("y_bits")) >= percent / 100 - MARGIN
+        pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & near & _possible(percent))
+        rest = stored(confirmed(pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()), "links")
+        comp = components(rest if links is None else links.unionAll(rest))
+    if comp is None:
+        comp = classes.select("id", F.col("id").alias("comp")).limit(0)
 
     whole = classes.select("set_hi", "set_lo", "id").join(comp, "id", "left").select("set_hi", "set_lo", F.coalesce("comp", "id").alias("component_id"))
     out = signed.select("id", "n_shingles", "set_hi", "set_lo").join(whole, ["set_hi", "set_lo"], "left")
