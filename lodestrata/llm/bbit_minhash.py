@@ -222,15 +222,52 @@ def _profiles(there: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, PROFILE)
 
 
-def _possible(percent: int) -> Column:
-    """Whether two sets with one centre C can be similar enough: they share at most |C| less what either lacks of it,
-    plus what both have beyond it.  Bits count what either lacks from below; bits and spare what both have from above."""
-    lacked = common = F.lit(0)
-    for i in range(MAP_LONGS):
-        lacked = lacked + F.bit_count(F.get("x_lost", F.lit(i)).bitwiseOR(F.get("y_lost", F.lit(i))))
-        common = common + F.bit_count(F.get("x_own", F.lit(i)).bitwiseAND(F.get("y_own", F.lit(i))))
-    most = F.col("x_n_centre") - lacked + common + F.least("x_spare", "y_spare")
-    return (F.col("x_centre") != F.col("y_centre")) | (100 * most >= percent * (F.col("x_n") + F.col("y_n") - most))
+#: Members of a band key that are compared with as many others at once.
+BLOCK = 256
+BLOCK_FIELDS = ["id", "comp", "minor", "n", "n_centre", "centre", "spare", "bits", "lost", "own"]
+
+
+def _likely(blocks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in blocks x and y of one band key that sizes, packed bits and the bound by
+    a common centre C allow.  Two sets share at most |C| less what either lacks of it, plus what both have beyond it;
+    bits count what either lacks from below, bits and spare what both have from above, so the bound is exact."""
+    mask, chance = np.uint64(0x5555555555555555), 2.0**-BITS
+
+    def columns(structs) -> dict[str, np.ndarray]:
+        out = {}
+        for name in BLOCK_FIELDS:
+            c = structs.field(name)
+            wide = name in ("bits", "lost", "own")
+            c = c.flatten() if wide else c
+            v = c.to_numpy(zero_copy_only=False)
+            out[name] = v.astype(np.uint64).reshape(len(structs), -1) if wide else v
+        return out
+
+    def ones(v: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(v).sum(axis=2, dtype=np.int64)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for xs, ys in zip(batch.column(0), batch.column(1)):
+                x, y = columns(xs.values), columns(ys.values)
+                nx, ny = x["n"].astype(np.int64)[:, None], y["n"].astype(np.int64)[None, :]
+                ok = (x["comp"][:, None] != y["comp"][None, :]) & (~y["minor"][None, :] | (x["id"][:, None] < y["id"][None, :]))
+                ok &= 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
+                if ok.any():
+                    d = x["bits"][:, None, :] ^ y["bits"][None, :, :]
+                    unlike = ones((d | (d >> np.uint64(1))) & mask)
+                    ok &= (1 - unlike / HASHES - chance) / (1 - chance) >= percent / 100 - MARGIN
+                if ok.any():
+                    most = x["n_centre"].astype(np.int64)[:, None] - ones(x["lost"][:, None, :] | y["lost"][None, :, :])
+                    most += ones(x["own"][:, None, :] & y["own"][None, :, :]) + np.minimum(x["spare"][:, None], y["spare"][None, :])
+                    ok &= (x["centre"][:, None] != y["centre"][None, :]) | (100 * most >= percent * (nx + ny - most))
+                i, j = np.nonzero(ok)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(x["id"][i]), pa.array(y["id"][j])], ["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -300,17 +337,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     m = stored(member(comp), "split-mates")
     if not m.isEmpty():
-        most = m.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+        most = m.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size")).select("key", "size", F.col("m.comp").alias("main"))
         there = m.select("id").distinct().join(centres, "id")
         facts = stored(_profiles(there, sets).join(bits.select("id", "bits"), "id"), "profiles")
-        rows = m.join(most, "key").join(facts, "id").withColumn("minor", F.col("comp") != F.col("main")).drop("main")
-        x = rows.where("minor").select(*[F.col(c).alias(f"x_{c}") for c in rows.columns])
-        y = rows.select(*[F.col(c).alias(f"y_{c}") for c in rows.columns])
-        near = (F.col("x_comp") != F.col("y_comp")) & (~F.col("y_minor") | (F.col("x_id") < F.col("y_id")))
-        near &= 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
-        near &= estimate(F.col("x_bits"), F.col("y_bits")) >= percent / 100 - MARGIN
-        pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & near & _possible(percent))
-        rest = stored(confirmed(pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()), "links")
+        rows = m.join(most, "key").join(facts, "id").withColumn("minor", F.col("comp") != F.col("main"))
+        blocks = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))).groupBy("key", "block")
+        blocks = blocks.agg(F.collect_list(F.struct(*BLOCK_FIELDS)).alias("y"))  # about BLOCK rows each
+        x = blocks.select("key", F.filter("y", lambda r: r["minor"]).alias("x")).where(F.size("x") > 0)
+        pairs = _likely(x.join(blocks.select("key", "y"), "key").select("x", "y"), percent)
+        rest = stored(confirmed(pairs.distinct()), "links")
         comp = components(rest if links is None else links.unionAll(rest))
     if comp is None:
         comp = classes.select("id", F.col("id").alias("comp")).limit(0)
