@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("ranking", "evaluation", "inference")
+MODULES = ("ranking", "evaluation", "inference", "sweep")
 
 
 def _modules():
