@@ -63,8 +63,37 @@ SEQUENCE = T.StructType(
 )
 
 
-def sequences(docs: DataFrame, id_col: str, text_col: str, path: str, length: int, eos: int) -> DataFrame:
-    """(part, nth, n_tokens, doc_ids, ids): ids as 2-byte little-endian numbers, filled up with the end id, deflated."""
+#: Documents, and characters of each, on whose sequences the compression dictionary is trained, and its size.
+DICT_DOCS, DICT_CHARS, DICT_BYTES = 300, 20_000, 64 << 10
+
+
+def dictionary_of(docs: DataFrame, text_col: str, path: str, length: int) -> bytes:
+    """A Zstandard dictionary for sequences, which are too short to compress well alone; empty if there is too little text."""
+    import zstandard
+
+    texts = [r[0] for r in docs.select(F.substring(quoted(text_col), 1, DICT_CHARS)).limit(DICT_DOCS).collect() if r[0]]
+    ids = np.concatenate([np.zeros(0, np.int32), *(i for i, _ in word_ids(path)(texts))]).astype("<u2")
+    samples = [ids[a : a + length].tobytes() for a in range(0, len(ids) - length + 1, length)]
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes() if len(samples) > 20 else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+def _packer(dictionary: bytes):
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=6, **({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}))
+
+
+def _unpacker(dictionary: bytes):
+    import zstandard
+
+    return zstandard.ZstdDecompressor(**({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}))
+
+
+def sequences(docs: DataFrame, id_col: str, text_col: str, path: str, length: int, eos: int, dictionary: bytes = b"") -> DataFrame:
+    """(part, nth, n_tokens, doc_ids, ids): ids as 2-byte little-endian numbers, filled up with the end id, compressed."""
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
@@ -72,7 +101,7 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, path: str, length: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, words, nth = TaskContext.get().partitionId(), word_ids(path), 0
+        part, words, nth, packer = TaskContext.get().partitionId(), word_ids(path), 0, _packer(dictionary)
         held: list[tuple] = []  # id, ids not yet given out
         size = 0
         rows: list[tuple] = []
@@ -93,7 +122,7 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, path: str, length: in
                     held[0] = (k, x[take:])
             whole = np.full(length, eos, "<u2")
             whole[:n] = np.concatenate(ids)
-            rows.append((part, nth, n, owners, zlib.compress(whole.tobytes(), 1)))
+            rows.append((part, nth, n, owners, packer.compress(whole.tobytes())))
             nth, size = nth + 1, size - n
 
         def batch_of() -> pa.RecordBatch:
@@ -155,7 +184,9 @@ def materialise(
     """
     spark = docs.sparkSession
     folder = (folder or scratch_path(spark, "shards")).rstrip("/")
-    staged = stored(sequences(docs, id_col, text_col, path or tokenizer_file(), length, eos), "sequences")
+    path = path or tokenizer_file()
+    dictionary = dictionary_of(docs, text_col, path, length)
+    staged = stored(sequences(docs, id_col, text_col, path, length, eos, dictionary), "sequences")
     counts = sorted((r["part"], r["n"]) for r in staged.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row a task
     total = sum(n for _, n in counts)
     if not total:
@@ -180,7 +211,7 @@ def materialise(
         from pyspark import TaskContext
 
         store, root = fs.FileSystem.from_uri(folder)
-        name = out = None
+        name, out, unpacker = None, None, _unpacker(dictionary)
         meta: list[tuple] = []
         for b in batches:
             slots = b.column(0).to_pylist()
@@ -193,7 +224,7 @@ def materialise(
                     out = store.open_output_stream(trial)
                 if slot != lowest + len(meta):
                     raise ValueError(f"slot {slot} where {lowest + len(meta)} was due")
-                data = zlib.decompress(b.column(4)[i].as_py())
+                data = unpacker.decompress(b.column(4)[i].as_py())
                 if len(data) != stride:
                     raise ValueError(f"{len(data)} bytes in a stride of {stride}")
                 out.write(data)
