@@ -13,7 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,15 +143,17 @@ def bounded_sample(
 ) -> list[tuple]:
     """(id, text, class) of at most ``per_class`` labelled documents of each class, chosen by a hash of the id.
 
-    A top-k by hash keeps no more than ``per_class`` ids a task; the ids to join are at most
-    ``per_class * len(classes)``, which bounds the broadcast and what comes to the driver.
+    Only hashes below a bound that about twice as many ids reach are sorted, so what the sort gathers does not grow
+    with the number of tasks.  The ids to join are at most ``per_class * len(classes)``, which bounds the broadcast
+    and what comes to the driver.
     """
     rows = labels.select(quoted(id_col).alias("_k"), quoted(class_col).alias("_y")).where("_k is not null and _y is not null")
     if where is not None:
         rows = rows.where(where(F.col("_k")))
+    counts = dict(rows.groupBy("_y").agg(F.count("*")).collect())  # one row a class
     picked = None
     for c in classes:
-        one = rows.where(F.col("_y") == F.lit(c)).orderBy(F.xxhash64("_k"), "_k").limit(per_class)
+        one = rows.where((F.col("_y") == F.lit(c)) & hash_share(F.xxhash64("_k"), 2 * per_class + 1000, counts.get(c, 0))).orderBy(F.xxhash64("_k"), "_k").limit(per_class)
         picked = one if picked is None else picked.unionAll(one)
     if picked is None:
         return []
@@ -161,6 +163,11 @@ def bounded_sample(
     return sorted((tuple(r) for r in got), key=lambda r: (r[0], r[1] or ""))
 
 
+def hash_share(h: Column, wanted: int, count: int) -> Column:
+    """Whether a hash is among the least; about ``wanted`` of ``count`` are, and all if there are no more."""
+    return F.lit(True) if count <= wanted else h <= F.lit(int(-(2**63) + wanted / count * 2**64))
+
+
 def crc_mod(column, m: int):
     """crc32 of the id as text, modulo m."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(m))

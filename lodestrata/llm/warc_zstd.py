@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import quoted, scratch_path, ship, small_batches, stored
+from lodestrata.llm.common import hash_share, quoted, scratch_path, ship, small_batches, stored
 
 REVISIT_BYTES = 100
 #: Bytes at which an archive is closed and the next one begun.
 ARCHIVE_BYTES = 16 << 20
-#: Pages and bytes of the dictionary's training sample, and the size of the dictionary.
-DICT_PAGES, DICT_BYTES = 400, 32 << 10
+#: Pages, and characters of each, of the dictionary's training sample, and the size of the dictionary.
+DICT_PAGES, DICT_CHARS, DICT_BYTES = 400, 20_000, 32 << 10
 SKIPPABLE = 0x184D2A5D
 DATE = "2020-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -207,7 +207,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     small_batches(spark)
     folder = (folder or scratch_path(spark, "warc")).rstrip("/")
     rows = pages.select(quoted(id_col).cast("long").alias("id"), quoted(url_col).alias("url"), F.coalesce(quoted(html_col), F.lit("")).alias("html"))
-    sample = rows.orderBy(F.xxhash64("id", "html"), "id").select(F.substring("html", 1, 20_000).alias("h")).limit(DICT_PAGES).collect()
+    few = rows.where(hash_share(F.xxhash64("id"), 2 * DICT_PAGES + 1000, pages.count()))
+    few = few.select("id", F.xxhash64("id").alias("k"), F.substring("html", 1, DICT_CHARS).alias("h"))
+    sample = few.orderBy("k", "id", "h").limit(DICT_PAGES).collect()
     dictionary = train_dictionary([r["h"].encode() for r in sample])
 
     rows = rows.withColumn("digest", F.sha2("html", 256))

@@ -182,3 +182,12 @@ def test_held_out_rows_are_never_learned_from(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r[0] for r in byte_cnn.identify(frame, byte_cnn.train(frame)).select("lang_pred").distinct().collect()} == {"known"}
     assert frame.select(F.count_if(~byte_cnn.may_learn(F.col("doc_id")))).first()[0] == sum(lang == "secret" for _, _, lang in rows)
+
+
+def test_sample_is_the_least_by_hash(spark):
+    from lodestrata.llm.common import bounded_sample
+
+    docs = spark.range(0, 30000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), (F.col("id") % 2).alias("y"))
+    got = bounded_sample(docs, docs, "doc_id", "text", "y", (0, 1, 2), 20)
+    want = [r[0] for c in (0, 1) for r in docs.where(f"y = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect()]
+    assert [r[0] for r in got] == sorted(want) and all(t == str(i) and y == i % 2 for i, t, y in got)
