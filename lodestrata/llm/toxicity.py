@@ -1,17 +1,19 @@
 """Toxicity as severity grades, by cumulative-link ordinal regression on sparse text features.
 
-Features are the distinct words of a text, their beginnings and their endings, named by 63-bit hashes (so that in practice no
-two share one), and one column for having any of those that the fit knows.  One weight
-vector w serves all thresholds: P(grade > k) = sigmoid(w . x - t_k) with t_0 <= t_1 <= ...; the expected severity is
-the sum of these probabilities.  An L1 penalty leaves weights only where the labels ask for them.
+Features are the words of a text, their beginnings and their endings, named by 63-bit hashes (so that in practice no
+two share one).  Each can give two columns: whether the text has it, and the density of its hits (a family of words that
+clean texts use now and then tells by how much of the text it makes up); one column more is for having any that no clean text of the sample has.  One weight vector w serves all thresholds:
+P(grade > k) = sigmoid(w . x - t_k) with t_0 <= t_1 <= ...; the expected severity is the sum of these probabilities.
+A column is screened by significance alone; an L1 penalty leaves weights only where the labels ask for them.
 
 The labels are binary.  Grade 0 is label 0; label 1 is split into GRADES - 1 grades of equal size by the share of a
-text's words that carry a feature which the sample shows mostly in label 1.
+text's words that carry a feature which the sample shows more in label 1.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,11 +25,12 @@ from lodestrata.llm.common import bounded_sample, fresh, map_text, quoted, sigmo
 
 #: Labelled documents of each class that the fit sees.
 SAMPLE_PER_CLASS = 2500
-#: The column of having any known feature.
-ANY = -1
 GRADES = 4
-#: Features that the fit keeps: at most SCREENED, at least ODDS times as frequent under label 1, by SURE standard errors.
-SCREENED, ODDS, SURE = 20_000, 100.0, 6.0
+#: Columns that the fit keeps: at most SCREENED, higher under label 1 by SURE standard errors.
+SCREENED, SURE = 20_000, 6.0
+#: Density is SCALE * hits / (words + PRIOR_WORDS) ** POWER: a single hit in a few words is no high one, and hits in a
+#: long text count for more than their share.
+SCALE, PRIOR_WORDS, POWER = 22.0, 20, 0.75
 #: Expected severity from which a document is rejected.
 REJECT = 0.5
 MEMORY_WORDS = 400_000
@@ -43,21 +46,23 @@ def word_features(word: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(p) >> 1 for p in parts]
 
 
-class _Columns(dict):
-    def __missing__(self, word: str) -> list[int]:
-        self[word] = f = word_features(word)
-        return f
+def density(hits, words):
+    """How much of a text of so many words the hits make up."""
+    return SCALE * hits / (words + PRIOR_WORDS) ** POWER
 
 
 @dataclass
 class Model:
-    columns: np.ndarray  # rising feature columns that the fit knows
-    weights: np.ndarray
+    columns: np.ndarray  # rising features that the fit knows
+    weights: np.ndarray  # of each: for being there, and for the density of its hits
+    clean: np.ndarray  # of each: whether clean texts of the sample have it
+    any_weight: float  # for having any of the others
     thresholds: np.ndarray
 
     def scorer(self):
         """Texts to (score, expected severity, grade)."""
-        weight = dict(zip(self.columns.tolist(), self.weights.tolist()))
+        weight = dict(zip(self.columns.tolist(), map(tuple, self.weights.tolist())))
+        alone = set(self.columns[~self.clean].tolist())
         known: dict[str, tuple] = {}
 
         def carried(w: str) -> tuple:
@@ -67,30 +72,24 @@ class Model:
             return got
 
         def score(text: str | None) -> tuple[float, float, int]:
-            found: set[int] = set()
-            for w in set(_WORD.findall((text or "").lower())):
+            words = _WORD.findall((text or "").lower())
+            hits: Counter[int] = Counter()
+            for w in words:
                 f = known.get(w)
                 if f is None:
                     f = carried(w)
                 if f:
-                    found.update(f)
-            if found:
-                found.add(ANY)
-            s = sum(weight.get(f, 0.0) for f in sorted(found))
+                    hits.update(f)
+            s = sum(weight[f][0] + weight[f][1] * density(hits[f], len(words)) for f in sorted(hits))
+            s += 0.0 if alone.isdisjoint(hits) else self.any_weight
             above = sigmoid(s - self.thresholds)
             return s, float(above.sum()), int((above > 0.5).sum())
 
         return score
 
 
-def _matrix(words: list[set[str]], columns: _Columns) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of every feature of every text."""
-    cols = [np.fromiter({c for w in ws for c in columns[w]}, np.int64) for ws in words]
-    return np.repeat(np.arange(len(cols)), list(map(len, cols))), np.concatenate(cols)
-
-
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_cols: int, n_grades: int, l1: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and rising thresholds of the cumulative-link model for 0/1 features (rows, cols), by Adam steps each
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, n_cols: int, n_grades: int, l1: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and rising thresholds of the cumulative-link model for sparse features (rows, cols, values), by Adam steps each
     followed by soft thresholding; no weight is below 0, so a feature never lowers the severity.  Grade 0 weighs as much as all others, which weigh the same among themselves."""
     n = len(grades)
     count = np.bincount(grades, minlength=n_grades)
@@ -103,9 +102,9 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_cols:
     for step in range(1, steps + 1):
         rate = 0.1 if step <= steps // 2 else 0.03
         w, gaps = params
-        s = np.bincount(rows, w[cols], n)
+        s = np.bincount(rows, w[cols] * values, n)
         error = (sigmoid(s[:, None] - np.cumsum(gaps)[None, :]) - target) * weight[:, None]
-        grads = [np.bincount(cols, error.sum(axis=1)[rows], n_cols), -np.cumsum(error.sum(axis=0)[::-1])[::-1]]
+        grads = [np.bincount(cols, error.sum(axis=1)[rows] * values, n_cols), -np.cumsum(error.sum(axis=0)[::-1])[::-1]]
         for p, g, a1, a2 in zip(params, grads, m1, m2):
             a1 *= 0.9
             a1 += 0.1 * g
@@ -119,55 +118,95 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_cols:
     return params[0], np.cumsum(params[1])
 
 
-def new_words(texts: list[str], run: int = 5) -> list[set[str]]:
-    """Of each text the words in runs of five that no earlier text has.  Copies and passages that texts share would else
-    pass their chance words for evidence."""
-    seen: set[int] = set()
+def new_places(ids: list[np.ndarray], run: int = 5) -> list[np.ndarray]:
+    """Of each text (its words by number) the places in runs of five that no earlier text has.  Copies and passages that
+    texts share would else pass their chance words for evidence."""
+    hashes = []
+    for x in ids:
+        at = [x[j : len(x) - min(run, len(x)) + 1 + j] for j in range(min(run, len(x)))]
+        h = np.full(max(1, len(x) - run + 1), len(at), np.uint64)
+        for part in at:
+            h = (h ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        hashes.append(h)
+    text = np.repeat(np.arange(len(ids)), list(map(len, hashes)))
+    _, first, name = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    new = np.split(text[first[name]] == text, np.cumsum(list(map(len, hashes)))[:-1])
     out = []
-    for t in texts:
-        words = _WORD.findall((t or "").lower())
-        runs = [hash(tuple(words[j : j + run])) for j in range(max(1, len(words) - run + 1))]
-        out.append({w for j, h in enumerate(runs) if h not in seen for w in words[j : j + run]})
-        seen.update(runs)
+    for x, n in zip(ids, new):
+        got = np.zeros(len(x), bool)
+        for j in range(min(run, len(x))):
+            got[j : j + len(n)] |= n
+        out.append(got)
     return out
 
 
+def _hits(words: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a text's words and how many words carry each."""
+    got = features[words].ravel()
+    return np.unique(got[got >= 0], return_counts=True)
+
+
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """A model from labelled texts; without both labels it finds nothing toxic."""
     y = np.array(toxic, np.int64)
-    none = Model(np.zeros(0, np.int64), np.zeros(0), np.linspace(3, 5, GRADES - 1))
+    none = Model(np.zeros(0, np.int64), np.zeros((0, 2)), np.zeros(0, bool), 0.0, np.linspace(3, 5, GRADES - 1))
     if not (y == 1).any() or not (y == 0).any():
         return none
-    columns = _Columns()
-    rows, cols = _matrix(new_words(texts), columns)
-    names, cols = np.unique(cols, return_inverse=True)
-    seen1 = np.bincount(cols[y[rows] == 1], minlength=len(names))
-    seen0 = np.bincount(cols[y[rows] == 0], minlength=len(names))
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    p1, p0 = (seen1 + 0.5) / (n1 + 1), (seen0 + 0.5) / (n0 + 1)
-    both = (seen1 + seen0 + 1) / (n1 + n0 + 2)
-    z = (p1 - p0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
-    telling = (z >= SURE) & (seen1 * n0 >= ODDS * seen0 * n1)
-    chosen = np.flatnonzero(telling)
-    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:SCREENED]])
-    if not len(chosen):
+    number: dict[str, int] = {}
+    ids = [np.array([number.setdefault(w, len(number)) for w in _WORD.findall((t or "").lower())], np.int32) for t in texts]
+    table = np.full((len(number), 5), -1, np.int64)
+    for k, w in enumerate(number):
+        f = word_features(w)
+        table[k, : len(f)] = f
+    names, features = np.unique(table, return_inverse=True)
+    del number, table
+    short = int((names < 0).any())
+    names, features = names[short:], features.reshape(-1, 5).astype(np.int32) - short
+    n1, n0, n = int((y == 1).sum()), int((y == 0).sum()), len(y)
+    # columns 0: being there, 1: density of the hits; the sums by label, and the sums of squares
+    total, square = np.zeros((2, 2, len(names))), np.zeros((2, len(names)))
+    for x, new, label in zip(ids, new_places(ids), y):
+        f, hits = _hits(x[new], features)
+        for c, v in enumerate((1.0, density(hits, len(x)))):
+            total[label, c, f] += v
+            square[c, f] += v * v if c else 1.0
+    both = total.sum(axis=0) / n
+    deviation = np.sqrt(np.maximum(square / n - both * both, 1e-12) * (1 / n1 + 1 / n0))
+    z = (total[1] / n1 - total[0] / n0) / deviation
+    telling = np.argwhere(z.T >= SURE)
+    telling = telling[np.argsort(-z[telling[:, 1], telling[:, 0]], kind="stable")[:SCREENED]]
+    if not len(telling):
         return none
-    every = [set(_WORD.findall((t or "").lower())) for t in texts]
-    rows, cols = _matrix(every, columns)
-    sizes = list(map(len, every))
-    place = np.searchsorted(names[chosen], cols)
-    keep = names[chosen][np.minimum(place, len(chosen) - 1)] == cols
-    rows, cols = rows[keep], place[keep]
-    share = np.bincount(rows, minlength=len(y)) / np.maximum(1, np.array(sizes))
-    grades = np.zeros(len(y), np.int64)
+    chosen = np.unique(telling[:, 0])
+    column = np.full((2, len(names)), -1)
+    column[telling[:, 1], telling[:, 0]] = np.arange(len(telling))
+    clean = total[0, 0] > 0
+    known = np.full(len(names), False)
+    known[chosen] = True
+    features = np.where(known[features] & (features >= 0), features, -1)
+    rows, cols, values, share = [], [], [], np.zeros(n)
+    for i, x in enumerate(ids):
+        f, hits = _hits(x, features)
+        share[i] = hits.sum() / max(1, len(x))
+        for c, v in enumerate((np.ones(len(f)), density(hits, len(x)))):
+            kept = column[c, f] >= 0
+            rows.append(np.full(int(kept.sum()), i))
+            cols.append(column[c, f[kept]])
+            values.append(v[kept])
+        if not clean[f].all():  # one column more: having any that clean texts lack
+            rows.append(np.array([i]))
+            cols.append(np.array([len(telling)]))
+            values.append(np.ones(1))
+    grades = np.zeros(n, np.int64)
     order = np.lexsort((np.arange(n1), share[y == 1]))
     rank = np.empty(n1, np.int64)
     rank[order] = np.arange(n1)
     grades[y == 1] = 1 + rank * (GRADES - 1) // n1
-    carriers = np.unique(rows)
-    rows, cols = np.concatenate([rows, carriers]), np.concatenate([cols, np.full(len(carriers), len(chosen))])
-    w, t = fit_ordinal(rows, cols, grades, len(chosen) + 1, GRADES)
-    return Model(np.append(names[chosen], ANY), w, t)
+    w, t = fit_ordinal(np.concatenate(rows), np.concatenate(cols), np.concatenate(values), grades, len(telling) + 1, GRADES)
+    weights = np.zeros((len(chosen), 2))
+    weights[np.searchsorted(chosen, telling[:, 0]), telling[:, 1]] = w[:-1]
+    return Model(names[chosen], weights, clean[chosen], float(w[-1]), t)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
