@@ -261,6 +261,14 @@ def crossover_pivot(spark, sf):
     return got.select("arm", *[F.col(str(d)).alias(f"d{d}") for d in (1, 2, 3)])
 
 
+def crossover_pivot_all(spark, sf):
+    """crossover_pivot with a column for each depth that occurs."""
+    s = _scored(spark, sf)
+    depths = sorted(r[0] for r in s.select("depth").where("depth IS NOT NULL").distinct().collect())  # few
+    got = s.groupBy("arm").pivot("depth", depths).agg(F.round(F.avg(F.col("recovered").cast("double")), 6))
+    return got.select("arm", *[F.col(f"`{d}`").alias(f"d{d}") for d in depths])
+
+
 def _points(spark, sf):
     s = _scored(spark, sf).groupBy("depth", "arm").agg(F.round(F.avg("compliance"), 6).alias("accuracy"), F.round(F.avg("cost"), 6).alias("cost"))
     return s.select(F.concat_ws("/", "arm", F.col("depth").cast("string")).alias("name"), "accuracy", "cost")
@@ -323,7 +331,7 @@ FUNCTIONS = (
     graph_neighbors, graph_bfs, graph_bfs_directed, graph_walk_1hop, graph_walk_3hop, spread_activation, pagerank_fixed_iter, edge_decay, decay_report,
     retrieval_metrics, mean_metrics, cost_to_correct, return_on_tokens, compliance_score, merge_ready, session_text, recall_distance,
     reliability_curve, brier_decomposition, fleiss, krippendorff, cohen_weighted, certify_depths,
-    headline, depth_crossover, ablation, crossover_pivot, pareto_frontier, dominated_set, hypervolume, audc, half_life, regret, factorization,
+    headline, depth_crossover, ablation, crossover_pivot, crossover_pivot_all, pareto_frontier, dominated_set, hypervolume, audc, half_life, regret, factorization,
     supersession_current, supersession_rate,
 )
 
@@ -429,6 +437,7 @@ SELECT weights, round(1 - (SELECT sum(p * CASE weights WHEN 'none' THEN (i <> j)
     "headline": f"WITH {_SC} SELECT dataset, arm, round(avg(compliance), 6) AS compliance FROM sc GROUP BY dataset, arm",
     "depth_crossover": f"WITH {_SC} SELECT arm, depth, round(avg(recovered::INT::DOUBLE), 6) AS recovery FROM sc GROUP BY arm, depth",
     "ablation": f"WITH {_SC} SELECT CASE depth WHEN 1 THEN 'shallow' WHEN 3 THEN 'middle' ELSE 'deep' END AS label, round(avg(compliance), 6) AS compliance, count(*) AS n FROM sc WHERE depth IN (1, 3, 7) GROUP BY 1",
+    "crossover_pivot_all": f"WITH {_SC} SELECT arm, " + ", ".join(f"round(avg(recovered::INT::DOUBLE) FILTER (depth = {d}), 6) AS d{d}" for d in range(1, 8)) + " FROM sc GROUP BY arm",
     "crossover_pivot": f"WITH {_SC} SELECT arm, round(avg(recovered::INT::DOUBLE) FILTER (depth = 1), 6) AS d1, round(avg(recovered::INT::DOUBLE) FILTER (depth = 2), 6) AS d2, round(avg(recovered::INT::DOUBLE) FILTER (depth = 3), 6) AS d3 FROM sc GROUP BY arm",
     "pareto_frontier": f"WITH {_SC}, {_PT} SELECT name, accuracy, cost FROM fr",
     "dominated_set": f"WITH {_SC}, {_PT} SELECT name FROM pt WHERE name NOT IN (SELECT name FROM fr)",
