@@ -57,9 +57,10 @@ def spread(edges: DataFrame, seeds: DataFrame, hops: int = 3, decay: float = 0.5
     return reduce(DataFrame.unionByName, parts).groupBy("seed", "node").agg(F.sum("x").alias("activation"))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, restart: Column, alpha: float = 0.15, iterations: int = 10, cut: int = 5) -> DataFrame:
-    """(node, mass) after a fixed number of steps.  restart: a weight by node, normalised here; nodes without out-edges
-    hand their mass to it.  Parallel edges add.  Lineage is cut every ``cut`` steps by a checkpoint in the shared folder."""
+def pagerank(edges: DataFrame, nodes: DataFrame, restart: Column, alpha: float = 0.15, iterations: int | None = None, cut: int = 5, tolerance: float = 1e-12, most: int = 200) -> DataFrame:
+    """(node, mass) where a step changes the masses by less than ``tolerance`` in sum (after ``most`` steps at the latest),
+    or after ``iterations`` steps if given.  restart: a weight by node, normalised here; nodes without out-edges hand their
+    mass to it.  Parallel edges add.  Lineage is cut every ``cut`` steps by a checkpoint in the shared folder."""
     out = edges.groupBy("src", "dst").agg(F.sum("confidence").alias("w"))
     total = out.groupBy("src").agg(F.sum("w").alias("t"))
     step = out.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p"))
@@ -69,6 +70,8 @@ def pagerank(edges: DataFrame, nodes: DataFrame, restart: Column, alpha: float =
     base = base.join(total.select(F.col("src").alias("node"), F.lit(True).alias("has")), "node", "left").select("node", "s", F.col("has").isNull().alias("dangling"))
     mass = base.withColumn("m", F.col("s"))
     checkpoints = mass.sparkSession.sparkContext.getCheckpointDir() is not None
+    if iterations is None:
+        return _settled(base, step, alpha, tolerance, most, cut, checkpoints)
     for i in range(iterations):
         loose = mass.agg(F.sum(F.when(F.col("dangling"), F.col("m")))).first()[0] or 0.0
         flow = mass.join(step, mass["node"] == step["src"]).groupBy("dst").agg(F.sum(F.col("m") * F.col("p")).alias("f"))
@@ -80,6 +83,30 @@ def pagerank(edges: DataFrame, nodes: DataFrame, restart: Column, alpha: float =
     return mass.select("node", F.col("m").alias("mass"))
 
 
+def _settled(base: DataFrame, step: DataFrame, alpha: float, tolerance: float, most: int, cut: int, checkpoints: bool) -> DataFrame:
+    """The fixed point of pagerank().
+
+    What dangling nodes hand back goes where the restart goes, so the fixed point is the sum of (1 - alpha)^k times the
+    restart after k steps along edges, scaled to 1.  Only nodes that the walk reaches move, and without cycles it ends.
+    """
+    if not 0 < alpha <= 1 or tolerance <= 0 or most < 1:
+        raise ValueError("alpha must lie in (0, 1], the tolerance above 0, the steps at 1 at least")
+    kept = lambda df: df.checkpoint() if checkpoints else df.cache()
+    front = kept(base.where("s > 0").select("node", F.col("s").alias("m")))
+    parts = [front]
+    for _ in range(most):
+        front = kept(front.join(step, front["node"] == step["src"]).groupBy(F.col("dst").alias("node")).agg(((1 - alpha) * F.sum(F.col("m") * F.col("p"))).alias("m")))
+        moved = front.agg(F.sum("m")).first()[0] or 0.0
+        parts.append(front)
+        if 2 * moved < tolerance:  # scaled, the sums change by twice that at most
+            break
+        if len(parts) > cut:
+            parts = [kept(reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sum("m").alias("m")))]
+    total = reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sum("m").alias("m"))
+    whole = total.agg(F.sum("m")).first()[0] or 1.0
+    return base.select("node").join(total, "node", "left").select("node", (F.coalesce("m", F.lit(0.0)) / whole).alias("mass"))
+
+
 def decayed(edges: DataFrame, tick: int, rate: float = 0.1, stale: int = 1, restore_at: int = 10, restore: float = 0.75, prune: float = 0.1) -> DataFrame:
     """Edges with their new confidence and what happened (reinforced, decayed, kept), without those pruned.
 

@@ -105,10 +105,18 @@ def spread_activation(spark, sf):
     return got.groupBy("node").agg(F.round(F.sum("activation"), 6).alias("activation"), F.count("*").alias("n_seeds"))
 
 
-def pagerank_fixed_iter(spark, sf):
+def _orders_rank(spark, sf, **how):
     edges = _edges(spark, sf)
     nodes = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct()
-    return gr.pagerank(edges, nodes, F.when(F.col("node").startswith("o"), 1.0).otherwise(0.0), iterations=4).select("node", F.round("mass", 9).alias("mass"))
+    return gr.pagerank(edges, nodes, F.when(F.col("node").startswith("o"), 1.0).otherwise(0.0), **how)
+
+
+def pagerank_fixed_iter(spark, sf):
+    return _orders_rank(spark, sf, iterations=4).select("node", F.round("mass", 9).alias("mass"))
+
+
+def pagerank_converged(spark, sf):
+    return _orders_rank(spark, sf).select("node", F.round("mass", 9).alias("mass"))
 
 
 def _tracked(spark, sf):
@@ -328,7 +336,7 @@ def supersession_rate(spark, sf):
 
 FUNCTIONS = (
     dense_topk, mmr_order, cluster_tree_rank, hash_embed_topk, expanded_query_rank, vector_label_metrics,
-    graph_neighbors, graph_bfs, graph_bfs_directed, graph_walk_1hop, graph_walk_3hop, spread_activation, pagerank_fixed_iter, edge_decay, decay_report,
+    graph_neighbors, graph_bfs, graph_bfs_directed, graph_walk_1hop, graph_walk_3hop, spread_activation, pagerank_fixed_iter, pagerank_converged, edge_decay, decay_report,
     retrieval_metrics, mean_metrics, cost_to_correct, return_on_tokens, compliance_score, merge_ready, session_text, recall_distance,
     reliability_curve, brier_decomposition, fleiss, krippendorff, cohen_weighted, certify_depths,
     headline, depth_crossover, ablation, crossover_pivot, crossover_pivot_all, pareto_frontier, dominated_set, hypervolume, audc, half_life, regret, factorization,

@@ -10,3 +10,34 @@ def test_pivot_has_a_column_for_each_depth(spark):
     got = {(r["arm"], int(c[1:])): r[c] for r in q["crossover_pivot_all"](spark, SF).collect() for c in r.asDict() if c != "arm" and r[c] is not None}
     assert got == {(r["arm"], r["depth"]): r["recovery"] for r in q["depth_crossover"](spark, SF).collect()}
     assert {d for _, d in got} == set(range(1, 8))
+
+
+def test_pagerank_goes_on_to_the_fixed_point(spark):
+    import numpy as np
+    import pytest
+    from pyspark.sql import functions as F
+
+    from lodestrata.operators import graph
+
+    edges = [(0, 1, 0.9), (1, 2, 0.5), (2, 0, 0.7), (2, 3, 0.3), (1, 2, 0.2), (4, 0, 1.0), (1, 5, 0.4)]  # a cycle, parallel edges, dangling 3 and 5
+    weight, p = np.array([1.0, 0, 0, 2, 0, 0]), np.zeros((6, 6))
+    for a, b, c in edges:
+        p[a, b] += c
+    sums = p.sum(axis=1, keepdims=True)
+    p = np.divide(p, sums, out=np.zeros_like(p), where=sums > 0)
+    s = weight / weight.sum()
+    want = s
+    for _ in range(2000):
+        want = 0.85 * (p.T @ want + want[sums[:, 0] == 0].sum() * s) + 0.15 * s
+    frame = spark.createDataFrame([(str(a), str(b), c) for a, b, c in edges], "src string, dst string, confidence double")
+    nodes = spark.createDataFrame([(str(i),) for i in range(6)], "node string")
+    restart = F.when(F.col("node") == "0", 1.0).when(F.col("node") == "3", 2.0).otherwise(0.0)
+    got = {int(r["node"]): r["mass"] for r in graph.pagerank(frame, nodes, restart, tolerance=1e-7).collect()}
+    assert got == {i: pytest.approx(m, abs=1e-7) for i, m in enumerate(want)}
+    assert graph.pagerank(frame, nodes, restart, iterations=1).where("node = '1'").first()["mass"] == pytest.approx(0.85 / 3)
+
+
+def test_pagerank_query_settles(spark):
+    got = dict(catalogue.queries()["pagerank_converged"](spark, SF).selectExpr("substr(node, 1, 1) AS level", "mass").groupBy("level").sum("mass").collect())
+    ends = [0.85**k for k in range(4)]  # order, customer, nation, region
+    assert all(abs(got[level] - x / sum(ends)) < 1e-4 for level, x in zip("ocnr", ends))
