@@ -42,7 +42,12 @@ class Index:
 
 def index(docs: DataFrame, queries: DataFrame, words=tx.tokens) -> Index:
     """docs: (doc, text); queries: (qid, text)."""
-    terms = queries.select("qid", F.explode(words(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    return index_terms(docs, queries.select("qid", F.explode(words(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf")), words)
+
+
+def index_terms(docs: DataFrame, terms: DataFrame, words=tx.tokens, by_doc: bool = False) -> Index:
+    """docs: (doc, text); terms: (qid, term, qtf), where qtf may be any weight.  by_doc: deal matches out by document, for
+    words that most documents have."""
     vocabulary = terms.select("term").distinct()
     if terms.count() <= BROADCAST_WORDS:
         vocabulary = F.broadcast(vocabulary)
@@ -50,8 +55,10 @@ def index(docs: DataFrame, queries: DataFrame, words=tx.tokens) -> Index:
     sized = split.select("doc", F.size("ws").cast("long").alias("dl"))
     totals = sized.agg(F.count("*").alias("n"), F.sum("dl").alias("total")).first()
     found = split.select("doc", F.size("ws").cast("long").alias("dl"), F.explode("ws").alias("term")).join(vocabulary, "term", "left_semi")
-    matches = found.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    matches = (found.repartition("doc") if by_doc else found).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
     df = matches.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    if by_doc and docs.sparkSession.sparkContext.getCheckpointDir() is not None:
+        df = df.checkpoint()  # a row a word of the queries
     return Index(sized, matches, terms, df, totals["n"], totals["total"] or 0)
 
 
@@ -162,6 +169,29 @@ def qlm_jm(ix: Index, k: int, lam: float = 0.1) -> DataFrame:
     return _with_unmatched(ix, matched, base, [F.col("doc")], k)
 
 
+def qlm_jm_best(ix: Index, k: int, lam: float) -> DataFrame:
+    """best(qlm_jm(), k) for queries whose words most documents have: (qid, doc, score, rank).
+
+    For lam < 1 a match only raises the score, so documents without one are wanted only where a query has under k
+    with one, and then the first 2k documents hold enough.  Matches are dealt out by document, so the sums by query and
+    document stay where they are.
+    """
+    if not 0 < lam < 1:
+        raise ValueError("lambda must lie in (0, 1)")
+    p = F.col("cf") / F.lit(float(ix.total))
+    known = ix.terms.join(ix.df, "term").select("qid", "term", "qtf", "cf")
+    wanted = F.broadcast(known) if known.count() <= BROADCAST_WORDS else known
+    gain = F.log((1 - lam) * F.col("tf") / F.col("dl") + lam * p) - F.log(lam * p)
+    part = ix.matches.join(wanted, "term").groupBy("qid", "doc").agg(F.sum(F.col("qtf") * gain).alias("gain"))
+    consts = F.broadcast(known.groupBy("qid").agg((F.sum(F.col("qtf") * F.log(p)) + F.sum("qtf") * math.log(lam)).alias("base")))
+    top = best(part.join(consts, "qid").select("qid", "doc", (F.col("gain") + F.col("base")).alias("score")), k)
+    if top.sparkSession.sparkContext.getCheckpointDir() is not None:
+        top = top.checkpoint()  # k rows a query
+    few = consts.join(top.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").where(F.coalesce("n", F.lit(0)) < k)
+    free = F.broadcast(ix.docs.select("doc").orderBy("doc").limit(2 * k)).join(few).join(F.broadcast(top.select("qid", "doc")), ["qid", "doc"], "left_anti")
+    return best(top.select("qid", "doc", "score").unionByName(free.select("qid", "doc", F.col("base").alias("score"))), k)
+
+
 def rm3_terms(docs: DataFrame, ix: Index, first: DataFrame, feedback: int = 10, n_terms: int = 10, alpha: float = 0.5) -> DataFrame:
     """(qid, term, weight): the query's words mixed with the words of its best ``feedback`` documents.
 

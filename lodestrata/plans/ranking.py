@@ -93,10 +93,28 @@ def qlm_jm_topk(spark, sf):
     return shown(lexical.best(lexical.qlm_jm(_index(spark, sf), K), K))
 
 
-def rm3_expansion(spark, sf):
+def _expanded(spark, sf):
     ix = _index(spark, sf)
     first = lexical.qlm_jm(ix, K, 0.5)
-    return lexical.rm3_terms(corpus(spark, sf), ix, first).select("qid", "term", F.round("weight", 9).alias("weight"))
+    return lexical.rm3_terms(corpus(spark, sf), ix, first)
+
+
+def _asked_terms(spark, sf):
+    return asked(spark, sf).select("qid", F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+
+
+def rm3_expansion(spark, sf):
+    return _expanded(spark, sf).select("qid", "term", F.round("weight", 9).alias("weight"))
+
+
+def rm3_topk(spark, sf):
+    """All documents by the expanded query: sum of weight * ln p(term | document), smoothed as in the first pass."""
+    docs = corpus(spark, sf)
+    ix = lexical.index_terms(docs, _asked_terms(spark, sf), by_doc=True)
+    terms = lexical.rm3_terms(docs, ix, lexical.qlm_jm_best(ix, K, 0.5).select("qid", "doc", "score")).select("qid", "term", F.col("weight").alias("qtf"))
+    if spark.sparkContext.getCheckpointDir() is not None:  # about ten words more than the queries have; used often
+        terms = terms.checkpoint()
+    return shown(lexical.qlm_jm_best(lexical.index_terms(docs, terms, by_doc=True), K, 0.5))
 
 
 def sparse_expansion_topk(spark, sf):
@@ -163,7 +181,7 @@ def random_pack(spark, sf):
 
 FUNCTIONS = (
     tokenize_stats, token_cost, identifier_extract, title_body, request_key, term_postings, doc_freq, collection_stats,
-    bm25_plus_topk, bm25_okapi_topk, bm25f_topk, tfidf_topk, qlm_dirichlet_topk, qlm_jm_topk, rm3_expansion, sparse_expansion_topk,
+    bm25_plus_topk, bm25_okapi_topk, bm25f_topk, tfidf_topk, qlm_dirichlet_topk, qlm_jm_topk, rm3_expansion, rm3_topk, sparse_expansion_topk,
     rrf_one_based, rrf_zero_based, min_max_norm, comb_sum, comb_mnz, comb_anz, jaccard_rerank, budget_pack, full_context_pack, random_pack,
 )
 
@@ -254,6 +272,22 @@ rm AS (SELECT qid, term, sum(post * tf / dl) AS w FROM po JOIN p USING (doc) JOI
 rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(w, 12) DESC, term) AS r FROM rm) WHERE r <= 10),
 u AS (SELECT qid, term, 0.5::DOUBLE * w / sum(w) OVER (PARTITION BY qid) AS w FROM rk UNION ALL SELECT qid, term, 0.5::DOUBLE * qtf / sum(qtf) OVER (PARTITION BY qid) FROM q)
 SELECT qid, term, round(sum(w), 9) AS weight FROM u GROUP BY qid, term""",
+    "rm3_topk": _top(
+        _BASE
+        + _QL
+        + ", s0 AS "
+        + _JM.format(lam="0.5")
+        + """,
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc) AS r FROM s0) WHERE r <= 10),
+e AS (SELECT qid, doc, exp(score - max(score) OVER (PARTITION BY qid)) AS e FROM t), po AS (SELECT qid, doc, e / sum(e) OVER (PARTITION BY qid) AS post FROM e),
+rm AS (SELECT qid, term, sum(post * tf / dl) AS w FROM po JOIN p USING (doc) JOIN dl USING (doc) GROUP BY qid, term),
+rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(w, 12) DESC, term) AS r FROM rm) WHERE r <= 10),
+u AS (SELECT qid, term, 0.5::DOUBLE * w / sum(w) OVER (PARTITION BY qid) AS w FROM rk UNION ALL SELECT qid, term, 0.5::DOUBLE * qtf / sum(qtf) OVER (PARTITION BY qid) FROM q),
+x AS (SELECT qid, term, sum(w) AS w FROM u GROUP BY qid, term),
+xc AS (SELECT qid, sum(w * ln(0.5::DOUBLE * cf / total)) AS base FROM x JOIN df USING (term), st GROUP BY qid),
+xg AS (SELECT qid, doc, sum(w * (ln(0.5::DOUBLE * tf / dl + 0.5::DOUBLE * cf / total) - ln(0.5::DOUBLE * cf / total))) AS gain FROM x JOIN df USING (term) JOIN p USING (term) JOIN dl USING (doc), st GROUP BY qid, doc),
+s AS (SELECT xc.qid, dl.doc, base + coalesce(gain, 0) AS score FROM xc CROSS JOIN dl LEFT JOIN xg ON xg.qid = xc.qid AND xg.doc = dl.doc)"""
+    ),
     "sparse_expansion_topk": _top(
         _BASE
         + """, qb AS (SELECT qid, term, ln(1 + qtf) AS w FROM q),

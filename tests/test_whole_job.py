@@ -41,3 +41,30 @@ def test_pagerank_query_settles(spark):
     got = dict(catalogue.queries()["pagerank_converged"](spark, SF).selectExpr("substr(node, 1, 1) AS level", "mass").groupBy("level").sum("mass").collect())
     ends = [0.85**k for k in range(4)]  # order, customer, nation, region
     assert all(abs(got[level] - x / sum(ends)) < 1e-4 for level, x in zip("ocnr", ends))
+
+
+def test_rm3_ranks_all_documents_by_the_expanded_query(spark):
+    import math
+    from collections import Counter
+
+    import pytest
+
+    from lodestrata.functions import text as tx
+    from lodestrata.plans import ranking
+
+    q = catalogue.queries()
+    weights, got = {}, {}
+    for r in ranking._expanded(spark, SF).collect():
+        weights.setdefault(r["qid"], {})[r["term"]] = r["weight"]
+    for r in q["rm3_topk"](spark, SF).collect():
+        got.setdefault(r["qid"], {})[r["rank"]] = r["score"]
+    docs = [Counter(r["ws"]) for r in ranking.corpus(spark, SF).select(tx.tokens("text").alias("ws")).collect()]
+    sizes, words = [d.total() for d in docs], Counter()
+    for d in docs:
+        words.update(d)
+    total = sum(sizes)
+    assert len(got) >= 5
+    for qid in sorted(got)[:5]:
+        known = [(t, w) for t, w in weights[qid].items() if words[t]]
+        scores = sorted((sum(w * math.log((0.5 * d[t] / n if n else 0) + 0.5 * words[t] / total) for t, w in known) for d, n in zip(docs, sizes)), reverse=True)
+        assert [got[qid][k] for k in range(1, 11)] == pytest.approx(scores[:10], abs=2e-6)
