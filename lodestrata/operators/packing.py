@@ -17,26 +17,26 @@ def pack(ranked: DataFrame, docs: DataFrame, budget: int) -> DataFrame:
     return costs.join(ranked, "doc").withColumn("used", F.sum("cost").over(w)).where(F.col("used") <= budget)
 
 
-def corpus_prefix(docs: DataFrame, budget: int) -> DataFrame:
-    """Documents in corpus order as long as they fit, for one query.
+def corpus_prefix(docs: DataFrame, budget: int, order: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """Documents in corpus order, or that of the columns ``order`` (doc among them), as long as they fit, for one query.
 
     Running sums are made by ranges of ids, then shifted by the ranges' totals: no task holds the corpus.
     """
     spark = docs.sparkSession
-    sized = docs.select("doc", tx.token_cost(F.col("text")).alias("cost")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc").withColumn("part", F.spark_partition_id())
+    sized = docs.select(*order, tx.token_cost(F.col("text")).alias("cost")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("part", F.spark_partition_id())
     sums = sized.groupBy("part").agg(F.sum("cost").alias("c"), F.count("*").alias("n")).orderBy("part").collect()  # one row a task
     rows, used, seen = [], 0, 0
     for r in sums:
         rows.append((r["part"], used, seen))
         used, seen = used + r["c"], seen + r["n"]
     shift = spark.createDataFrame(rows, "part int, used0 long, seen0 long")
-    w = Window.partitionBy("part").orderBy("doc").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = sized.join(F.broadcast(shift), "part").withColumn("used", F.sum("cost").over(w) + F.col("used0"))
     out = out.withColumn("rank", F.row_number().over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long") + F.col("seen0"))
-    return out.where(F.col("used") <= budget).select("doc", "rank", "cost", "used")
+    return out.where(F.col("used") <= budget).select(*order, "rank", "cost", "used")
 
 
-def shuffled(docs: DataFrame, seed: int, k: int) -> DataFrame:
-    """The first k documents of an order that a hash of seed and id gives."""
+def shuffled(docs: DataFrame, seed: int, budget: int) -> DataFrame:
+    """Documents in an order that a hash of seed and id gives, as long as they fit."""
     key = F.xxhash64(F.lit(seed), F.col("doc"))
-    return docs.select("doc", key.alias("key")).orderBy("key", "doc").limit(k)
+    return corpus_prefix(docs.select("doc", "text", key.alias("key")), budget, ("key", "doc"))

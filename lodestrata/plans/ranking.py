@@ -176,7 +176,7 @@ def full_context_pack(spark, sf):
 
 
 def random_pack(spark, sf):
-    return packing.shuffled(corpus(spark, sf), 0, 20).select("doc", "key")
+    return packing.shuffled(corpus(spark, sf), 0, BUDGET).select("doc", "key", "rank", "cost", "used")
 
 
 FUNCTIONS = (

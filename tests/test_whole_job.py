@@ -68,3 +68,16 @@ def test_rm3_ranks_all_documents_by_the_expanded_query(spark):
         known = [(t, w) for t, w in weights[qid].items() if words[t]]
         scores = sorted((sum(w * math.log((0.5 * d[t] / n if n else 0) + 0.5 * words[t] / total) for t, w in known) for d, n in zip(docs, sizes)), reverse=True)
         assert [got[qid][k] for k in range(1, 11)] == pytest.approx(scores[:10], abs=2e-6)
+
+
+def test_random_pack_fills_the_budget_and_no_more(spark):
+    from pyspark.sql import functions as F
+
+    from lodestrata.operators import packing
+
+    for chars in (4, 400):  # costs of 1 and 100
+        docs = spark.range(0, 300).select(F.col("id").alias("doc"), F.repeat(F.lit("x"), chars).alias("text"))
+        got = packing.shuffled(docs, 0, 150).orderBy("rank").collect()
+        n = min(300, 150 // (chars // 4))
+        want = docs.orderBy(F.xxhash64(F.lit(0), "doc"), "doc").limit(n).select("doc").collect()
+        assert [r["doc"] for r in got] == [r["doc"] for r in want] and got[-1]["used"] == n * (chars // 4)
