@@ -110,9 +110,9 @@ def studentized_ci(values: Sequence[float], n: int = 2000, confidence: float = 0
     """Bootstrap-t interval of a mean."""
     x, rng = np.asarray(values, float), np.random.default_rng(seed)
     m, se = float(x.mean()), float(x.std(ddof=1)) / math.sqrt(len(x))
-    draws = x[rng.integers(0, len(x), (n, len(x)))]
-    ses = draws.std(axis=1, ddof=1) / math.sqrt(len(x))
-    t = (draws.mean(axis=1) - m) / np.where(ses > 0, ses, se or 1.0)
+    draws = (x[rng.integers(0, len(x), len(x))] for _ in range(n))  # one at a time, whatever the group's size
+    means, ses = np.array([(d.mean(), d.std(ddof=1) / math.sqrt(len(x))) for d in draws]).T
+    t = (means - m) / np.where(ses > 0, ses, se or 1.0)
     a = (1 - confidence) / 2
     low, high = np.quantile(t, [a, 1 - a])
     return m, float(m - high * se), float(m - low * se)

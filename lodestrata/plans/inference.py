@@ -197,19 +197,19 @@ def _resampled(spark, sf, fn, extra=()):
 
 
 def bootstrap_ci(spark, sf):
-    return _resampled(spark, sf, lambda f: stats.percentile_ci(f["value"], n=500))
+    return _resampled(spark, sf, lambda f: stats.percentile_ci(f["value"]))
 
 
 def studentized_ci(spark, sf):
-    return _resampled(spark, sf, lambda f: stats.studentized_ci(f["value"], n=200))
+    return _resampled(spark, sf, lambda f: stats.studentized_ci(f["value"]))
 
 
 def subsample_ci(spark, sf):
-    return _resampled(spark, sf, lambda f: stats.subsampling_ci(f["value"], n=500))
+    return _resampled(spark, sf, lambda f: stats.subsampling_ci(f["value"]))
 
 
 def cluster_ci(spark, sf):
-    return _resampled(spark, sf, lambda f: stats.cluster_ci(f["value"], f["user_id"], n=200))
+    return _resampled(spark, sf, lambda f: stats.cluster_ci(f["value"], f["user_id"]))
 
 
 def _grid(spark):

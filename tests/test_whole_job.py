@@ -81,3 +81,16 @@ def test_random_pack_fills_the_budget_and_no_more(spark):
         n = min(300, 150 // (chars // 4))
         want = docs.orderBy(F.xxhash64(F.lit(0), "doc"), "doc").limit(n).select("doc").collect()
         assert [r["doc"] for r in got] == [r["doc"] for r in want] and got[-1]["used"] == n * (chars // 4)
+
+
+def test_intervals_resample_as_often_as_the_operators_do(spark):
+    from lodestrata.functions import stats
+
+    events = spark.read.parquet(f"{SF}/events.parquet").where("value is not null").select("event_type", "event_id", "user_id", "value").toPandas().sort_values("event_id")
+    operators = {
+        "bootstrap_ci": lambda f: stats.percentile_ci(f["value"]), "studentized_ci": lambda f: stats.studentized_ci(f["value"]),
+        "subsample_ci": lambda f: stats.subsampling_ci(f["value"]), "cluster_ci": lambda f: stats.cluster_ci(f["value"], f["user_id"]),
+    }
+    for name, operator in operators.items():
+        got = {r["event_type"]: (r["point"], r["low"], r["high"]) for r in catalogue.queries()[name](spark, SF).collect()}
+        assert got == {k: tuple(round(x, 6) for x in operator(f)) for k, f in events.groupby("event_type")}
