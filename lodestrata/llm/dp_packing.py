@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import fresh, quoted, ship, slices, small_batches
+from lodestrata.llm.common import named, parts_of, quoted, ship
 from lodestrata.llm.words import tokenizer_file, word_ids
 
 WINDOW = 2048
@@ -170,23 +170,21 @@ def pack(
     """One row per piece: the id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids as bytes).
 
     Null and empty texts have the end token alone.  Rows that repeat are packed each for itself; a null id stays null.
-    An empty table gives no rows.  Other columns are ignored, whatever their names.  Sequences never span tasks:
-    sequence_id is the task's partition number times 2**33 plus a counter, the same when a lost task runs again.
+    An empty table gives no rows.  Other columns are ignored, whatever their names; an output that is named like the id
+    gets an underscore in front.  Sequences never span tasks: sequence_id is the task's partition number times 2**33 plus
+    a counter, the same when a lost task runs again.
     """
     spark = docs.sparkSession
     ship(spark)
-    small_batches(spark)
     path = path or tokenizer_file()
-    key = docs.schema[id_col]
-    fields = [f for f in PIECE_FIELDS] + ([IDS_FIELD] if with_ids else [])
-    out = T.StructType([T.StructField(id_col, key.dataType, True), *[f for f in fields if f.name != id_col]])
+    fields = [*PIECE_FIELDS, *([IDS_FIELD] if with_ids else [])]
+    out = T.StructType([T.StructField("id", docs.schema[id_col].dataType, True), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() << 33
         words, packer = word_ids(path), Packer(window)
-        names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         kind: pa.DataType | None = None
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -195,21 +193,21 @@ def pack(
             arrays = [pa.array(keys, type=kind), *[pa.array(c, type=pa.int64()) for c in cols]]
             if with_ids:
                 arrays.append(pa.array(ids, type=pa.binary()))
-            return pa.RecordBatch.from_arrays(arrays, [id_col, *names, *["ids"] * with_ids])
+            return pa.RecordBatch.from_arrays(arrays, out.names)
 
         rows: list[tuple] = []
         for batch in batches:
             kind = batch.column(0).type
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                for k, (ids, stops) in zip(keys[a:b], words(texts[a:b])):
+            for a, b, texts in parts_of(batch.column(1)):
+                for k, (ids, stops) in zip(batch.column(0).slice(a, b - a).to_pylist(), words(texts)):
                     ids = np.append(ids, np.int32(eos))
                     rows += packer.add(k, ids, stops)
-            if len(rows) >= 4096:
-                yield batch_of(rows)
-                rows = []
+                if len(rows) >= 4096:
+                    yield batch_of(rows)
+                    rows = []
         rows += packer.finish()
         if rows:
             yield batch_of(rows)
 
-    return docs.select(quoted(id_col), quoted(text_col).alias(fresh([id_col], "text"))).mapInArrow(run, out)
+    names = [f.name for f in fields]
+    return docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).mapInArrow(run, out).toDF(id_col, *named([id_col], names))

@@ -14,11 +14,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import bounded_sample, crc_mod, map_text, sigmoid, small_batches
+from lodestrata.llm.common import bounded_sample, crc_mod, fitted, map_text, sigmoid, take_memory
 
 PASSAGE = 512
 HIDDEN, GATE = 16, 8
-SAMPLE_PER_CLASS = 1500
+#: Labelled documents of each class that the fit sees, and the characters that those of a class may have together.
+SAMPLE_PER_CLASS, SAMPLE_CHARS = 1500, 8_000_000
 #: Score from which label 1 is predicted.
 CUT = 0.3
 
@@ -124,10 +125,13 @@ def held_out(doc_id: Column) -> Column:
     return crc_mod(doc_id, 5) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Fit on at most per_class labelled documents of each class, none of them held out."""
-    got = bounded_sample(docs, labels, id_col, text_col, label_col, (0, 1), per_class, lambda k: ~held_out(k))
-    return fit([t for _, t, _ in got], [y for _, _, y in got])
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on at most per_class labelled documents of each class, none of them held out, of at most ``chars`` characters.
+
+    Null ids and labels, and labels but 0 and 1, are left out; null texts count as empty.  Without both labels every text
+    gets the share of label 1, about one half without any.
+    """
+    return fitted(bounded_sample(docs, labels, id_col, text_col, label_col, per_class, chars, (0, 1), lambda k: ~held_out(k)), fit)
 
 
 FIELDS = T.StructType([T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)])
@@ -136,9 +140,10 @@ FIELDS = T.StructType([T.StructField("score", T.DoubleType(), False), T.StructFi
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
     """id, score, predicted for every row.  Null and empty texts are a bag of one blank passage.  Rows that repeat and
     null ids stay as they are; an empty table gives no rows.  Other columns are ignored, whatever their names."""
-    small_batches(docs.sparkSession)
 
     def make():
+        take_memory("mil_quality")
+
         def step(texts: list) -> dict:
             s: list[float] = []
             for i in range(0, len(texts), 64):

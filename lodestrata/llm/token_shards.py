@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import quoted, scratch_path, ship, slices, small_batches, stored
+from lodestrata.llm.common import Scratch, parts_of, quoted, scratch_path, ship, stored
 from lodestrata.llm.words import tokenizer_file, word_ids
 
 LENGTH = 2048
@@ -63,7 +63,8 @@ SEQUENCE = T.StructType(
 )
 
 
-#: Documents, and characters of each, on whose sequences the compression dictionary is trained, and its size.
+#: Documents (the first that are read), and characters of the beginning of each, on whose sequences the compression
+#: dictionary is trained, and its size.  The dictionary changes how the scratch table is packed and no result.
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 300, 20_000, 64 << 10
 
 
@@ -96,7 +97,6 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, path: str, length: in
     """(part, nth, n_tokens, doc_ids, ids): ids as 2-byte little-endian numbers, filled up with the end id, compressed."""
     spark = docs.sparkSession
     ship(spark)
-    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -132,9 +132,8 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, path: str, length: in
             return out
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                for k, (ids, _) in zip(keys[a:b], words(texts[a:b])):
+            for a, b, texts in parts_of(batch.column(1)):
+                for k, (ids, _) in zip(batch.column(0).slice(a, b - a).to_pylist(), words(texts)):
                     if len(ids) and ids.max() > 65535:
                         raise ValueError("ids over 65535 need a wider stride than 2 bytes")
                     held.append((k, np.append(ids, eos).astype(np.uint16)))
@@ -186,7 +185,14 @@ def materialise(
     folder = (folder or scratch_path(spark, "shards")).rstrip("/")
     path = path or tokenizer_file()
     dictionary = dictionary_of(docs, text_col, path, length)
-    staged = stored(sequences(docs, id_col, text_col, path, length, eos, dictionary), "sequences")
+    with Scratch(spark) as keep:
+        staged = keep(sequences(docs, id_col, text_col, path, length, eos, dictionary), "sequences")
+        return _placed(staged, folder, length, per_shard, key, dictionary)
+
+
+def _placed(staged: DataFrame, folder: str, length: int, per_shard: int, key: int, dictionary: bytes) -> DataFrame:
+    """Deal the sequences out by slot, write the shards and read them back."""
+    spark = staged.sparkSession
     counts = sorted((r["part"], r["n"]) for r in staged.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row a task
     total = sum(n for _, n in counts)
     if not total:

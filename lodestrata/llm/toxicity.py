@@ -2,12 +2,12 @@
 
 Features are the words of a text, their beginnings and their endings, named by 63-bit hashes (so that in practice no
 two share one).  Each can give two columns: whether the text has it, and the density of its hits (a family of words that
-clean texts use now and then tells by how much of the text it makes up); one column more is for having any that no clean text of the sample has.  One weight vector w serves all thresholds:
+clean texts use now and then tells by how much of the text it makes up).  One weight vector w serves all thresholds:
 P(grade > k) = sigmoid(w . x - t_k) with t_0 <= t_1 <= ...; the expected severity is the sum of these probabilities.
-A column is screened by significance alone; an L1 penalty leaves weights only where the labels ask for them.
+How sure a column must be to enter, and the L1 penalty on the weights, are chosen by the loss on folds left out.
 
-The labels are binary.  Grade 0 is label 0; label 1 is split into GRADES - 1 grades of equal size by the share of a
-text's words that carry a feature which the sample shows more in label 1.
+The labels are binary.  Grade 0 is label 0.  Label 1 is split into GRADES - 1 grades of equal size by the score that a
+model gives a text which has not seen it, so grades never come from the fit that learns them.
 """
 
 from __future__ import annotations
@@ -18,22 +18,23 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import bounded_sample, fresh, map_text, quoted, sigmoid, small_batches
+from lodestrata.llm.common import bounded_sample, fitted, map_text, sigmoid, take_memory, where_text
 
-#: Labelled documents of each class that the fit sees.
-SAMPLE_PER_CLASS = 2500
+#: Labelled documents of each class that the fit sees, and the characters that those of a class may have together.
+SAMPLE_PER_CLASS, SAMPLE_CHARS = 2500, 20_000_000
 GRADES = 4
-#: Columns that the fit keeps: at most SCREENED, higher under label 1 by SURE standard errors.
-SCREENED, SURE = 20_000, 6.0
+#: Features of a word; texts of the sample that a feature must be in to be looked at.
+PARTS, LEAST_TEXTS = 5, 3
+#: What is tried: standard errors by which a column must be higher under label 1, and L1 penalties; folds left out in turn.
+SURE, L1, FOLDS = (3.0, 4.5, 6.0), (1e-4, 1e-3), 3
 #: Density is SCALE * hits / (words + PRIOR_WORDS) ** POWER: a single hit in a few words is no high one, and hits in a
 #: long text count for more than their share.
 SCALE, PRIOR_WORDS, POWER = 22.0, 20, 0.75
 #: Expected severity from which a document is rejected.
 REJECT = 0.5
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
 
 _WORD = re.compile(r"\w+")
 
@@ -55,14 +56,11 @@ def density(hits, words):
 class Model:
     columns: np.ndarray  # rising features that the fit knows
     weights: np.ndarray  # of each: for being there, and for the density of its hits
-    clean: np.ndarray  # of each: whether clean texts of the sample have it
-    any_weight: float  # for having any of the others
     thresholds: np.ndarray
 
     def scorer(self):
         """Texts to (score, expected severity, grade)."""
         weight = dict(zip(self.columns.tolist(), map(tuple, self.weights.tolist())))
-        alone = set(self.columns[~self.clean].tolist())
         known: dict[str, tuple] = {}
 
         def carried(w: str) -> tuple:
@@ -81,7 +79,6 @@ class Model:
                 if f:
                     hits.update(f)
             s = sum(weight[f][0] + weight[f][1] * density(hits[f], len(words)) for f in sorted(hits))
-            s += 0.0 if alone.isdisjoint(hits) else self.any_weight
             above = sigmoid(s - self.thresholds)
             return s, float(above.sum()), int((above > 0.5).sum())
 
@@ -118,9 +115,9 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
     return params[0], np.cumsum(params[1])
 
 
-def new_places(ids: list[np.ndarray], run: int = 5) -> list[np.ndarray]:
-    """Of each text (its words by number) the places in runs of five that no earlier text has.  Copies and passages that
-    texts share would else pass their chance words for evidence."""
+def new_places(ids: list[np.ndarray], run: int = 5) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each text (its words by number) the places in runs of five that no earlier text has, and a fold by its least run.
+    Copies and passages that texts share would else pass their chance words for evidence, or learn of the fold left out."""
     hashes = []
     for x in ids:
         at = [x[j : len(x) - min(run, len(x)) + 1 + j] for j in range(min(run, len(x)))]
@@ -129,125 +126,194 @@ def new_places(ids: list[np.ndarray], run: int = 5) -> list[np.ndarray]:
             h = (h ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         hashes.append(h)
-    text = np.repeat(np.arange(len(ids)), list(map(len, hashes)))
-    _, first, name = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    new = np.split(text[first[name]] == text, np.cumsum(list(map(len, hashes)))[:-1])
+    fold = np.array([int(h.min() >> np.uint64(7)) % FOLDS for h in hashes])
+    sizes = np.array(list(map(len, hashes)))
+    text = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+    flat = np.concatenate(hashes)
+    del hashes
+    order = np.argsort(flat, kind="stable")
+    first = np.empty(len(flat), bool)
+    sorted_ = flat[order]
+    lead = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
+    owner = text[order][lead][np.cumsum(lead) - 1]  # the earliest text that has the run
+    first[order] = owner == text[order]
     out = []
-    for x, n in zip(ids, new):
+    for x, n in zip(ids, np.split(first, np.cumsum(sizes)[:-1])):
         got = np.zeros(len(x), bool)
         for j in range(min(run, len(x))):
             got[j : j + len(n)] |= n
         out.append(got)
-    return out
+    return out, fold
 
 
-def _hits(words: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The features of a text's words and how many words carry each."""
-    got = features[words].ravel()
-    return np.unique(got[got >= 0], return_counts=True)
-
-
-def fit(texts: list[str], toxic: list[int]) -> Model:
-    """A model from labelled texts; without both labels it finds nothing toxic."""
-    y = np.array(toxic, np.int64)
-    none = Model(np.zeros(0, np.int64), np.zeros((0, 2)), np.zeros(0, bool), 0.0, np.linspace(3, 5, GRADES - 1))
-    if not (y == 1).any() or not (y == 0).any():
-        return none
+def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the features that at least LEAST_TEXTS texts have; rows, columns, hits and hits in new places of the texts
+    that have them; words of each text; and a fold of each, which near copies mostly share."""
     number: dict[str, int] = {}
     ids = [np.array([number.setdefault(w, len(number)) for w in _WORD.findall((t or "").lower())], np.int32) for t in texts]
-    table = np.full((len(number), 5), -1, np.int64)
+    table = np.full((len(number), PARTS), -1, np.int64)
     for k, w in enumerate(number):
         f = word_features(w)
         table[k, : len(f)] = f
+    del number
     names, features = np.unique(table, return_inverse=True)
-    del number, table
+    del table
     short = int((names < 0).any())
-    names, features = names[short:], features.reshape(-1, 5).astype(np.int32) - short
-    n1, n0, n = int((y == 1).sum()), int((y == 0).sum()), len(y)
-    # columns 0: being there, 1: density of the hits; the sums by label, and the sums of squares
-    total, square = np.zeros((2, 2, len(names))), np.zeros((2, len(names)))
-    for x, new, label in zip(ids, new_places(ids), y):
-        f, hits = _hits(x[new], features)
-        for c, v in enumerate((1.0, density(hits, len(x)))):
-            total[label, c, f] += v
-            square[c, f] += v * v if c else 1.0
-    both = total.sum(axis=0) / n
-    deviation = np.sqrt(np.maximum(square / n - both * both, 1e-12) * (1 / n1 + 1 / n0))
-    z = (total[1] / n1 - total[0] / n0) / deviation
-    telling = np.argwhere(z.T >= SURE)
-    telling = telling[np.argsort(-z[telling[:, 1], telling[:, 0]], kind="stable")[:SCREENED]]
-    if not len(telling):
+    names, features = names[short:], features.reshape(-1, PARTS).astype(np.int32) - short
+    rows, cols, hits, fresh_hits = [], [], [], []
+    places, fold = new_places(ids)
+    for i, (x, new) in enumerate(zip(ids, places)):
+        got = features[x].ravel()
+        f, at = np.unique(got[got >= 0], return_inverse=True)
+        rows.append(np.full(len(f), i, np.int32))
+        cols.append(f)
+        hits.append(np.bincount(at, minlength=len(f)).astype(np.int32))
+        fresh_hits.append(np.bincount(at, np.repeat(new, PARTS)[got >= 0], len(f)).astype(np.int32))
+    row, col, hit, new_hit = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (rows, cols, hits, fresh_hits))
+    often = np.bincount(col, minlength=len(names)) >= LEAST_TEXTS
+    kept = often[col]
+    column = (np.cumsum(often) - 1).astype(np.int32)
+    return names[often], row[kept], column[col[kept]], hit[kept], new_hit[kept], np.array(list(map(len, ids))), fold
+
+
+@dataclass
+class _Sample:
+    """Sparse counts of the sample; learned() fits on some of its rows."""
+
+    names: np.ndarray
+    row: np.ndarray
+    col: np.ndarray
+    hit: np.ndarray
+    new_hit: np.ndarray
+    words: np.ndarray
+    toxic: np.ndarray
+
+    def screened(self, use: np.ndarray, sure: float) -> np.ndarray:
+        """(feature, what) pairs, what 0 for being there and 1 for the density, that stand out under label 1 in the rows used."""
+        y = self.toxic
+        n1, n0 = int((use & (y == 1)).sum()), int((use & (y == 0)).sum())
+        seen = use[self.row] & (self.new_hit > 0)
+        row, col = self.row[seen], self.col[seen]
+        label, n = y[row], n0 + n1
+        chosen = []
+        for what, v in enumerate((np.ones(len(row)), density(self.new_hit[seen], self.words[row]))):
+            top, bottom = np.bincount(col, v * label, len(self.names)), np.bincount(col, v * (1 - label), len(self.names))
+            mean = (top + bottom) / n
+            deviation = np.sqrt(np.maximum(np.bincount(col, v * v, len(self.names)) / n - mean * mean, 1e-12) * (1 / n1 + 1 / n0))
+            z = (top / n1 - bottom / n0) / deviation
+            f = np.flatnonzero(z >= sure)
+            chosen.append(np.stack([f, np.full(len(f), what)], axis=1))
+        return np.concatenate(chosen)
+
+    def matrix(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, columns (places in pairs) and values of the whole sample."""
+        rows, cols, values = [], [], []
+        for what in (0, 1):
+            place = np.full(len(self.names), -1)
+            own = np.flatnonzero(pairs[:, 1] == what)
+            place[pairs[own, 0]] = own
+            got = place[self.col] >= 0
+            rows.append(self.row[got])
+            cols.append(place[self.col[got]])
+            values.append(density(self.hit[got], self.words[self.row[got]]) if what else np.ones(int(got.sum())))
+        return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+
+    def learned(self, use: np.ndarray, grades: np.ndarray, n_grades: int, sure: float, l1: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs, weights, thresholds, and the scores of all rows, for a fit on the rows used."""
+        pairs = self.screened(use, sure)
+        rows, cols, values = self.matrix(pairs)
+        own = use[rows]
+        at = np.cumsum(use) - 1
+        w, t = fit_ordinal(at[rows[own]], cols[own], values[own], grades[use], len(pairs), n_grades, l1)
+        return pairs, w, t, np.bincount(rows, w[cols] * values, len(use))
+
+
+def _loss(score: np.ndarray, threshold: np.ndarray, y: np.ndarray) -> float:
+    """Logistic loss with both labels weighing the same."""
+    z = np.clip(np.where(y == 1, score - threshold, threshold - score), -40, 40)
+    each = np.log1p(np.exp(-z))
+    return float(each[y == 1].mean() + each[y == 0].mean())
+
+
+def fit(texts: list[str], toxic: list[int]) -> Model:
+    """A model from labelled texts; without both labels it finds nothing toxic."""
+    y = np.array(toxic, np.int64)
+    none = Model(np.zeros(0, np.int64), np.zeros((0, 2)), np.linspace(3, 5, GRADES - 1))
+    if min((y == 1).sum(), (y == 0).sum()) < 1:
         return none
-    chosen = np.unique(telling[:, 0])
-    column = np.full((2, len(names)), -1)
-    column[telling[:, 1], telling[:, 0]] = np.arange(len(telling))
-    clean = total[0, 0] > 0
-    known = np.full(len(names), False)
-    known[chosen] = True
-    features = np.where(known[features] & (features >= 0), features, -1)
-    rows, cols, values, share = [], [], [], np.zeros(n)
-    for i, x in enumerate(ids):
-        f, hits = _hits(x, features)
-        share[i] = hits.sum() / max(1, len(x))
-        for c, v in enumerate((np.ones(len(f)), density(hits, len(x)))):
-            kept = column[c, f] >= 0
-            rows.append(np.full(int(kept.sum()), i))
-            cols.append(column[c, f[kept]])
-            values.append(v[kept])
-        if not clean[f].all():  # one column more: having any that clean texts lack
-            rows.append(np.array([i]))
-            cols.append(np.array([len(telling)]))
-            values.append(np.ones(1))
-    grades = np.zeros(n, np.int64)
-    order = np.lexsort((np.arange(n1), share[y == 1]))
+    *counts, fold = _counts(texts)
+    sample = _Sample(*counts, y)
+    everything = np.full(len(y), True)
+    best, scores = None, np.zeros(len(y))
+    for sure in SURE:
+        for l1 in L1:
+            out, cut = np.zeros(len(y)), np.full(len(y), 3.0)
+            for k in range(FOLDS):
+                use = fold != k
+                if use.all() or min((use & (y == 1)).sum(), (use & (y == 0)).sum()) < 1:
+                    continue
+                _, _, t, s = sample.learned(use, y, 2, sure, l1)
+                out[~use], cut[~use] = s[~use], t[0]
+            loss = _loss(out, cut, y)
+            if best is None or loss < best[0] - 1e-9:
+                best, scores = (loss, sure, l1), out - cut
+    grades = np.zeros(len(y), np.int64)
+    n1 = int((y == 1).sum())
     rank = np.empty(n1, np.int64)
-    rank[order] = np.arange(n1)
+    rank[np.lexsort((np.arange(n1), scores[y == 1]))] = np.arange(n1)
     grades[y == 1] = 1 + rank * (GRADES - 1) // n1
-    w, t = fit_ordinal(np.concatenate(rows), np.concatenate(cols), np.concatenate(values), grades, len(telling) + 1, GRADES)
+    pairs, w, t, _ = sample.learned(everything, grades, GRADES, best[1], best[2])
+    if not (w > 0).any():
+        return none
+    chosen = np.unique(pairs[w > 0, 0])
     weights = np.zeros((len(chosen), 2))
-    weights[np.searchsorted(chosen, telling[:, 0]), telling[:, 1]] = w[:-1]
-    return Model(names[chosen], weights, clean[chosen], float(w[-1]), t)
+    kept = w > 0
+    weights[np.searchsorted(chosen, pairs[kept, 0]), pairs[kept, 1]] = w[kept]
+    return Model(sample.names[chosen], weights, t)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Fit on at most per_class labelled documents of each class."""
-    got = bounded_sample(docs, labels, id_col, text_col, label_col, (0, 1), per_class)
-    return fit([t for _, t, _ in got], [y for _, _, y in got])
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS, chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on at most per_class labelled documents of each class, of at most ``chars`` characters together.
+
+    Null ids and labels, and labels but 0 and 1, are left out; null texts count as empty.  Without both labels, or
+    without any telling word, the model finds nothing toxic.
+    """
+    return fitted(bounded_sample(docs, labels, id_col, text_col, label_col, per_class, chars, (0, 1)), fit)
 
 
 FIELDS = T.StructType([T.StructField("severity", T.DoubleType(), False), T.StructField("grade", T.IntegerType(), False), T.StructField("toxic", T.BooleanType(), False)])
 
 
-def _scored(docs: DataFrame, keep: list[str], text_col: str, model: Model, names: list[str], reject: float) -> DataFrame:
-    small_batches(docs.sparkSession)
+def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:
+    """id, severity (expected grade), grade, toxic for every row.
+
+    Null and empty texts have no feature, hence the severity that the thresholds alone give, which is low.  Rows that
+    repeat and null ids stay as they are; an empty table gives no rows.  Other columns are ignored.
+    """
 
     def make():
+        take_memory("toxicity")
         score = model.scorer()
 
         def step(texts: list) -> dict:
             got = [score(t) for t in texts]
-            return dict(zip(names, ([s for _, s, _ in got], [g for _, _, g in got], [s >= reject for _, s, _ in got])))
+            return {"severity": [s for _, s, _ in got], "grade": [g for _, _, g in got], "toxic": [s >= reject for _, s, _ in got]}
 
         return step
 
-    fields = T.StructType([T.StructField(n, f.dataType, False) for n, f in zip(names, FIELDS)])
-    return map_text(docs, keep, text_col, make, fields)
+    return map_text(docs, [id_col], text_col, make, FIELDS)
 
 
-def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:
-    """id, severity (expected grade), grade, toxic for every row.
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject: float = REJECT) -> DataFrame:
+    """The rows of docs, with all their columns, whose expected severity is below reject.
 
-    Null and empty texts have no feature, hence the severity that the thresholds alone give, which is low.  Rows that
-    repeat and null ids stay as they are; an empty table gives no rows.  Other columns are ignored.
+    Null and empty texts stay.  Each row is judged by its own text, so rows that repeat stay or go together; an empty
+    table gives no rows.  Other columns may have any name and type; they don't go to Python.
     """
-    return _scored(docs, [id_col], text_col, model, FIELDS.names, reject)
 
+    def make():
+        take_memory("toxicity")
+        score = model.scorer()
+        return lambda texts: [score(t)[1] < reject for t in texts]
 
-def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject: float = REJECT) -> DataFrame:
-    """The rows of docs, with all their columns, whose expected severity is below reject."""
-    names = []
-    for n in FIELDS.names:
-        names.append(fresh([*docs.columns, *names], n))
-    keep = docs.columns
-    scored = _scored(docs, keep, text_col, model, names, reject)
-    return scored.where(~F.col(names[2])).select(*[quoted(c) for c in keep])
+    return where_text(docs, text_col, make)

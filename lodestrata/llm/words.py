@@ -13,10 +13,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lodestrata.llm.common import take_memory
+
 _STOPS = (".", "!", "?", "。", "！", "？", "…", ":", ";")
 
-#: Distinct words remembered by a worker; beyond it the memory starts anew, which changes no result.
-MEMORY_WORDS = 1_500_000
+#: Distinct words remembered by a worker (some 200 bytes each); beyond it the memory starts anew, which changes no result.
+MEMORY_WORDS = 800_000
 
 _MARK = "<|startoftext|>"
 
@@ -108,6 +110,7 @@ class WordIds:
 
 def word_ids(path: str) -> WordIds:
     """One memory a worker process and file, kept between tasks."""
+    take_memory("word ids", _open.clear)
     if path not in _open:
         _open[path] = WordIds(path)
     return _open[path]
