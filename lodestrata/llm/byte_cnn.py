@@ -16,15 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import bounded_sample, crc_mod, fresh, map_text, quoted, small_batches
+from lodestrata.llm.common import bounded_sample, crc_mod, fitted, map_text, take_memory, where_text
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 DEPTH = 8
-#: Documents of each language that the fit sees, and windows of each of them.
-SAMPLE_PER_CLASS = 250
-WINDOWS_PER_DOC = 4
+#: Documents of each language that the fit sees, whole, and the characters that they may have together.
+SAMPLE_PER_CLASS, SAMPLE_CHARS = 250, 1_000_000
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -90,8 +89,11 @@ class Model:
         return predict
 
 
-def fit(texts: list[str], languages: list[str], epochs: int = 12, seed: int = 3) -> Model:
-    """Train on windows spread over each text, by Adam steps on the cross entropy."""
+def fit(texts: list[str], languages: list[str], epochs: int = 6, seed: int = 3) -> Model:
+    """Train on all windows of the texts that have a letter, by Adam steps on the cross entropy; windows without a letter
+    say nothing and are left out.  A language weighs as much as any other, and a long text more than a short one, by the root of its length."""
+    both = [(t, x) for t, x in zip(texts, languages) if t and _LETTER.search(t)]
+    texts, languages = [t for t, _ in both], [x for _, x in both]
     names = sorted(set(languages))
     rng = np.random.default_rng(seed)
     n_out, n_feat = len(names), len(WIDTHS) * FILTERS
@@ -100,15 +102,16 @@ def fit(texts: list[str], languages: list[str], epochs: int = 12, seed: int = 3)
     bias, out, out_bias = np.zeros(n_feat), rng.normal(0, 0.2, (n_feat, n_out)), np.zeros(n_out)
     if n_out < 2:
         return Model(names, embed, kernels, bias, out, out_bias)
-    xs, ys = [], []
+    xs, ys, shares = [], [], []
     for t, lang in zip(texts, languages):
-        w = windows_of((t or "").encode("utf-8", "surrogatepass"))
-        pick = np.unique(np.linspace(0, len(w) - 1, WINDOWS_PER_DOC).astype(int))
-        xs.append(w[pick])
-        ys += [names.index(lang)] * len(pick)
-    x, y = np.concatenate(xs), np.array(ys)
-    each = 1.0 / np.maximum(1, np.bincount(y, minlength=n_out))
-    weight = each[y] / each[y].mean()
+        w = windows_of(t.encode("utf-8", "surrogatepass"))
+        w = w[_IS_LETTER[w].any(axis=1)]
+        xs.append(w)
+        ys += [names.index(lang)] * len(w)
+        shares += [1.0 / max(1, len(w)) ** 0.5] * len(w)
+    x, y, share = np.concatenate(xs), np.array(ys), np.array(shares)
+    weight = share / np.maximum(1e-12, np.bincount(y, share, n_out))[y]
+    weight /= weight.mean()
     params = [embed, *kernels, bias, out, out_bias]
     m1, m2, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(epochs):
@@ -155,45 +158,47 @@ def may_learn(doc_id: Column) -> Column:
     return crc_mod(doc_id, 4) != 2
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = SAMPLE_PER_CLASS, where=may_learn) -> Model:
-    """Fit on at most per_class documents of each language.  Languages are few; their names go to the driver."""
-    langs = sorted(r[0] for r in docs.select(quoted(lang_col)).where(quoted(lang_col).isNotNull()).distinct().collect())
-    got = bounded_sample(docs, docs, id_col, text_col, lang_col, langs, per_class, where)
-    got = [r for r in got if r[1] and _LETTER.search(r[1])]
-    return fit([t for _, t, _ in got], [y for _, _, y in got])
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = SAMPLE_PER_CLASS, where=may_learn, chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on at most per_class documents of each language, of at most ``chars`` characters together.
+
+    Rows without id or language and texts without a letter teach nothing.  With one language every text with a letter is
+    in it; with none every text is und.
+    """
+    return fitted(bounded_sample(docs, docs, id_col, text_col, lang_col, per_class, chars, where=where), fit)
 
 
 FIELDS = T.StructType([T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])
 
 
-def _predicted(docs: DataFrame, keep: list[str], text_col: str, model: Model, names: list[str]) -> DataFrame:
-    small_batches(docs.sparkSession)
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, lang_pred, score for every row; und and 0 where the text is null, empty or has no letter.
+
+    Rows that repeat and null ids stay as they are; an empty table gives no rows.  Other columns are ignored.
+    """
 
     def make():
+        take_memory("byte_cnn")
         predict = model.predictor()
 
         def step(texts: list) -> dict:
             got = predict(texts)
-            return {names[0]: [g for g, _ in got], names[1]: [s for _, s in got]}
+            return {"lang_pred": [g for g, _ in got], "score": [s for _, s in got]}
 
         return step
 
-    return map_text(docs, keep, text_col, make, T.StructType([T.StructField(n, f.dataType, False) for n, f in zip(names, FIELDS)]))
+    return map_text(docs, [id_col], text_col, make, FIELDS)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score for every row; und and 0 where the text is null, empty or has no letter.
+def identified_only(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, that have a language with a share of at least ``least``.
 
-    Rows that repeat and null ids stay as they are; an empty table gives no rows.  Other columns are ignored.
+    Null and empty texts and those without a letter go.  Each row is judged by its own text, so rows that repeat stay or
+    go together; an empty table gives no rows.  Other columns may have any name and type; they don't go to Python.
     """
-    return _predicted(docs, [id_col], text_col, model, FIELDS.names)
 
+    def make():
+        take_memory("byte_cnn")
+        predict = model.predictor()
+        return lambda texts: [g != UNKNOWN and s >= least for g, s in predict(texts)]
 
-def identified_only(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, that have a language with a share of at least ``least``."""
-    names = []
-    for n in FIELDS.names:
-        names.append(fresh([*docs.columns, *names], n))
-    keep = docs.columns
-    scored = _predicted(docs, keep, text_col, model, names)
-    return scored.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).select(*[quoted(c) for c in keep])
+    return where_text(docs, text_col, make)
