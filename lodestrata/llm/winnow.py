@@ -3,9 +3,10 @@
 Texts become arrays of words; a k-gram is hashed at each word; a window of ``w`` consecutive k-grams is represented by
 its least hash.  With k + w - 1 = 10 words, the window of k-grams that begins at a word covers exactly the ten words
 from there, so two texts that share ten consecutive words share that window's fingerprint: nothing is lost.
-Fingerprints of the test items are joined with those of the documents; only documents with a common fingerprint are
-looked at again, and only at the places where it stands are the ten words themselves compared (hits extend over the
-union of such windows).  Items of under ten words are one window each, found by the hash of all their words.
+Fingerprints of the test items are joined with those at each place of the documents; only documents with a common
+fingerprint are read again, and only at those places are the ten words themselves compared (hits extend over the union
+of such windows).  Items of under ten words are one window each, found by the hash of all their words.  What is shuffled
+are row numbers, places and fingerprints; whole texts only if too many documents have one for a broadcast of their ids.
 """
 
 from __future__ import annotations
@@ -13,12 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import quoted, stored
+from lodestrata.llm.common import Scratch, fresh, named, quoted, small_enough, stored
 
 SPAN = 10
 GRAM = 5
-#: Item windows up to which the test side is broadcast: at most about this many words of text.  Beyond it, sort-merge joins.
-BROADCAST_WINDOWS = 200_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -60,18 +59,11 @@ def _windowed(rows: DataFrame, span: int, short: list[int]) -> DataFrame:
     return rows
 
 
-def _texts(words: str, starts: Column, n: int) -> Column:
-    """(start, length, the words) at each start."""
-    w = F.col(words)
-    return F.transform(
-        starts, lambda s: F.struct(s.alias("s"), F.lit(n).alias("len"), F.concat_ws(" ", *_run(w, s, n)).alias("window"))
-    )
-
-
 def item_windows(items: DataFrame, id_col: str, text_col: str, span: int = SPAN) -> DataFrame:
-    """(item, n, window, fp): all runs of span words of each item, or its words if fewer.  Items without id are left out."""
+    """(n, fp, window, items): the different runs of span words of the items, or whole items if shorter, each with the
+    items that hold it.  Items without id are left out."""
     rows = items.select(quoted(id_col).cast("string").alias("item"), words_of(quoted(text_col)).alias("_w"))
-    rows = stored(rows.where("item is not null").withColumn("_n", F.size("_w")), "item-words").where("_n > 0")
+    rows = rows.where("item is not null").withColumn("_n", F.size("_w")).where("_n > 0")
     w = F.col("_w")
     long = _windowed(rows.where(F.col("_n") >= span), span, [])
     pairs = F.transform(F.col(f"_m{span}"), lambda x, i: F.struct(F.concat_ws(" ", *_run(w, i, span)).alias("window"), x.alias("fp")))
@@ -80,7 +72,12 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, span: int = SPAN)
     for n in range(1, span):
         whole = F.when(F.col("_n") == n, F.xxhash64(F.lit(n), *[F.get(w, F.lit(j)) for j in range(n)])).otherwise(whole)
     short = rows.where(F.col("_n") < span).select("item", F.col("_n").alias("n"), F.concat_ws(" ", "_w").alias("window"), whole.alias("fp"))
-    return out.unionByName(short).distinct()
+    return out.unionByName(short).groupBy("n", "fp", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def _places(mins: str, n: int) -> Column:
+    """(s, len, fp) of each window of n words."""
+    return F.transform(F.col(mins), lambda x, i: F.struct(i.alias("s"), F.lit(n).alias("len"), x.alias("fp")))
 
 
 def contamination(
@@ -96,57 +93,76 @@ def contamination(
 
     Null and empty texts have no words and are clean.  Rows that repeat are answered each for itself, as are rows
     whose id is null.  Items that repeat under one id count once; an empty item table leaves all documents clean.
-    Other columns are ignored, whatever their names.
+    Other columns are ignored, whatever their names; an output that is named like the id gets an underscore in front.
     """
-    windows = stored(item_windows(items, item_id_col, item_text_col, span), "item-windows")
-    by_n = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.count("*").alias("c")).collect()}  # ten rows at most
-    short = sorted(n for n in by_n if n < span)
-    small = sum(by_n.values()) <= BROADCAST_WINDOWS
-    sent = F.broadcast if small else (lambda df: df)
-
-    rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_t"))
-    rows = rows.withColumn("_h", F.xxhash64("_t"))
-    fps = rows.select("_id", "_h", words_of(F.col("_t")).alias("_w")).withColumn("_n", F.size("_w"))
-    fps = _windowed(fps, span, short)
-    marks = [f"_m{n}" for n in [span, *short]]
-    one = F.array_distinct(F.concat(*marks) if len(marks) > 1 else F.col(marks[0]))
-    fps = fps.select("_id", "_h", F.explode(one).alias("fp"))
-    common = fps.join(sent(windows.select("fp").distinct()), "fp", "left_semi")
-    common = common.groupBy(F.col("_id").alias("_id2"), F.col("_h").alias("_h2")).agg(F.collect_set("fp").alias("_fps"))
-
-    # again whole documents, now with the fingerprints that some item has; windows only where those stand
-    again = rows.join(common, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left")
-    again = again.select("_id", "_h", "_fps", words_of(F.col("_t")).alias("_w")).withColumn("_n", F.size("_w"))
-    again = again.withColumn("_w", F.when(F.col("_fps").isNotNull(), F.col("_w")))
-    again = _windowed(again, span, short)
-    found = [
-        _texts("_w", F.filter(F.transform(F.col(f"_m{n}"), lambda x, i: F.when(F.array_contains(F.col("_fps"), x), i)), lambda i: i.isNotNull()), n)
-        for n in [span, *short]
-    ]
-    again = again.select("_id", "_h", F.col("_n").cast("long").alias("n_words"), (F.concat(*found) if len(found) > 1 else found[0]).alias("_found"))
-    again = stored(again, "document-windows")
-
-    hits = again.where(F.size("_found") > 0).select("_id", "_h", F.explode("_found").alias("_f")).select("_id", "_h", "_f.*").distinct()
-    hits = hits.join(sent(windows.select("item", "window")), "window")
-    hits = stored(hits.select("_id", "_h", "s", "len", "item"), "hits")
-    covered = hits.select("_id", "_h", F.explode(F.sequence("s", F.col("s") + F.col("len") - 1)).alias("at")).distinct()
-    covered = covered.groupBy("_id", "_h").agg(F.count("*").alias("n_hit"))
-    named = hits.groupBy("_id", "_h").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    both = named.join(covered, named["_id"].eqNullSafe(covered["_id"]) & (named["_h"] == covered["_h"]))
-    both = both.select(named["_id"].alias("_id3"), named["_h"].alias("_h3"), "n_hit", "items")
-
-    out = again.select("_id", "_h", "n_words").join(both, F.col("_id").eqNullSafe(F.col("_id3")) & (F.col("_h") == F.col("_h3")), "left")
-    return out.select(
-        F.col("_id").alias(id_col),
+    out = _hits(docs, items, id_col, text_col, item_id_col, item_text_col, span)
+    out = out.select(
+        F.col("_id").alias("id"),
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated"),
     )
-
-
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that hold no window of any item."""
-    bad = contamination(docs, items, id_col, text_col).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, quoted(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    return out.toDF(id_col, *named([id_col], out.columns[1:]))
+
+
+def _hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, span: int) -> DataFrame:
+    """(_id, _h, n_words, n_hit, items) for each row of docs; _h: the text's hash; n_hit and items null where there are none."""
+    spark = docs.sparkSession
+    rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_t")).withColumn("_h", F.xxhash64("_t"))
+    with Scratch(spark) as keep:
+        windows = keep(item_windows(items, item_id_col, item_text_col, span), "item-windows")
+        lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # ten rows at most
+        short = [n for n in lengths if n < span]
+        fps = keep(windows.select("n", "fp").distinct(), "fingerprints")
+        fps = F.broadcast(fps) if small_enough(fps) else fps
+
+        # the first place of each row stands for the row, so rows without hits stay; the others only if an item has them
+        placed = rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "_h", words_of(F.col("_t")).alias("_w")).withColumn("_n", F.size("_w"))
+        placed = _windowed(placed, span, short)
+        row = F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).alias("len"), F.xxhash64("_row").alias("fp")))  # any fp: no window has length 0
+        every = F.concat(row, *[_places(f"_m{n}", n) for n in [span, *short]])
+        placed = placed.select("_row", "_id", "_h", "_n", F.explode(every).alias("p")).select("_row", "_id", "_h", "_n", "p.*")
+        if lengths:
+            there = fps.select(F.col("n").alias("_n2"), F.col("fp").alias("_fp2"), F.lit(True).alias("there"))
+            placed = placed.join(there, (F.col("fp") == F.col("_fp2")) & (F.col("len") == F.col("_n2")), "left").where("s < 0 or there")
+        else:
+            placed = placed.where("s < 0")
+        found = placed.groupBy("_row", "_id", "_h", "_n").agg(F.collect_list(F.when(F.col("s") >= 0, F.struct("s", "len"))).alias("places"))
+        found = keep(found.select("_id", "_h", F.col("_n").cast("long").alias("n_words"), "places"), "places")
+
+        some = found.where(F.size("places") > 0).select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), "places")
+        some = keep(some.dropDuplicates(["_id2", "_h2"]), "hit-documents")
+        same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2"))
+        few = small_enough(some, 8 * F.size("places"))
+        again = rows.join(F.broadcast(some) if few else some, same).select("_id", "_h", "places", words_of(F.col("_t")).alias("_w"))
+        again = again.select("_id", "_h", F.inline(F.transform("places", lambda p: F.struct(p["s"].alias("s"), p["len"].alias("n"), F.concat_ws(" ", F.slice("_w", p["s"] + 1, p["len"])).alias("window")))))
+        again = again.distinct()  # of rows that repeat
+        known = windows.select("n", "window", "items")
+        chars = F.octet_length("window") + F.aggregate("items", F.lit(0), lambda a, x: a + 16 + F.octet_length(x))
+        hits = again.join(F.broadcast(known) if small_enough(known, chars) else known, ["n", "window"])
+        hits = keep(hits.select("_id", "_h", "s", "n", "items"), "hits")
+
+        covered = hits.select("_id", "_h", F.explode(F.sequence("s", F.col("s") + F.col("n") - 1)).alias("at")).distinct()
+        covered = covered.groupBy("_id", "_h").agg(F.count("*").alias("n_hit")).select(F.col("_id").alias("_id3"), F.col("_h").alias("_h3"), "n_hit")
+        named_ = hits.groupBy("_id", "_h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))  # lists that windows share come once
+        both = named_.join(covered, F.col("_id").eqNullSafe(F.col("_id3")) & (F.col("_h") == F.col("_h3")))
+        both = keep(both.select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), "n_hit", "items"), "answers")
+        size = 16 + F.aggregate("items", F.lit(0), lambda a, x: a + 16 + F.octet_length(x))
+        out = found.join(F.broadcast(both) if small_enough(both, size) else both, same, "left")
+        return stored(out.select("_id", "_h", "n_words", "n_hit", "items"), "contamination")
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of any item.
+
+    Each row is judged by its own text: null and empty texts stay, rows that repeat stay or go together, rows with one id
+    and different texts each for itself.  An empty item table drops nothing; an empty table gives no rows.
+    """
+    bad = _hits(docs, items, id_col, text_col, item_id_col, item_text_col, SPAN).where("n_hit is not null").select("_id", "_h").distinct()
+    bad = stored(bad, "contaminated")
+    k, h = fresh(docs.columns, "bad_id"), fresh(docs.columns, "bad_hash")
+    bad = bad.toDF(k, h)
+    same = quoted(id_col).eqNullSafe(F.col(k)) & (F.xxhash64(quoted(text_col)) == F.col(h))
+    return docs.join(F.broadcast(bad) if small_enough(bad) else bad, same, "left_anti")
