@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import fresh, map_text, quoted, small_batches, stored
+from lodestrata.llm.common import Scratch, fresh, hot_keys, map_text, named, quoted, salted_join, small_enough, stored, take_memory
 
 BANDS, ROWS, BITS = 32, 5, 2
 HASHES = BANDS * ROWS
@@ -28,7 +28,7 @@ MARGIN = 0.2
 #: Rounds in which each band key has one centre; what they leave apart is compared pair by pair.
 ROUNDS = 2
 #: Distinct words whose hash a worker remembers.
-MEMORY_WORDS = 800_000
+MEMORY_WORDS = 400_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -108,15 +108,24 @@ SIGNATURE = T.StructType(
 )
 
 
+def _own_memory() -> None:
+    take_memory("word hashes", _words.clear)
+
+
 def _fresh_memory() -> None:
     if len(_words) > MEMORY_WORDS:
         _words.clear()
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    def make():
-        import xxhash
+def _digest(s: np.ndarray) -> list:
+    import xxhash
+
+    return np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8").tolist() if len(s) else [None, None]
+
 
+def signatures(docs: DataFrame, keep: list[str], text_col: str, k: int) -> DataFrame:
+    def make():
+        _own_memory()
         sign = Signer()
 
         def step(texts: list) -> dict:
@@ -124,26 +133,34 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
             out = {f.name: [] for f in SIGNATURE}
             for t in texts:
                 s = shingle_set(t, k)
-                d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
                 bands, bits = sign(s) if len(s) else (None, None)
-                for name, v in zip(out, (len(s), *(d.tolist() if len(s) else (None, None)), bands, bits)):
+                for name, v in zip(out, (len(s), *_digest(s), bands, bits)):
                     out[name].append(v)
             return out
 
         return step
 
-    return map_text(docs, [id_col], text_col, make, SIGNATURE)
+    return map_text(docs, keep, text_col, make, SIGNATURE)
+
+
+SET = T.StructType([SIGNATURE["set_hi"], SIGNATURE["set_lo"], T.StructField("shingles", T.ArrayType(T.LongType(), False))])
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, text_col: str, k: int) -> DataFrame:
+    """(set_hi, set_lo, shingles) of each row."""
+
     def make():
+        _own_memory()
+
         def step(texts: list) -> dict:
             _fresh_memory()
-            return {"shingles": [shingle_set(t, k).view(np.int64) for t in texts]}
+            sets = [shingle_set(t, k) for t in texts]
+            digests = [_digest(s) for s in sets]
+            return {"set_hi": [d[0] for d in digests], "set_lo": [d[1] for d in digests], "shingles": [s.view(np.int64) for s in sets]}
 
         return step
 
-    return map_text(docs, [id_col], text_col, make, T.StructType([T.StructField("shingles", T.ArrayType(T.LongType(), False))]))
+    return map_text(docs, [], text_col, make, SET)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -157,24 +174,25 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - unlike / F.lit(float(HASHES))) - F.lit(chance)) / F.lit(1 - chance)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, store=stored) -> DataFrame:
     """(id, comp) for each end of links (a, b): the least id that it reaches.  Every round each node joins its least
-    neighbour and the graph is contracted; rounds grow with the logarithm of the longest chain."""
-    edges = stored(links.select("a", "b").where("a <> b").distinct(), "edges")
-    label = None
-    while True:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).select(F.col("a").alias("x"), "to"), "hook")
-        if label is None:
-            label = step.select(F.col("x").alias("id"), F.col("to").alias("comp"))
-        else:
-            label = label.join(step, label["comp"] == step["x"], "left").select("id", F.coalesce("to", "comp").alias("comp"))
-        label = stored(label, "label")
-        moved = edges.join(step, edges["a"] == step["x"]).select(F.col("to").alias("a"), "b")
-        moved = moved.join(step, moved["b"] == step["x"]).select("a", F.col("to").alias("b")).where("a <> b")
-        edges = stored(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-        if edges.isEmpty():
-            return label
+    neighbour and the graph is contracted; rounds grow with the logarithm of the longest chain.  ``store`` writes the result."""
+    with Scratch(links.sparkSession) as keep:
+        edges = keep(links.select("a", "b").where("a <> b").distinct(), "edges")
+        label = None
+        while True:
+            both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            step = keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).select(F.col("a").alias("x"), "to"), "hook")
+            if label is None:
+                label = step.select(F.col("x").alias("id"), F.col("to").alias("comp"))
+            else:
+                label = label.join(step, label["comp"] == step["x"], "left").select("id", F.coalesce("to", "comp").alias("comp"))
+            label = keep(label, "label")
+            moved = edges.join(step, edges["a"] == step["x"]).select(F.col("to").alias("a"), "b")
+            moved = moved.join(step, moved["b"] == step["x"]).select("a", F.col("to").alias("b")).where("a <> b")
+            edges = keep(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+            if edges.isEmpty():
+                return store(label, "components")
 
 
 PROFILE = T.StructType(
@@ -191,12 +209,12 @@ PROFILE = T.StructType(
 MAP_LONGS = 16
 
 
-def _profiles(there: DataFrame, sets: DataFrame) -> DataFrame:
+def _profiles(there: DataFrame, sets: DataFrame, hot: DataFrame) -> DataFrame:
     """What sets (id, centre) lack of their centre's set, and have beyond it, as bit maps of MAP_LONGS longs; spare: how
     many more shingles beyond it there are than bits set."""
     x = sets.select("id", F.col("shingles").alias("s"))
     c = sets.select(F.col("id").alias("centre"), F.col("shingles").alias("c"))
-    both = there.join(x, "id").join(c, "centre")
+    both = salted_join(there.join(x, "id"), c, ["centre"], F.col("id"), hot)
     both = both.select("id", "centre", F.size("s").alias("n"), F.size("c").alias("n_centre"), F.array_except("c", "s").alias("lost"), F.array_except("s", "c").alias("own"))
 
     def marks(values) -> np.ndarray:
@@ -274,93 +292,150 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: id, n_shingles, component_id, kept.
 
     Texts are linked where 100 * intersection >= percent * union of their sets of k-word shingles (fewer words: the
-    whole sequence is one shingle).  component_id is the least id that links reach; kept marks the row that has it.
+    whole sequence is one shingle).  component_id is the least id that links reach; kept marks the rows that have it.
     Null texts and texts without words have an empty set, are linked with nothing and kept.  Rows that repeat share
-    their id, hence their answer.  Rows whose id is null are linked with nothing: component_id null, kept true.
-    An empty table gives no rows.  Other columns are ignored, whatever their names.
+    their answer; rows with one id and different texts are answered each by its own text.  Rows whose id is null are
+    linked with nothing: component_id null, kept true.  An empty table gives no rows.  Ids may be of any type that has an
+    order.  Other columns are ignored, whatever their names; an output that is named like the id gets an underscore in front.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
-    signed = stored(signatures(rows, "id", "text", k), "signatures")
-    shingled = signed.where("n_shingles > 0 and id is not null")
-    classes = shingled.groupBy("set_hi", "set_lo").agg(F.min(F.struct("id", "n_shingles", "bands", "bits")).alias("r"))
-    classes = stored(classes.select("set_hi", "set_lo", "r.*"), "classes")
-
-    keyed = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
-    mates = stored(keyed.join(shared, "key", "left_semi").select("key", "id"), "band-mates")
-    ids = stored(mates.select("id").distinct(), "candidates")
-    bits = stored(classes.join(ids, "id", "left_semi").select("id", "n_shingles", "bits"), "bits")
-    wanted = rows.join(ids, "id", "left_semi")
-    sets = stored(shingle_sets(wanted, "id", "text", k).dropDuplicates(["id"]), "sets")
+    out = _groups(docs, id_col, text_col, k, percent).select("id", "n_shingles", "component_id", "kept")
+    return out.toDF(id_col, *named([id_col], out.columns[1:]))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """(id, h, n_shingles, component_id, kept) for each row of docs; h: the text's hash."""
+    spark = docs.sparkSession
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), F.xxhash64(quoted(text_col)).alias("h"))
+    with Scratch(spark) as keep:
+        signed = keep(signatures(rows, ["id", "h"], "text", k), "signatures")
+        shingled = signed.where("n_shingles > 0 and id is not null")
+        classes = shingled.groupBy("set_hi", "set_lo").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+        classes = keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbers, fixed by writing them
+        comp = _linked(keep, classes, rows, k, percent)
+
+        if comp is None:
+            whole = classes.select("set_hi", "set_lo", "n", F.col("least").alias("component_id"))
+        else:
+            whole = classes.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            least = whole.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+            least = keep(least.where("m > 1"), "least")
+            whole = salted_join(whole, least, ["comp"], F.col("id"), hot_keys(least, ["comp"], "m"), "left")
+            whole = whole.select("set_hi", "set_lo", "n", F.coalesce("component_id", "least").alias("component_id"))
+        whole = keep(whole, "groups")
+        found = salted_join(shingled.select("id", "h", "n_shingles", "set_hi", "set_lo"), whole.drop("n"), ["set_hi", "set_lo"], F.struct("id", "h"), hot_keys(whole, ["set_hi", "set_lo"]))
+        alone = signed.where("n_shingles = 0 or id is null").select("id", "h", "n_shingles", F.col("id").alias("component_id"))
+        out = found.select("id", "h", "n_shingles", "component_id").unionByName(alone)
+        return stored(out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))), "near-duplicates")
+
+
+def _linked(keep: Scratch, classes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """(id, comp) of the classes that are linked with others, by their numbers; None if no two share a band."""
+    keyed = classes.select("id", F.explode("bands").alias("key"))
+    shared = keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
+    hot = keep(hot_keys(shared, ["key"]), "hot-keys")
+    mates = keep(salted_join(keyed, shared, ["key"], F.col("id"), hot), "band-mates")
+    ids = keep(mates.groupBy("id").agg(F.sum("n").alias("degree")), "candidates")
+    if ids.isEmpty():
+        return None
+    some = keep(classes.join(ids, "id").select("id", "set_hi", "set_lo", "n_shingles", "bits", "degree"), "bits")
+    bits = some.select("id", "n_shingles", "bits")
+    wanted = some.select("id", F.col("set_hi").alias("hi"), F.col("set_lo").alias("lo"))
+    sets = shingle_sets(_first_rows(rows, classes, ids), "text", k)
+    sets = sets.join(wanted, (F.col("set_hi") == F.col("hi")) & (F.col("set_lo") == F.col("lo"))).select("id", "shingles")
+    sets = keep(sets.dropDuplicates(["id"]), "sets")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b), those that sizes and packed bits allow, with the estimate."""
         x = bits.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("xa"))
         y = bits.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("xb"))
-        both = pairs.join(x, "a").join(y, "b")
+        both = _with_partner(pairs.join(x, "a"), y)
         both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return both.withColumn("est", estimate(F.col("xa"), F.col("xb"))).where(F.col("est") >= percent / 100 - MARGIN).select("a", "b", "est")
 
+    def _with_partner(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+        """pairs (a, b, ...) with facts (b, ...).  A text that stands in the middle of a large group is b of many pairs."""
+        pairs = keep(pairs, "pairs")
+        often = keep(pairs.groupBy("b").agg(F.count("*").alias("n")), "partners")
+        return salted_join(pairs, facts, ["b"], F.col("a"), hot_keys(often, ["b"]))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
         y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        both = pairs.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+        both = _with_partner(pairs, y).join(x, "a").withColumn("both", F.size(F.array_intersect("sa", "sb")))
         return both.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
+    def by_key(big: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+        return salted_join(big, small, ["key"], F.col("id"), hot, how)
+
     def member(comp: DataFrame | None) -> DataFrame:
         """(key, id, comp) of the band keys that more than one component has."""
         if comp is None:
-            return mates.withColumn("comp", F.col("id"))
+            return mates.select("key", "id", F.col("id").alias("comp"))
         m = mates.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
         split = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-        return m.join(split, "key", "left_semi")
+        return by_key(m, split)
 
-    degree = mates.join(shared, "key").groupBy("id").agg(F.sum("n").alias("degree"))
+    degree = some.select("id", "degree")
     links = comp = centres = None
     for turn in range(ROUNDS):
-        m = stored(member(comp), "split-mates")
+        m = keep(member(comp), "split-mates")
         if m.isEmpty():
             break
         # first the text that shares most bands with others, which is the likeliest to be a group's source; then any
         order = F.struct(F.col("degree"), F.col("id"), F.col("comp")) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), F.col("id"), F.col("comp"))
-        hub = (m.join(degree, "id") if turn == 0 else m).groupBy("key").agg(F.max(order).alias("h"))
+        hub = keep((m.join(degree, "id") if turn == 0 else m).groupBy("key").agg(F.max(order).alias("h")), "hubs")
         if turn == 0:
-            hub = stored(hub, "hubs")
-            centres = mates.join(hub, "key").groupBy("id").agg(F.max(F.struct("h.degree", "h.id")).alias("c")).select("id", F.col("c.id").alias("centre"))
-        hub = hub.select("key", F.col("h.id").alias("b"), F.col("h.comp").alias("bc"))
-        spokes = m.join(hub, "key").where("comp <> bc").select(F.col("id").alias("a"), "b").distinct()
+            centres = by_key(mates.select("key", "id"), hub).groupBy("id").agg(F.max(F.struct("h.degree", "h.id")).alias("c")).select("id", F.col("c.id").alias("centre"))
+            centres = keep(centres, "centres")
+        spokes = by_key(m, hub.select("key", F.col("h.id").alias("b"), F.col("h.comp").alias("bc")))
+        spokes = spokes.where("comp <> bc").select(F.col("id").alias("a"), "b").distinct()
         best = similar(spokes).groupBy("a").agg(F.max(F.struct("est", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        new = stored(confirmed(best), "links")
+        new = keep(confirmed(best), "links")
         links = new if links is None else links.unionAll(new)
-        comp = components(links)
+        comp = components(links, keep)
 
-    m = stored(member(comp), "split-mates")
+    m = keep(member(comp), "split-mates")
     if not m.isEmpty():
         most = m.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size")).select("key", "size", F.col("m.comp").alias("main"))
         there = m.select("id").distinct().join(centres, "id")
-        facts = stored(_profiles(there, sets).join(bits.select("id", "bits"), "id"), "profiles")
-        rows = m.join(most, "key").join(facts, "id").withColumn("minor", F.col("comp") != F.col("main"))
+        often = keep(there.groupBy("centre").agg(F.count("*").alias("n")), "common-centres")
+        facts = keep(_profiles(there, sets, hot_keys(often, ["centre"])).join(bits.select("id", "bits"), "id"), "profiles")
+        rows = by_key(m, most).join(facts, "id").withColumn("minor", F.col("comp") != F.col("main"))
         blocks = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))).groupBy("key", "block")
         blocks = blocks.agg(F.collect_list(F.struct(*BLOCK_FIELDS)).alias("y"))  # about BLOCK rows each
+        blocks = keep(blocks, "blocks")
         x = blocks.select("key", F.filter("y", lambda r: r["minor"]).alias("x")).where(F.size("x") > 0)
-        pairs = _likely(x.join(blocks.select("key", "y"), "key").select("x", "y"), percent)
-        rest = stored(confirmed(pairs.distinct()), "links")
-        comp = components(rest if links is None else links.unionAll(rest))
-    if comp is None:
-        comp = classes.select("id", F.col("id").alias("comp")).limit(0)
+        parts = F.coalesce("_parts", F.lit(1))
+        x = x.join(F.broadcast(hot), "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+        y = blocks.join(F.broadcast(hot), "key", "left").withColumn("part", F.pmod(F.xxhash64("block"), parts).cast("int"))
+        pairs = _likely(x.join(y.select("key", "part", "y"), ["key", "part"]).select("x", "y"), percent)
+        rest = keep(confirmed(pairs.distinct()), "links")
+        comp = components(rest if links is None else links.unionAll(rest), keep)
+    return comp
+
 
-    whole = classes.select("set_hi", "set_lo", "id").join(comp, "id", "left").select("set_hi", "set_lo", F.coalesce("comp", "id").alias("component_id"))
-    out = signed.select("id", "n_shingles", "set_hi", "set_lo").join(whole, ["set_hi", "set_lo"], "left")
-    group = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias(id_col), "n_shingles", group.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(quoted(id_col) == F.col("component_id"), F.lit(True)))
+def _first_rows(rows: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose sets are wanted: of each class that has candidates, those with the class's least id."""
+    least = classes.join(ids, "id", "left_semi").select(F.col("least").alias("wanted")).distinct()
+    if small_enough(least, F.octet_length(F.col("wanted").cast("string"))):
+        least = F.broadcast(least)
+    return rows.join(least, F.col("id") == F.col("wanted"), "left_semi").select("text")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their group: one for each component; rows without id stay."""
-    gone = near_duplicates(docs, id_col, text_col, k, percent).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, quoted(id_col) == F.col("_gone"), "left_anti")
-    nth = fresh(docs.columns, "nth")
-    left = left.withColumn(nth, F.when(quoted(id_col).isNull(), F.monotonically_increasing_id()))
-    return left.dropDuplicates([id_col, nth]).select(*[quoted(c) for c in docs.columns])
+    """The rows of docs, with all their columns, that stand for their group: one for each component.
+
+    Null and empty texts stay, as do rows without id.  Of rows that repeat (id and text) one stays; rows with one id and
+    different texts are judged each by its own text.  An empty table gives no rows.
+    """
+    groups = _groups(docs, id_col, text_col, k, percent).where("id is not null")
+    i, h, ok, many = (fresh(docs.columns, n) for n in ("group_id", "group_hash", "group_kept", "group_rows"))
+    decided = groups.groupBy(F.col("id").alias(i), F.col("h").alias(h)).agg(F.bool_or("kept").alias(ok), F.count("*").alias(many))
+    decided = stored(decided.where(~quoted(ok) | (quoted(many) > 1)), "decided")
+    own = docs.where(quoted(id_col).isNotNull())
+    same = (quoted(id_col) == F.col(i)) & (F.xxhash64(quoted(text_col)) == F.col(h))
+    odd = F.broadcast(decided) if small_enough(decided) else decided
+    left = own.join(odd, same, "left")
+    once = left.where(F.col(i).isNull()).select(docs["*"])
+    again = left.where(F.col(ok)).select(docs["*"], F.xxhash64(quoted(text_col)).alias(h)).dropDuplicates([id_col, h]).drop(h)
+    return once.unionAll(again).unionAll(docs.where(quoted(id_col).isNull()))
