@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import map_text, small_batches
+from lodestrata.llm.common import map_text, stored, take_memory
 
 WIDTH = 64
 CHUNK = 1 << 16
@@ -56,26 +56,30 @@ def unfiltered(raw: np.ndarray) -> np.ndarray:
             rows[a] += above
             np.cumsum(rows[a:b], axis=0, dtype=np.uint8, out=rows[a:b])
         elif kind:
-            for r in range(a, b):
-                _average(rows[r], above) if kind == 3 else _paeth(rows[r], above)
-                above = rows[r]
+            _along_diagonals(rows[a:b], above, _average if kind == 3 else _paeth)
     return rows
 
 
-def _average(row: np.ndarray, above: np.ndarray) -> None:
-    left = 0
-    for i, (x, up) in enumerate(zip(row.tolist(), above.tolist())):
-        row[i] = left = (x + ((left + up) >> 1)) & 255
+def _average(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    return (left + up) >> 1
 
 
-def _paeth(row: np.ndarray, above: np.ndarray) -> None:
-    left = corner = 0
-    for i, (x, up) in enumerate(zip(row.tolist(), above.tolist())):
-        guess = left + up - corner
-        da, db, dc = abs(guess - left), abs(guess - up), abs(guess - corner)
-        near = left if da <= db and da <= dc else up if db <= dc else corner
-        row[i] = left = (x + near) & 255
-        corner = up
+def _paeth(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    da, db, dc = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+    return np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up, corner))
+
+
+def _along_diagonals(rows: np.ndarray, above: np.ndarray, guess) -> None:
+    """Undo a filter that needs the samples to the left, above and in the corner.  Those of a diagonal need only the two
+    diagonals before it, so whole diagonals are done at once: height + width steps, and not one for each sample."""
+    h, w = rows.shape
+    done = np.zeros((h + 1, w + 1), np.int32)
+    done[0, 1:] = above
+    for d in range(h + w - 1):
+        r = np.arange(max(0, d - w + 1), min(h, d + 1))
+        c = d - r
+        done[r + 1, c + 1] = (rows[r, c] + guess(done[r + 1, c], done[r, c + 1], done[r, c])) & 255
+    rows[:] = done[1:, 1:]
 
 
 def encode(payload: bytes, width: int = WIDTH, level: int = 3) -> bytes:
@@ -166,25 +170,35 @@ def payload_of(text: str | None, unit: int = WIDTH) -> tuple[int, bytes]:
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, media: each text's PNG as a binary column.  Null and empty texts become 64 zero bytes; equal texts
-    equal images; rows that repeat, and null ids, stay as they are; an empty table gives no rows."""
-    small_batches(docs.sparkSession)
+    """id, n_bytes, media: each text's PNG as a binary column, stored in the shared folder.
+
+    Null and empty texts become 64 zero bytes; equal texts equal images; rows that repeat, and null ids, stay as they
+    are; an empty table gives no rows.  Other columns are ignored, whatever their names.
+    """
 
     def make():
+        take_memory("png")
+
         def step(texts: list) -> dict:
             both = [payload_of(t) for t in texts]
             return {"n_bytes": [n for n, _ in both], "media": [encode(p) for _, p in both]}
 
         return step
 
-    return map_text(docs, [id_col], text_col, make, MEDIA_FIELDS)
+    return stored(map_text(docs, [id_col], text_col, make, MEDIA_FIELDS), "media")
 
 
 def media_features(media: DataFrame, id_col: str = "doc_id", size_col: str = "n_bytes", media_col: str = "media") -> DataFrame:
-    """Digests and the cosine hash of what the stored images hold, read back from their bytes."""
+    """Digests and the cosine hash of what the stored images hold, read back from their bytes.
+
+    A row per row; rows that repeat and null ids stay as they are; an empty table gives no rows.  A null image, or one
+    that a checksum, a length or the header shows to be damaged, ends the job with an error.
+    """
     out = T.StructType([f for f in FEATURE_FIELDS if f.name != "n_bytes"])
 
     def make():
+        take_memory("png")
+
         def step(images: list) -> dict:
             got: dict[str, list] = {f.name: [] for f in out}
             for m in images:
