@@ -188,6 +188,14 @@ def test_sample_is_the_least_by_hash(spark):
     from lodestrata.llm.common import bounded_sample
 
     docs = spark.range(0, 30000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), (F.col("id") % 2).alias("y"))
-    got = bounded_sample(docs, docs, "doc_id", "text", "y", (0, 1, 2), 20)
-    want = [r[0] for c in (0, 1) for r in docs.where(f"y = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect()]
-    assert [r[0] for r in got] == sorted(want) and all(t == str(i) and y == i % 2 for i, t, y in got)
+    order = {c: [r[0] for r in docs.where(f"y = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect()] for c in (0, 1)}
+    got = sorted(bounded_sample(docs, docs, "doc_id", "text", "y", 20, 10**6, (0, 1, 2)).collect())
+    assert [r[0] for r in got] == sorted(order[0] + order[1]) and all(t == str(i) and y == i % 2 for i, t, y in got)
+    few = sorted(r[0] for r in bounded_sample(docs, docs, "doc_id", "text", "y", 20, 60).collect())  # characters run out
+    want = []
+    for ids in order.values():
+        used = np.cumsum([len(str(i)) for i in ids])
+        want += [i for i, u in zip(ids, used) if u <= 60]
+    assert few == sorted(want) and len(few) < 40
+    long = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.repeat(F.lit("x"), 100)).otherwise(F.col("text")))
+    assert {r[0] % 2 for r in bounded_sample(long, docs, "doc_id", "text", "y", 20, 900).collect()} == {1}  # the others are over a tenth
