@@ -239,10 +239,14 @@ def posterior(hits: int, n: int, a: float = 0.5, b: float = 0.5, level: float =
     return a / (a + b), beta_quantile((1 - level) / 2, a, b), beta_quantile((1 + level) / 2, a, b)
 
 
-def bayes_factor(hits: int, n: int, p0: float = 0.5, a: float = 1.0, b: float = 1.0) -> float:
+def log_bayes_factor(hits: int, n: int, p0: float = 0.5, a: float = 1.0, b: float = 1.0) -> float:
     ln_beta = lambda u, v: math.lgamma(u) + math.lgamma(v) - math.lgamma(u + v)
     null = (hits * math.log(p0) if hits else 0) + ((n - hits) * math.log1p(-p0) if n > hits else 0)
-    return math.exp(ln_beta(hits + a, n - hits + b) - ln_beta(a, b) - null)
+    return ln_beta(hits + a, n - hits + b) - ln_beta(a, b) - null
+
+
+def bayes_factor(hits: int, n: int, p0: float = 0.5, a: float = 1.0, b: float = 1.0) -> float:
+    return math.exp(log_bayes_factor(hits, n, p0, a, b))
 
 
 def two_proportion_power(p1: float, p2: float, n: int, alpha: float = 0.05) -> float:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.lineage import kept
+
 
 def judged(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     """(qid, doc, rank, rel): rankings with 1 where the document is gold."""
@@ -69,14 +71,15 @@ def reliability_bins(rows: DataFrame, p: str, y: str, n: int = 10) -> DataFrame:
 
 
 def calibration(rows: DataFrame, p: str, y: str, n: int = 10) -> DataFrame:
-    """brier, ece, reliability, resolution, uncertainty as one row."""
+    """raw_brier (of the probabilities), brier (of their bins' means, so that it is reliability - resolution + uncertainty),
+    ece, reliability, resolution, uncertainty as one row."""
     bins = reliability_bins(rows, p, y, n)
     c, mp, my = F.col("count"), F.col("mean_p"), F.col("mean_y")
-    sums = bins.agg(F.sum("count").alias("n"), F.sum(c * my).alias("pos"), F.sum(c * F.abs(mp - my)).alias("gap"), F.sum(c * (mp - my) ** 2).alias("rel"), F.sum(c * my * my).alias("my2"))
-    brier = rows.agg(F.avg((F.col(p) - F.col(y).cast("double")) ** 2).alias("brier"))
+    sums = bins.agg(F.sum("count").alias("n"), F.sum(c * my).alias("pos"), F.sum(c * F.abs(mp - my)).alias("gap"), F.sum(c * (mp - my) ** 2).alias("rel"), F.sum(c * my * my).alias("my2"), F.sum(c * (mp * mp - 2 * mp * my + my)).alias("binned"))
+    brier = rows.agg(F.avg((F.col(p) - F.col(y).cast("double")) ** 2).alias("raw"))
     n_, base = F.col("n"), F.col("pos") / F.col("n")
     return brier.join(F.broadcast(sums)).select(
-        F.round("brier", 6).alias("brier"), F.round(F.col("gap") / n_, 6).alias("ece"), F.round(F.col("rel") / n_, 6).alias("reliability"),
+        F.round("raw", 6).alias("raw_brier"), F.round(F.col("binned") / n_, 6).alias("brier"), F.round(F.col("gap") / n_, 6).alias("ece"), F.round(F.col("rel") / n_, 6).alias("reliability"),
         F.round(F.col("my2") / n_ - base * base, 6).alias("resolution"), F.round(base * (1 - base), 6).alias("uncertainty"),
     )
 
@@ -125,15 +128,27 @@ def pareto(points: DataFrame) -> DataFrame:
     """points (name, accuracy, cost) that no other point beats; equal points all stay.
 
     A point is beaten if some point of at least its accuracy is cheaper, or of more accuracy is no dearer: both are
-    running minima over accuracy.  Points are first thinned within ranges of accuracy, so no task sorts them all.
+    running minima over accuracy.  Points are dealt out by ranges of accuracy; a range needs of those above it only their
+    least cost, one number a range, so no task sorts them all.
     """
+    spark = points.sparkSession
     best = points.groupBy("accuracy").agg(F.min("cost").alias("low"))
-    w = Window.orderBy(F.col("accuracy").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("better", F.min("low").over(w)).where(F.col("better").isNull() | (F.col("low") < F.col("better")))
+    dealt = kept(best.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("accuracy").desc()).withColumn("part", F.spark_partition_id()))
+    above, rows = None, []
+    for r in dealt.groupBy("part").agg(F.min("low").alias("low")).orderBy("part").collect():  # one row a range
+        rows.append((r["part"], above))
+        above = r["low"] if above is None else min(above, r["low"])
+    before = F.broadcast(spark.createDataFrame(rows, "part int, above double"))
+    w = Window.partitionBy("part").orderBy(F.col("accuracy").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    front = dealt.join(before, "part").withColumn("better", F.least(F.min("low").over(w), "above")).where(F.col("better").isNull() | (F.col("low") < F.col("better")))
     return points.join(front.select("accuracy", F.col("low").alias("cost")), ["accuracy", "cost"], "left_semi")
 
 
 def hypervolume(front: DataFrame, accuracy0: float, cost0: float) -> DataFrame:
+    """The area that a frontier covers up to a reference point; points outside it are an error.  A frontier is small: its
+    accuracies and costs rise together."""
+    inside = (F.col("accuracy") >= accuracy0) & (F.col("cost") <= cost0)
+    front = front.where(F.when(inside, True).otherwise(F.raise_error(F.lit("a point lies outside the reference")).cast("boolean")))
     w = Window.orderBy(F.col("accuracy").desc())
     rows = front.select("accuracy", "cost").distinct().withColumn("upper", F.coalesce(F.lag("cost").over(w), F.lit(cost0)))
     return rows.agg(F.coalesce(F.sum((F.col("accuracy") - accuracy0) * (F.col("upper") - F.col("cost"))), F.lit(0.0)).alias("hypervolume"))
@@ -167,3 +182,98 @@ def regret(scores: DataFrame, floor: str | None = None) -> DataFrame:
     span = F.col("best") - F.col("low")
     r = F.when(span <= 0, 0.0).otherwise(F.least(F.greatest((F.col("best") - F.col("score")) / span, F.lit(0.0)), F.lit(1.0)))
     return rows.withColumn("r", r).groupBy("arm").agg(F.avg("r").alias("regret"), F.count("*").alias("n_tasks"))
+
+
+# tables over scored rows (dataset, arm, model, depth, compliance, recovered, recall, correct, tokens_in, tokens_out)
+
+
+def of_line(rows: DataFrame, prefix: str) -> DataFrame:
+    """Rows of the models whose name begins so."""
+    return rows.where(F.col("model").startswith(prefix))
+
+
+def headline(rows: DataFrame, line: str) -> DataFrame:
+    return of_line(rows, line).groupBy("dataset", "arm").agg(F.avg("compliance").alias("compliance"))
+
+
+def depth_crossover(rows: DataFrame, datasets, line: str) -> DataFrame:
+    return of_line(rows, line).where(F.col("dataset").isin(*datasets)).groupBy("arm", "depth").agg(F.avg(F.col("recovered").cast("double")).alias("recovery"))
+
+
+def robustness(rows: DataFrame, arm: str) -> DataFrame:
+    """By dataset and model, whatever the model's line."""
+    return rows.where(F.col("arm") == arm).groupBy("dataset", "model").agg(F.avg("compliance").alias("compliance"))
+
+
+def ablation(rows: DataFrame, cells: DataFrame, datasets, line: str) -> DataFrame:
+    """cells (arm, depth, label): a few rows that name what is compared; other cells are left out."""
+    own = of_line(rows, line).where(F.col("dataset").isin(*datasets)).join(F.broadcast(cells), ["arm", "depth"])
+    return own.groupBy("label").agg(F.avg("compliance").alias("compliance"), F.count("*").alias("n"))
+
+
+def verified(claims: DataFrame) -> DataFrame:
+    """Claims (system, value, needs_citation) with a value and a citation."""
+    return claims.where(~F.col("needs_citation") & F.col("value").isNotNull())
+
+
+def single_tier(rows: DataFrame) -> DataFrame:
+    """rows, or an error where they mix tiers; the guard before any average."""
+    n = rows.agg(F.countDistinct("tier")).first()[0]
+    if n > 1:
+        raise ValueError("measured and reported rows can't be averaged together")
+    return rows
+
+
+def two_tier(rows: DataFrame, claims: DataFrame) -> DataFrame:
+    """(tier, name, value): measured means by arm, then others' verified claims as they are."""
+    own = rows.groupBy(F.col("arm").alias("name")).agg(F.avg("compliance").alias("value")).select(F.lit("measured").alias("tier"), "name", "value")
+    return own.unionByName(verified(claims).select(F.lit("reported").alias("tier"), F.col("system").alias("name"), "value"))
+
+
+def priced(rows: DataFrame, prices: DataFrame) -> DataFrame:
+    """rows with dollars, by prices (model, per_million_in, per_million_out); a model without a price is an error."""
+    from lodestrata.functions.text import price
+
+    got = rows.join(F.broadcast(prices.select(F.col("model").alias("_m"), "per_million_in", "per_million_out")), F.col("model") == F.col("_m"), "left")
+    cost = price(F.col("tokens_in"), F.col("tokens_out"), F.col("per_million_in"), F.col("per_million_out"))
+    known = F.when(F.col("_m").isNotNull(), cost).otherwise(F.raise_error(F.concat(F.lit("no price for "), F.coalesce("model", F.lit("null")))).cast("double"))
+    return got.select(*rows.columns, known.alias("dollars"))
+
+
+def frontier(rows: DataFrame) -> DataFrame:
+    """(place, arm, accuracy, cost, area): arms that none beats, by cost and then accuracy, with their raw area over depth."""
+    arms = rows.groupBy(F.col("arm").alias("name")).agg(F.avg(F.col("correct").cast("double")).alias("accuracy"), F.avg(F.col("tokens_in") + F.col("tokens_out")).alias("cost"))
+    curve = rows.groupBy("arm", "depth").agg(F.avg(F.col("recovered").cast("double")).alias("value"))
+    one = curve.groupBy("arm").agg(F.count("*").alias("n"), F.max("value").alias("only"))
+    area = curve_area(curve, False).join(one, "arm").select(F.col("arm").alias("name"), F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("area")).alias("area"))
+    got = pareto(kept(arms)).join(area, "name")
+    place = F.row_number().over(Window.orderBy("cost", F.col("accuracy").desc(), "name")).cast("long")  # a row an arm
+    return got.select(place.alias("place"), F.col("name").alias("arm"), "accuracy", "cost", "area")
+
+
+def factorized(rows: DataFrame) -> DataFrame:
+    """By arm and depth: recall, kappa (compliance over recall, null without recall), and score intervals of both."""
+    g = rows.groupBy("arm", "depth").agg(F.sum("recall").alias("r"), F.sum("compliance").alias("c"), F.count("*").alias("n"))
+    clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    k, p = F.when(F.col("r") != 0, F.col("c") / F.col("r")), F.col("r") / F.col("n")
+    low, high = wilson(clip(k) * F.col("r"), F.col("r"))
+    ret_low, ret_high = wilson(clip(p) * F.col("n"), F.col("n"))
+    return g.select("arm", "depth", "n", p.alias("p_ret"), k.alias("kappa"), low.alias("low"), high.alias("high"), ret_low.alias("ret_low"), ret_high.alias("ret_high"))
+
+
+def cost_per_correct(rows: DataFrame) -> DataFrame:
+    """(model, cost): tokens a correct attempt; infinite where none is correct."""
+    g = rows.groupBy("model").agg(F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("t"), F.count_if("correct").alias("c"))
+    return g.select("model", F.when(F.col("c") > 0, F.col("t") / F.col("c")).otherwise(F.lit(float("inf"))).alias("cost"))
+
+
+def cascade(ranked: DataFrame, most: int) -> DataFrame:
+    """(qid, err, ap) of graded lists (qid, rank, grade): a reader stops at grade g with chance (2^g - 1) / 2^most; ap is over
+    the relevant ones in the list, 0 without any."""
+    stop = (F.pow(F.lit(2.0), F.col("grade")) - 1) / 2.0**most
+    w = Window.partitionBy("qid").orderBy("rank")
+    rel = (F.col("grade") > 0).cast("int")
+    rows = ranked.withColumn("stop", stop).withColumn("before", F.coalesce(F.sum(F.log(1 - F.col("stop"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    rows = rows.withColumn("rel", rel).withColumn("hits", F.sum("rel").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = rows.groupBy("qid").agg(F.sum(F.col("stop") * F.exp("before") / F.col("rank")).alias("err"), F.sum(F.col("rel") * F.col("hits") / F.col("rank")).alias("s"), F.sum("rel").alias("r"))
+    return g.select("qid", "err", F.when(F.col("r") == 0, 0.0).otherwise(F.col("s") / F.col("r")).alias("ap"))

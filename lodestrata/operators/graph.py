@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.lineage import kept
+
 
 def directed(edges: DataFrame, direction: str = "both", rels: tuple[str, ...] = (), least: float = 0.0) -> DataFrame:
     """(a, b, rel, confidence): edges as steps a -> b, filtered."""
@@ -29,7 +31,7 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "both"
     seen = front.withColumn("depth", F.lit(0))
     for level in range(1, min(max(hops, 1), 3) + 1):
         nxt = front.join(steps, front["node"] == steps["a"]).select("seed", F.col("b").alias("node")).distinct()
-        front = nxt.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        front = kept(nxt.join(seen.select("seed", "node"), ["seed", "node"], "left_anti"))
         seen = seen.unionByName(front.withColumn("depth", F.lit(level)))
     return seen
 
@@ -52,7 +54,7 @@ def spread(edges: DataFrame, seeds: DataFrame, hops: int = 3, decay: float = 0.5
     for _ in range(hops):
         firing = now.where(F.col("x") >= threshold)
         now = firing.join(steps, firing["node"] == steps["a"]).groupBy("seed", F.col("b").alias("n")).agg(F.sum(decay * F.col("x") * F.col("confidence")).alias("x"))
-        now = now.where("x <> 0").select("seed", F.col("n").alias("node"), "x")
+        now = kept(now.where("x <> 0").select("seed", F.col("n").alias("node"), "x"))
         parts.append(now)
     return reduce(DataFrame.unionByName, parts).groupBy("seed", "node").agg(F.sum("x").alias("activation"))
 
@@ -69,21 +71,20 @@ def pagerank(edges: DataFrame, nodes: DataFrame, restart: Column, alpha: float =
     base = base.select("node", (F.col("s") / whole["s"] if whole["s"] else F.lit(1.0 / max(1, whole["n"]))).alias("s"))
     base = base.join(total.select(F.col("src").alias("node"), F.lit(True).alias("has")), "node", "left").select("node", "s", F.col("has").isNull().alias("dangling"))
     mass = base.withColumn("m", F.col("s"))
-    checkpoints = mass.sparkSession.sparkContext.getCheckpointDir() is not None
     if iterations is None:
-        return _settled(base, step, alpha, tolerance, most, cut, checkpoints)
+        return _settled(base, step, alpha, tolerance, most, cut)
     for i in range(iterations):
         loose = mass.agg(F.sum(F.when(F.col("dangling"), F.col("m")))).first()[0] or 0.0
         flow = mass.join(step, mass["node"] == step["src"]).groupBy("dst").agg(F.sum(F.col("m") * F.col("p")).alias("f"))
         mass = mass.join(flow, mass["node"] == flow["dst"], "left")
         new = (1 - alpha) * (F.coalesce("f", F.lit(0.0)) + loose * F.col("s")) + alpha * F.col("s")
         mass = mass.select("node", "s", "dangling", new.alias("m"))
-        if checkpoints and i % cut == cut - 1:
-            mass = mass.checkpoint()
+        if i % cut == cut - 1:
+            mass = kept(mass)
     return mass.select("node", F.col("m").alias("mass"))
 
 
-def _settled(base: DataFrame, step: DataFrame, alpha: float, tolerance: float, most: int, cut: int, checkpoints: bool) -> DataFrame:
+def _settled(base: DataFrame, step: DataFrame, alpha: float, tolerance: float, most: int, cut: int) -> DataFrame:
     """The fixed point of pagerank().
 
     What dangling nodes hand back goes where the restart goes, so the fixed point is the sum of (1 - alpha)^k times the
@@ -91,7 +92,6 @@ def _settled(base: DataFrame, step: DataFrame, alpha: float, tolerance: float, m
     """
     if not 0 < alpha <= 1 or tolerance <= 0 or most < 1:
         raise ValueError("alpha must lie in (0, 1], the tolerance above 0, the steps at 1 at least")
-    kept = lambda df: df.checkpoint() if checkpoints else df.cache()
     front = kept(base.where("s > 0").select("node", F.col("s").alias("m")))
     parts = [front]
     for _ in range(most):
@@ -121,6 +121,33 @@ def decayed(edges: DataFrame, tick: int, rate: float = 0.1, stale: int = 1, rest
     return out.where(~((F.col("confidence") < prune) & (F.col("traversal_count") == 0)))
 
 
+def current_of(items: DataFrame, links: DataFrame) -> DataFrame:
+    """(chain, item) that nothing supersedes; links (chain, src, dst): src supersedes dst.  A chain in which that is not
+    exactly one item is an error."""
+    old = links.select("chain", F.col("dst").alias("item")).distinct().withColumn("old", F.lit(True))
+    marked = items.select("chain", "item").distinct().join(old, ["chain", "item"], "left")
+    live = marked.groupBy("chain").agg(F.count_if(F.col("old").isNull()).alias("n"), F.min(F.when(F.col("old").isNull(), F.col("item"))).alias("item"))
+    ok = F.when(F.col("n") == 1, F.col("item")).otherwise(F.raise_error(F.concat(F.lit("a chain has "), F.col("n").cast("string"), F.lit(" current items"))))
+    return live.select("chain", ok.cast(items.schema["item"].dataType).alias("item"))
+
+
+def checked_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges, or an error where an end is no node or a confidence lies outside 0 to 1."""
+    ids = nodes.select("node").distinct()
+    a = ids.select(F.col("node").alias("src"), F.lit(True).alias("_a"))
+    b = ids.select(F.col("node").alias("dst"), F.lit(True).alias("_b"))
+    ok = F.col("_a").isNotNull() & F.col("_b").isNotNull() & F.col("confidence").between(0, 1)
+    rows = edges.join(a, "src", "left").join(b, "dst", "left").withColumn("_ok", F.when(ok, True).otherwise(F.raise_error(F.lit("an edge without a node at either end, or with a confidence outside 0 to 1")).cast("boolean")))
+    return rows.where("_ok").select(*edges.columns)
+
+
+def unique_nodes(nodes: DataFrame) -> DataFrame:
+    """nodes, or an error where an id is empty or stands twice."""
+    n = F.count("*").over(Window.partitionBy("node"))
+    ok = F.when((n == 1) & (F.col("node") != ""), True).otherwise(F.raise_error(F.lit("a node id is empty or stands twice")).cast("boolean"))
+    return nodes.withColumn("_ok", ok).where("_ok").drop("_ok")
+
+
 def without_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select("node")
     half = edges.join(ids, edges["dst"] == ids["node"], "left_semi")

@@ -57,6 +57,58 @@ def largest_ecdf_gaps(rows: DataFrame, group: str, a, b, value: str) -> DataFram
     return cells.withColumn("d", d).agg(F.greatest(F.max("d"), F.lit(0.0)).alias("above"), F.greatest(-F.min("d"), F.lit(0.0)).alias("below"))
 
 
+def dominance(rows: DataFrame, group: str, a, b, value: str, tolerance: float = 1e-9) -> DataFrame:
+    """(first, second): whether group a's values dominate b's, by their distribution functions and by those' integrals."""
+    cells = rows.where(F.col(group).isin(a, b)).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb"))
+    w, whole = Window.orderBy("v"), Window.partitionBy()
+    d = F.sum("na").over(w) / F.sum("na").over(whole) - F.sum("nb").over(w) / F.sum("nb").over(whole)
+    gaps = cells.withColumn("d", d).withColumn("width", F.lead("v").over(w) - F.col("v"))
+    area = F.sum(F.col("d") * F.col("width")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return gaps.withColumn("area", area).agg((F.max("d") <= tolerance).alias("first"), (F.coalesce(F.max("area"), F.lit(0.0)) <= tolerance).alias("second"))
+
+
+def confidence_sequence(rows: DataFrame, confidence: float = 0.95, bet: float = 0.5, grid: int = 999) -> DataFrame:
+    """rows (key, nth, x), x 0 or 1: (key, nth, lower, upper), bounds of the mean that hold at all times at once.
+
+    A mean m of the grid stays while the largest capital so far of betting both ways against it is below 1 / (1 - confidence).
+    The bounds only tighten; a step that rules all means out gives 0 and 1.  Each (key, m) is one window."""
+    if not (0 < confidence < 1 and 0 < bet < 1 and grid >= 1):
+        raise ValueError("confidence and bet must lie in (0, 1), the grid must have a point")
+    spark = rows.sparkSession
+    means = spark.range(1, grid + 1).select((F.col("id") / (grid + 1)).alias("m"))
+    w = Window.partitionBy("key", "m").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    diff = F.col("x") - F.col("m")
+    both = rows.join(F.broadcast(means)).withColumn("up", F.exp(F.sum(F.log1p(bet * diff)).over(w))).withColumn("down", F.exp(F.sum(F.log1p(-bet * diff)).over(w)))
+    both = both.withColumn("most", F.max(F.round(0.5 * F.col("up") + 0.5 * F.col("down"), 9)).over(w))
+    stays = F.col("most") < 1 / (1 - confidence)
+    at = both.groupBy("key", "nth").agg(F.coalesce(F.min(F.when(stays, F.col("m"))), F.lit(0.0)).alias("lo"), F.coalesce(F.max(F.when(stays, F.col("m"))), F.lit(1.0)).alias("hi"))
+    v = Window.partitionBy("key").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    return at.select("key", "nth", F.max("lo").over(v).alias("lower"), F.min("hi").over(v).alias("upper"))
+
+
+def first_crossing(curve: DataFrame, level: float = 0.0) -> DataFrame:
+    """curve (key, x, y): where y first rises above level, between neighbours by a straight line; the first x if it is above
+    there; null if it never is."""
+    w = Window.partitionBy("key").orderBy("x")
+    rows = curve.withColumn("x0", F.lag("x").over(w)).withColumn("y0", F.lag("y").over(w))
+    at = F.when(F.col("y0").isNull() & (F.col("y") > level), F.col("x").cast("double"))
+    at = at.when((F.col("y") > level) & (F.col("y0") <= level), F.col("x0") + (level - F.col("y0")) / (F.col("y") - F.col("y0")) * (F.col("x") - F.col("x0")))
+    return rows.withColumn("at", at).groupBy("key").agg(F.min("at").alias("crossing"))
+
+
+def signed_ranks(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b): (n, statistic, z) of the signed-rank test with tie correction, as one row; zero differences are left out."""
+    d = pairs.select((F.col("a") - F.col("b")).alias("d")).where("d <> 0")
+    cells = d.groupBy(F.abs("d").alias("v")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up"))
+    below = F.coalesce(F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.col("below") + (F.col("n") + 1) / 2
+    g = cells.withColumn("below", below).agg(F.sum("n").alias("n"), F.sum(rank * F.col("up")).alias("up"), F.sum(rank * (F.col("n") - F.col("up"))).alias("down"), F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("ties"))
+    n = F.col("n").cast("double")
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
+    w = F.least("up", "down")
+    return g.select("n", w.alias("statistic"), F.when(var > 0, (w - n * (n + 1) / 4) / F.sqrt(var)).otherwise(0.0).alias("z"))
+
+
 def random_effects(studies: DataFrame) -> DataFrame:
     """studies (effect, variance): q, tau2, i2, fixed, pooled, se as one row (DerSimonian-Laird)."""
     w = 1 / F.col("variance")

@@ -1,8 +1,11 @@
 """Lexical ranking: postings of the query vocabulary, scores as grouped sums, the best k of each query.
 
 Only words that some query has are ever counted by document: the words of a text are filtered against the query vocabulary
-before the first shuffle, so what moves is proportional to matches and not to the corpus.  Document lengths
-come from the scan; corpus totals are one row.
+before the first shuffle, so what moves is proportional to matches and not to the corpus.  One scan gives lengths and
+matches, which are kept; corpus totals and document frequencies come from them.
+
+Scores are sums of decimals, so they don't depend on the order in which tasks add: two documents whose scores are equal but
+for the last bits of a double rank the same on every run.
 """
 
 from __future__ import annotations
@@ -15,12 +18,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as tx
+from lodestrata.operators.lineage import kept
 
-#: Query words up to which the vocabulary is broadcast.
+#: Query words up to which the vocabulary is broadcast, and rows of (query, word) up to which those are.
 BROADCAST_WORDS = 500_000
 
 
-def best(scored: DataFrame, k: int, digits: int = 12) -> DataFrame:
+def exact_sum(value: Column) -> Column:
+    """The sum of value rounded to nine places, the same in whatever order rows are added."""
+    return F.sum(value.cast("decimal(28,9)")).cast("double")
+
+
+def exact_sum_over(value: Column, window) -> Column:
+    """exact_sum() within a window."""
+    return F.sum(value.cast("decimal(28,9)")).over(window).cast("double")
+
+
+def best(scored: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """Ranks 1..k within qid by falling score (rounded), then by doc."""
     w = Window.partitionBy("qid").orderBy(F.round("score", digits).desc(), F.col("doc").asc())
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
@@ -34,41 +48,69 @@ class Index:
     df: DataFrame  # term, df, cf over the corpus, only words of the queries
     n: int
     total: int
+    small: bool  # whether (query, word) rows may be broadcast
+    asked: DataFrame  # qid of every query, those without words too
 
     @property
     def avgdl(self) -> float:
         return self.total / self.n if self.n else 0.0
 
+    def sent(self, df: DataFrame) -> DataFrame:
+        """df, a frame of at most as many rows as terms has, to be broadcast if that is few enough."""
+        return F.broadcast(df) if self.small else df
 
-def index(docs: DataFrame, queries: DataFrame, words=tx.tokens) -> Index:
-    """docs: (doc, text); queries: (qid, text)."""
-    return index_terms(docs, queries.select("qid", F.explode(words(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf")), words)
+
+def query_terms(queries: DataFrame, words=tx.tokens) -> DataFrame:
+    """(qid, term, qtf) of queries (qid, text)."""
+    return queries.select("qid", F.explode(words(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def index_terms(docs: DataFrame, terms: DataFrame, words=tx.tokens, by_doc: bool = False) -> Index:
-    """docs: (doc, text); terms: (qid, term, qtf), where qtf may be any weight.  by_doc: deal matches out by document, for
-    words that most documents have."""
-    vocabulary = terms.select("term").distinct()
-    if terms.count() <= BROADCAST_WORDS:
-        vocabulary = F.broadcast(vocabulary)
-    split = docs.select("doc", words(F.col("text")).alias("ws"))
-    sized = split.select("doc", F.size("ws").cast("long").alias("dl"))
+def index(docs: DataFrame, queries: DataFrame, words=tx.tokens) -> Index:
+    """docs: (doc, text); queries: (qid, text)."""
+    return index_terms(docs, query_terms(queries, words), queries.select("qid"), words)
+
+
+def index_terms(docs: DataFrame, terms: DataFrame, asked: DataFrame, words=tx.tokens) -> Index:
+    """docs: (doc, text); terms: (qid, term, qtf), where qtf may be any weight.
+
+    Every document has one row of an empty word beside its matches, which carries its length through the same scan."""
+    terms = kept(terms)
+    vocabulary = terms.select("term").distinct().withColumn("asked", F.lit(True))
+    small = terms.count() <= BROADCAST_WORDS
+    split = docs.select("doc", words(F.col("text")).alias("ws")).select("doc", F.size("ws").cast("long").alias("dl"), "ws")
+    if small:
+        rows = split.select("doc", "dl", F.explode(F.concat(F.array(F.lit("")), "ws")).alias("term"))
+        rows = rows.join(F.broadcast(vocabulary), "term", "left").where(F.col("asked") | (F.col("term") == ""))
+        rows = kept(rows.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf")))
+        sized, matches = rows.where("term = ''").select("doc", "dl"), rows.where("term <> ''").select("doc", "dl", "term", "tf")
+    else:
+        sized = kept(split.select("doc", "dl"))
+        found = split.select("doc", "dl", F.explode("ws").alias("term")).join(vocabulary, "term", "left_semi")
+        matches = kept(found.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf")))
     totals = sized.agg(F.count("*").alias("n"), F.sum("dl").alias("total")).first()
-    found = split.select("doc", F.size("ws").cast("long").alias("dl"), F.explode("ws").alias("term")).join(vocabulary, "term", "left_semi")
-    matches = (found.repartition("doc") if by_doc else found).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-    df = matches.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    if by_doc and docs.sparkSession.sparkContext.getCheckpointDir() is not None:
-        df = df.checkpoint()  # a row a word of the queries
-    return Index(sized, matches, terms, df, totals["n"], totals["total"] or 0)
+    df = kept(matches.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))  # a row a word of the queries
+    return Index(sized, matches, terms, df, totals["n"], totals["total"] or 0, small, asked)
 
 
 def _joined(ix: Index) -> DataFrame:
     """(qid, term, qtf, doc, dl, tf, df, cf) for each match."""
-    return ix.matches.join(F.broadcast(ix.terms.join(ix.df, "term")), "term")
+    return ix.matches.join(ix.sent(ix.terms.join(ix.df, "term")), "term")
 
 
 def _sum_by_pair(rows: DataFrame, value: Column) -> DataFrame:
-    return rows.groupBy("qid", "doc").agg(F.sum(value).alias("score"))
+    return rows.groupBy("qid", "doc").agg(exact_sum(value).alias("score"))
+
+
+def with_the_rest(ix: Index, matched: DataFrame, k: int) -> DataFrame:
+    """matched (qid, doc, score), and documents without a score, as 0 and in corpus order, where a query has under k.
+
+    A query with under k matches finds k others among the first 2k documents, so those are all that is looked at."""
+    matched = kept(matched)
+    have = matched.groupBy("qid").agg(F.count("*").alias("n"))
+    few = ix.asked.join(have, "qid", "left").where(F.coalesce("n", F.lit(0)) < k).select("qid")
+    first = F.broadcast(ix.docs.select("doc").orderBy("doc").limit(2 * k))
+    rest = few.join(first).join(matched.select("qid", "doc").join(few, "qid", "left_semi"), ["qid", "doc"], "left_anti")
+    return matched.select("qid", "doc", "score").unionByName(rest.withColumn("score", F.lit(0.0)))
 
 
 def bm25_plus(ix: Index, k1: float = 1.5, b: float = 0.75, delta: float = 1.0) -> DataFrame:
@@ -92,104 +134,105 @@ def document_frequencies(docs: DataFrame, words=tx.tokens) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25f(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, title: float = 2.0, body: float = 1.0) -> DataFrame:
-    """Title (first line) and body weighted before saturation; distinct query words; df over both fields."""
-    ix = index(docs, queries)
-    halves = docs.select("doc", tx.tokens(tx.title_of(F.col("text"))).alias("tw"), tx.tokens(tx.body_of(F.col("text"))).alias("bw"))
-    mean = halves.agg(F.avg(F.size("tw")).alias("t"), F.avg(F.size("bw")).alias("b")).first()
-    vocabulary = F.broadcast(ix.terms.select("term").distinct())
-
-    def field(col: str, weight: float, avg: float) -> DataFrame:
-        n = F.size(col)
-        norm = (1 - b + b * n / F.lit(avg)) if avg else F.lit(1.0)
-        rows = halves.select("doc", norm.alias("norm"), F.explode(col).alias("term")).join(vocabulary, "term", "left_semi")
-        return rows.groupBy("doc", "term").agg((weight * F.count("*") / F.first("norm")).alias("x"))
+def bm25f(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, title: float = 2.0, body: float = 1.0) -> tuple[Index, DataFrame]:
+    """Title (first line) and body weighted before saturation; distinct query words; df over both fields.
 
-    both = field("tw", title, mean["t"] or 0.0).unionByName(field("bw", body, mean["b"] or 0.0)).groupBy("doc", "term").agg(F.sum("x").alias("x"))
-    wanted = F.broadcast(ix.terms.join(ix.df, "term").select("qid", "term", "df"))
+    One scan: a document's words carry their field, and two rows of empty words its lengths.  The index that comes with
+    the scores counts words over both fields, which are all words of a text: no word spans a line feed.
+    """
+    terms = kept(query_terms(queries))
+    small = terms.count() <= BROADCAST_WORDS
+    vocabulary = terms.select("term").distinct().withColumn("asked", F.lit(True))
+    halves = docs.select("doc", tx.tokens(tx.title_of(F.col("text"))).alias("tw"), tx.tokens(tx.body_of(F.col("text"))).alias("bw"))
+    named = lambda c, f: F.transform(F.concat(F.array(F.lit("")), c), lambda w: F.struct(F.lit(f).alias("field"), w.alias("term")))
+    rows = halves.select("doc", F.size("tw").cast("long").alias("tn"), F.size("bw").cast("long").alias("bn"), F.inline(F.concat(named("tw", "t"), named("bw", "b"))))
+    rows = rows.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left").where(F.col("asked") | (F.col("term") == ""))
+    rows = kept(rows.groupBy("doc", "tn", "bn", "field", "term").agg(F.count("*").alias("tf")))
+    sized = rows.where("term = '' and field = 't'").select("doc", (F.col("tn") + F.col("bn")).alias("dl"), "tn", "bn")
+    totals = sized.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), F.avg("tn").alias("t"), F.avg("bn").alias("b")).first()
+    found = rows.where("term <> ''")
+    matches = found.groupBy("doc", (F.col("tn") + F.col("bn")).alias("dl"), "term").agg(F.sum("tf").alias("tf"))
+    df = kept(matches.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
+    ix = Index(sized.select("doc", "dl"), matches, terms, df, totals["n"], totals["total"] or 0, small, queries.select("qid"))
+
+    def part(field: str, n: str, weight: float, avg: float | None) -> Column:
+        norm = (1 - b + b * F.col(n) / F.lit(avg)) if avg else F.lit(1.0)
+        return F.sum(F.when(F.col("field") == field, weight * F.col("tf") / norm).otherwise(0.0))
+
+    both = found.groupBy("doc", "tn", "bn", "term").agg((part("t", "tn", title, totals["t"]) + part("b", "bn", body, totals["b"])).alias("x"))
+    wanted = ix.sent(terms.join(df, "term").select("qid", "term", "df"))
     idf = tx.bm25_idf(F.lit(ix.n), F.col("df"))
-    return _sum_by_pair(both.join(wanted, "term"), idf * F.col("x") / (k1 + F.col("x")))
+    return ix, _sum_by_pair(both.join(wanted, "term"), idf * F.col("x") / (k1 + F.col("x")))
 
 
-def tfidf(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosine of raw tf times smoothed idf; words of two or more characters.  The document norm needs all its words."""
+def tfidf(docs: DataFrame, queries: DataFrame) -> tuple[Index, DataFrame]:
+    """Cosine of raw tf times smoothed idf; words of two or more characters.  The document norm needs all its words, so
+    here (and nowhere else) words that no query has are counted, but only their (document, word, tf) is shuffled."""
     ix = index(docs, queries, tx.wide_tokens)
     idf = F.log((1 + F.lit(ix.n)) / (1 + F.col("df"))) + 1
-    everything = docs.select("doc", F.explode(tx.wide_tokens(F.col("text"))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    everything = kept(docs.select("doc", F.explode(tx.wide_tokens(F.col("text"))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf")))
     weights = everything.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"))
-    norms = everything.join(weights, "term").groupBy("doc").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
-    known = ix.terms.join(ix.df, "term").withColumn("w", F.col("qtf") * idf)
-    qnorm = known.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qnorm"))
-    rows = ix.matches.join(F.broadcast(known.join(qnorm, "qid").withColumn("idf", idf).select("qid", "term", "w", "idf", "qnorm")), "term")
-    dot = rows.groupBy("qid", "doc").agg(F.sum(F.col("w") / F.col("qnorm") * F.col("tf") * F.col("idf")).alias("dot"))
-    return dot.join(norms, "doc").select("qid", "doc", (F.col("dot") / F.col("norm")).alias("score"))
+    norms = everything.join(weights, "term").groupBy("doc").agg(F.sqrt(exact_sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
+    known = kept(ix.terms.join(ix.df, "term").withColumn("idf", idf).withColumn("w", F.col("qtf") * F.col("idf")))
+    qnorm = known.groupBy("qid").agg(F.sqrt(exact_sum(F.col("w") * F.col("w"))).alias("qnorm"))
+    rows = ix.matches.join(ix.sent(known.join(qnorm, "qid").select("qid", "term", "w", "idf", "qnorm")), "term")
+    dot = rows.groupBy("qid", "doc").agg(exact_sum(F.col("w") / F.col("qnorm") * F.col("tf") * F.col("idf")).alias("dot"))
+    return ix, dot.join(norms, "doc").select("qid", "doc", (F.col("dot") / F.col("norm")).alias("score"))
 
 
-def _with_unmatched(ix: Index, matched: DataFrame, base: Column, order: list[Column], k: int) -> DataFrame:
-    """matched (qid, doc, score) and, for each query, at least its k best documents without a match.
-
-    Without a match the order is the same for all queries, so a short list of the best documents serves them all; it
-    is doubled until each query has k of its own on it or the corpus ends.
-    """
-    pairs = matched.select("qid", "doc")
-    constants = F.broadcast(ix.terms.join(ix.df, "term").groupBy("qid").agg(F.sum(F.col("qtf") * F.log(F.col("cf") / F.lit(float(ix.total)))).alias("lp"), F.sum("qtf").alias("ql")))
-    size = 4 * k
-    while True:
-        short = ix.docs.orderBy(*order).limit(size)
-        free = F.broadcast(short).join(constants).join(pairs, ["qid", "doc"], "left_anti")
-        least = free.groupBy("qid").count().agg(F.min("count")).first()[0]
-        if size >= ix.n or (least or 0) >= k:
-            return matched.unionByName(free.select("qid", "doc", base.alias("score")))
-        size *= 2
+def _constants(ix: Index) -> DataFrame:
+    """(qid, lp, ql): the log-likelihood of each query under the corpus, and its length; a row a query, zeros where the
+    corpus has none of its words."""
+    p = F.col("cf") / F.lit(float(ix.total or 1))
+    known = ix.terms.join(ix.df, "term").groupBy("qid").agg(exact_sum(F.col("qtf") * F.log(p)).alias("lp"), exact_sum(F.col("qtf").cast("double")).alias("ql"))
+    return ix.asked.join(known, "qid", "left").select("qid", F.coalesce("lp", F.lit(0.0)).alias("lp"), F.coalesce("ql", F.lit(0.0)).alias("ql"))
 
 
 def qlm_dirichlet(ix: Index, k: int, mu: float = 2000.0) -> DataFrame:
-    """Log-likelihood with Dirichlet smoothing; words outside the corpus are skipped."""
+    """Log-likelihood with Dirichlet smoothing; words outside the corpus are skipped, and a query of such words alone takes
+    the corpus in its order; at least the k best of each query.
+
+    Without a match the order (by length) is the same for all queries, so a short list of the shortest documents serves
+    them all; it is doubled until each query has k of its own on it or the corpus ends."""
     if mu <= 0:
         raise ValueError("mu must be positive")
-    rows = _joined(ix)
-    p = F.col("cf") / F.lit(float(ix.total))
-    part = rows.groupBy("qid", "doc", "dl").agg(F.sum(F.col("qtf") * (F.log(F.col("tf") + mu * p) - F.log(mu * p))).alias("gain"))
-    consts = F.broadcast(ix.terms.join(ix.df, "term").groupBy("qid").agg(F.sum(F.col("qtf") * F.log(p)).alias("lp"), F.sum("qtf").alias("ql")))
+    p = F.col("cf") / F.lit(float(ix.total or 1))
+    part = _joined(ix).groupBy("qid", "doc", "dl").agg(exact_sum(F.col("qtf") * (F.log(F.col("tf") + mu * p) - F.log(mu * p))).alias("gain"))
+    consts = kept(_constants(ix))
     base = F.col("lp") + F.col("ql") * (math.log(mu) - F.log(F.col("dl") + mu))
-    matched = part.join(consts, "qid").select("qid", "doc", (F.col("gain") + base).alias("score"))
-    return _with_unmatched(ix, matched, base, [F.col("dl"), F.col("doc")], k)
+    matched = kept(part.join(ix.sent(consts), "qid").select("qid", "doc", (F.col("gain") + base).alias("score")))
+    known, size = consts.where("ql > 0"), 4 * k
+    n_known = known.count()
+    while n_known:
+        short = ix.docs.orderBy("dl", "doc").limit(size)
+        free = F.broadcast(short).join(known).join(matched.select("qid", "doc"), ["qid", "doc"], "left_anti")
+        least = free.groupBy("qid").count().agg(F.min("count"), F.count("*")).first()
+        if size >= ix.n or (least[0] or 0) >= k and least[1] == n_known:
+            matched = matched.unionByName(free.select("qid", "doc", base.alias("score")))
+            break
+        size *= 2
+    return matched.unionByName(_in_order(ix, consts.where("ql = 0"), k))
 
 
-def qlm_jm(ix: Index, k: int, lam: float = 0.1) -> DataFrame:
-    """Log-likelihood with linear smoothing; words outside the corpus are skipped."""
-    if not 0 < lam <= 1:
-        raise ValueError("lambda must lie in (0, 1]")
-    p = F.col("cf") / F.lit(float(ix.total))
-    gain = F.log((1 - lam) * F.col("tf") / F.col("dl") + lam * p) - F.log(lam * p)
-    part = _sum_by_pair(_joined(ix), F.col("qtf") * gain).withColumnRenamed("score", "gain")
-    consts = F.broadcast(ix.terms.join(ix.df, "term").groupBy("qid").agg(F.sum(F.col("qtf") * F.log(p)).alias("lp"), F.sum("qtf").alias("ql")))
-    base = F.col("lp") + F.col("ql") * math.log(lam)
-    matched = part.join(consts, "qid").select("qid", "doc", (F.col("gain") + base).alias("score"))
-    return _with_unmatched(ix, matched, base, [F.col("doc")], k)
+def _in_order(ix: Index, queries: DataFrame, k: int) -> DataFrame:
+    """The first k documents for each of these queries, with score 0."""
+    return queries.select("qid").join(F.broadcast(ix.docs.select("doc").orderBy("doc").limit(k))).withColumn("score", F.lit(0.0))
 
 
-def qlm_jm_best(ix: Index, k: int, lam: float) -> DataFrame:
-    """best(qlm_jm(), k) for queries whose words most documents have: (qid, doc, score, rank).
+def qlm_jm(ix: Index, k: int, lam: float = 0.1) -> DataFrame:
+    """Log-likelihood with linear smoothing; words outside the corpus are skipped, and a query of such words alone takes the
+    corpus in its order; at least the k best of each query.
 
-    For lam < 1 a match only raises the score, so documents without one are wanted only where a query has under k
-    with one, and then the first 2k documents hold enough.  Matches are dealt out by document, so the sums by query and
-    document stay where they are.
-    """
-    if not 0 < lam < 1:
-        raise ValueError("lambda must lie in (0, 1)")
-    p = F.col("cf") / F.lit(float(ix.total))
-    known = ix.terms.join(ix.df, "term").select("qid", "term", "qtf", "cf")
-    wanted = F.broadcast(known) if known.count() <= BROADCAST_WORDS else known
+    For lam < 1 a match only raises the score, so documents without one are wanted only where a query has under k with
+    one, and then the first 2k documents hold enough.  For lam = 1 all documents are equal."""
+    if not 0 < lam <= 1:
+        raise ValueError("lambda must lie in (0, 1]")
+    p = F.col("cf") / F.lit(float(ix.total or 1))
     gain = F.log((1 - lam) * F.col("tf") / F.col("dl") + lam * p) - F.log(lam * p)
-    part = ix.matches.join(wanted, "term").groupBy("qid", "doc").agg(F.sum(F.col("qtf") * gain).alias("gain"))
-    consts = F.broadcast(known.groupBy("qid").agg((F.sum(F.col("qtf") * F.log(p)) + F.sum("qtf") * math.log(lam)).alias("base")))
-    top = best(part.join(consts, "qid").select("qid", "doc", (F.col("gain") + F.col("base")).alias("score")), k)
-    if top.sparkSession.sparkContext.getCheckpointDir() is not None:
-        top = top.checkpoint()  # k rows a query
-    few = consts.join(top.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").where(F.coalesce("n", F.lit(0)) < k)
-    free = F.broadcast(ix.docs.select("doc").orderBy("doc").limit(2 * k)).join(few).join(F.broadcast(top.select("qid", "doc")), ["qid", "doc"], "left_anti")
-    return best(top.select("qid", "doc", "score").unionByName(free.select("qid", "doc", F.col("base").alias("score"))), k)
+    part = _sum_by_pair(_joined(ix), F.col("qtf") * gain)
+    consts = kept(_constants(ix).select("qid", (F.col("lp") + F.col("ql") * math.log(lam)).alias("base")))
+    gains = with_the_rest(ix, part, k) if lam < 1 else _in_order(ix, consts, k)
+    return gains.join(ix.sent(consts), "qid").select("qid", "doc", (F.col("score") + F.col("base")).alias("score"))
 
 
 def rm3_terms(docs: DataFrame, ix: Index, first: DataFrame, feedback: int = 10, n_terms: int = 10, alpha: float = 0.5) -> DataFrame:
@@ -197,37 +240,40 @@ def rm3_terms(docs: DataFrame, ix: Index, first: DataFrame, feedback: int = 10,
 
     first: (qid, doc, score) with log-likelihoods.  The posterior of a feedback document is the softmax of its score.
     """
-    top = best(first, feedback)
+    top = kept(best(first, feedback))  # feedback rows a query
     w = Window.partitionBy("qid")
-    top = top.withColumn("e", F.exp(F.col("score") - F.max("score").over(w))).withColumn("post", F.col("e") / F.sum("e").over(w))
-    wanted = F.broadcast(top.select("qid", "doc", "post"))  # feedback * queries rows
-    split = docs.join(F.broadcast(top.select("doc").distinct()), "doc", "left_semi").select("doc", tx.tokens(F.col("text")).alias("ws"))
+    top = top.withColumn("e", F.exp(F.col("score") - F.max("score").over(w))).withColumn("post", F.col("e") / exact_sum_over(F.col("e"), w))
+    wanted = ix.sent(top.select("qid", "doc", "post"))  # a query has words, and as many rows of these
+    split = docs.join(ix.sent(top.select("doc").distinct()), "doc", "left_semi").select("doc", tx.tokens(F.col("text")).alias("ws"))
     counts = split.select("doc", F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-    model = counts.join(wanted, "doc").groupBy("qid", "term").agg(F.sum(F.col("post") * F.col("tf") / F.col("dl")).alias("w"))
-    ranked = model.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("w", 12).desc(), F.col("term")))).where(F.col("r") <= n_terms)
-    ranked = ranked.withColumn("w", F.col("w") / F.sum("w").over(w)).select("qid", "term", (alpha * F.col("w")).alias("w"))
+    model = counts.join(wanted, "doc").groupBy("qid", "term").agg(exact_sum(1e6 * F.col("post") * F.col("tf") / F.col("dl")).alias("w"))
+    ranked = model.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("w", 6).desc(), F.col("term")))).where(F.col("r") <= n_terms)
+    ranked = ranked.withColumn("w", F.col("w") / exact_sum_over(F.col("w"), w)).select("qid", "term", (alpha * F.col("w")).alias("w"))
     own = ix.terms.withColumn("w", (1 - alpha) * F.col("qtf") / F.sum("qtf").over(w)).select("qid", "term", "w")
-    return own.unionByName(ranked).groupBy("qid", "term").agg(F.sum("w").alias("weight"))
+    return own.unionByName(ranked).groupBy("qid", "term").agg(F.sum("w").alias("weight"))  # two summands at most
 
 
 def sparse_expansion(docs: DataFrame, queries: DataFrame, scale: float = 0.5) -> DataFrame:
     """Dot product of ln(1 + tf) vectors, both sides widened by words that share documents with theirs.
 
     A word u that a text lacks gets scale * sum over its words t of w(t) * cooc(t, u) / df(t).  Only words of the queries
-    and their companions matter; co-occurrence is counted over distinct words of a document.
+    and their companions matter; co-occurrence is counted over distinct words of a document.  A document sends the pairs of
+    its query words with its words, already as arrays, so the corpus is shuffled once by word and never joined with itself.
     """
-    counts = docs.select("doc", F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    base = counts.select("doc", "term", F.log1p("tf").alias("w"))
-    qbase = queries.select("qid", F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.log1p(F.count("*")).alias("w"))
-    a, b = counts.select("doc", F.col("term").alias("t")), counts.select("doc", F.col("term").alias("u"))
-    seeds = F.broadcast(qbase.select(F.col("term").alias("t")).distinct())
-    cooc = a.join(seeds, "t", "left_semi").join(b, "doc").where("t <> u").groupBy("t", "u").agg(F.count("*").alias("c"))
+    terms = query_terms(queries)
+    qbase = kept(terms.select("qid", "term", F.log1p("qtf").alias("w")))
+    seeds = qbase.select("term").distinct()
+    seeds = kept(seeds.agg(F.collect_set("term").alias("seeds")))  # words of the query set
+    counts = kept(docs.select("doc", F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf")))
+    df = counts.join(F.broadcast(qbase.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    whole = docs.select(F.array_distinct(tx.tokens(F.col("text"))).alias("us")).join(F.broadcast(seeds))
+    pairs = whole.select("us", F.explode(F.array_intersect("us", "seeds")).alias("t")).select("t", F.explode("us").alias("u"))
+    cooc = pairs.where("t <> u").groupBy("t", "u").agg(F.count("*").alias("c"))
     ratio = cooc.join(df.withColumnRenamed("term", "t"), "t").select("t", "u", (F.col("c") / F.col("df")).alias("ratio"))
-    wide = qbase.withColumnRenamed("term", "t").join(ratio, "t").groupBy("qid", "u").agg((scale * F.sum(F.col("w") * F.col("ratio"))).alias("x"))
+    wide = qbase.withColumnRenamed("term", "t").join(ratio, "t").groupBy("qid", "u").agg((scale * exact_sum(F.col("w") * F.col("ratio"))).alias("x"))
     wide = wide.withColumnRenamed("u", "term").join(qbase.select("qid", "term"), ["qid", "term"], "left_anti").select("qid", "term", F.col("x").alias("w"))
     query = qbase.unionByName(wide)
-    return base.withColumnRenamed("w", "dw").join(query, "term").groupBy("qid", "doc").agg(F.sum(F.col("w") * F.col("dw")).alias("score"))
+    return counts.select("doc", "term", F.log1p("tf").alias("dw")).join(query, "term").groupBy("qid", "doc").agg(exact_sum(F.col("w") * F.col("dw")).alias("score"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -17,6 +17,13 @@ def pack(ranked: DataFrame, docs: DataFrame, budget: int) -> DataFrame:
     return costs.join(ranked, "doc").withColumn("used", F.sum("cost").over(w)).where(F.col("used") <= budget)
 
 
+def pack_counts(queries: DataFrame, packed: DataFrame) -> DataFrame:
+    """(qid, n_docs, tokens) for every query (qid, ...), those with nothing packed too."""
+    got = packed.groupBy("qid").agg(F.count("*").alias("n_docs"), F.max("used").alias("tokens"))
+    zero = F.lit(0).cast("long")
+    return queries.select("qid").join(got, "qid", "left").select("qid", F.coalesce("n_docs", zero).alias("n_docs"), F.coalesce("tokens", zero).alias("tokens"))
+
+
 def corpus_prefix(docs: DataFrame, budget: int, order: tuple[str, ...] = ("doc",)) -> DataFrame:
     """Documents in corpus order, or that of the columns ``order`` (doc among them), as long as they fit, for one query.
 
@@ -38,5 +45,5 @@ def corpus_prefix(docs: DataFrame, budget: int, order: tuple[str, ...] = ("doc",
 
 def shuffled(docs: DataFrame, seed: int, budget: int) -> DataFrame:
     """Documents in an order that a hash of seed and id gives, as long as they fit."""
-    key = F.xxhash64(F.lit(seed), F.col("doc"))
+    key = F.md5(F.concat(F.lit(f"{seed}/"), F.col("doc").cast("string")).cast("binary"))
     return corpus_prefix(docs.select("doc", "text", key.alias("key")), budget, ("key", "doc"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions import text as tx
+from lodestrata.operators.lineage import kept
+
 BLOCK = 4096
+#: Words of a query set that late interaction holds at once.
+QUERY_WORDS = 1_000_000
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -121,16 +128,44 @@ def cluster_tree(top: DataFrame, vectors: DataFrame) -> DataFrame:
     return joined.groupBy("qid").applyInPandas(order, "qid long, doc long, rank long")
 
 
-def hashed(text: str | None, dim: int = 256) -> np.ndarray:
-    """Signed counts of a text's words and their character 3- to 5-grams, hashed to dim places, of length 1."""
-    import re
-
+def word_vector(word: str, dim: int = 256) -> np.ndarray:
+    """Signed counts of a word and its character 3- to 5-grams, hashed to dim places."""
     out = np.zeros(dim)
-    for w in re.findall("[a-zA-Z0-9_]+", (text or "").lower()):
-        padded = f"#{w}#"
-        for f in [w, *(padded[i : i + n] for n in (3, 4, 5) for i in range(len(padded) - n + 1))]:
-            h = hashlib.blake2b(f.encode(), digest_size=9).digest()
-            out[int.from_bytes(h[:8], "big") % dim] += 1 if h[8] & 1 else -1
+    padded = f"#{word}#"
+    for f in [word, *(padded[i : i + n] for n in (3, 4, 5) for i in range(len(padded) - n + 1))]:
+        h = hashlib.blake2b(f.encode(), digest_size=9).digest()
+        out[int.from_bytes(h[:8], "big") % dim] += 1 if h[8] & 1 else -1
+    return out
+
+
+class _Words(dict):
+    """Vectors of the words met so far by a worker, in float32 (their entries are small integers, so nothing is lost)."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, word: str) -> np.ndarray:
+        if len(self) >= MEMORY_WORDS:
+            self.clear()
+        self[word] = v = word_vector(word, self.dim).astype(np.float32)
+        return v
+
+
+#: Word vectors that a worker remembers (1 kB each at 256 places).
+MEMORY_WORDS = 100_000
+_known: dict[int, _Words] = {}
+_WORD = re.compile("[a-zA-Z0-9_]+")
+
+
+def _words(dim: int) -> _Words:
+    return _known.setdefault(dim, _Words(dim))
+
+
+def hashed(text: str | None, dim: int = 256) -> np.ndarray:
+    """The sum of a text's word vectors, of length 1; zeros without words."""
+    out, known = np.zeros(dim), _words(dim)
+    for w, n in Counter(_WORD.findall((text or "").lower())).items():
+        out += n * known[w]
     n = np.linalg.norm(out)
     return out / n if n else out
 
@@ -145,6 +180,55 @@ def hashed_vectors(texts: DataFrame, dim: int = 256) -> DataFrame:
     return texts.mapInPandas(run, "id long, v array<double>")
 
 
-def expanded(query: str) -> str:
-    """A query with a template passage between its two copies."""
-    return f"{query}\nThe decision that answers this is recorded as follows.\n{query}"
+def maxsim_score(query: np.ndarray, doc: np.ndarray) -> float:
+    """Sum over the query's vectors of the largest cosine with one of the document's; 0 if either has none."""
+    return float((unit(query) @ unit(doc).T).max(axis=1).sum()) if len(query) and len(doc) else 0.0
+
+
+def maxsim(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(qid, doc, score) by late interaction of token vectors: queries (qid, v), docs (doc, v), a row a token.
+
+    The queries are the given query set: their vectors are gathered in one block, which the plan crosses with the blocks of
+    each document; per document that costs its tokens times the query set's, and nothing is shuffled but the documents' tokens."""
+    q = queries.groupBy("qid").agg(F.collect_list("v").alias("qv"))
+    d = docs.groupBy("doc").agg(F.collect_list("v").alias("dv"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = [maxsim_score(np.array(a.tolist(), np.float64), np.array(b.tolist(), np.float64)) for a, b in zip(f["qv"], f["dv"])]
+            yield pd.DataFrame({"qid": f["qid"], "doc": f["doc"], "score": got})
+
+    return d.crossJoin(q).mapInPandas(run, "qid long, doc long, score double")
+
+
+def word_maxsim(queries: DataFrame, docs: DataFrame, dim: int = 256) -> DataFrame:
+    """(qid, doc, score): maxsim over hashed word vectors of texts, queries (qid, text) against all docs (doc, text).
+
+    A document's distinct words decide, so each is embedded once.  The cosines of the query set's distinct words with a
+    batch's distinct words are one matrix product; documents then take maxima over their columns."""
+    asked = kept(queries.select("qid", tx.tokens(F.col("text")).alias("ws")).where(F.size("ws") > 0))
+    if (asked.agg(F.sum(F.size("ws"))).first()[0] or 0) > QUERY_WORDS:
+        raise ValueError(f"a query set has {QUERY_WORDS} words at most; ask in several sets")
+    query = [(r["qid"], r["ws"]) for r in asked.collect()]  # the query set
+    vocabulary = sorted({w for _, ws in query for w in ws})
+    place = {w: i for i, w in enumerate(vocabulary)}
+    asked_at = [(qid, np.array([place[w] for w in ws])) for qid, ws in query]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _words(dim)
+        left = unit(np.array([known[w] for w in vocabulary], np.float64)) if vocabulary else np.zeros((0, dim))
+        for f in frames:
+            for a in range(0, len(f), 64):
+                part = f.iloc[a : a + 64]
+                words = sorted({w for ws in part["ws"] for w in ws})
+                if not words or not asked_at:
+                    continue
+                at = {w: i for i, w in enumerate(words)}
+                cos = left @ unit(np.array([known[w] for w in words], np.float64)).T
+                for doc, ws in zip(part["doc"], part["ws"]):
+                    if len(ws):
+                        top = cos[:, [at[w] for w in ws]].max(axis=1)
+                        yield pd.DataFrame({"qid": [q for q, _ in asked_at], "doc": doc, "score": [float(top[i].sum()) for _, i in asked_at]})
+
+    rows = docs.select("doc", F.array_distinct(tx.tokens(F.col("text"))).alias("ws"))
+    return rows.mapInPandas(run, "qid long, doc long, score double")

@@ -9,7 +9,8 @@ from lodestrata.functions import text as tx
 from lodestrata.operators import evaluate as ev
 from lodestrata.operators import graph as gr
 from lodestrata.operators import lexical, vector
-from lodestrata.plans.ranking import K, _BASE, _PLUS, asked, corpus, table
+from lodestrata.operators.lineage import kept
+from lodestrata.plans.ranking import K, _BASE, _IDENTIFIERS, _PLUS, _plus, asked, corpus, table
 
 
 def _vectors(spark, sf):
@@ -34,17 +35,6 @@ def cluster_tree_rank(spark, sf):
     return vector.cluster_tree(_near(spark, sf, 20), _vectors(spark, sf))
 
 
-def hash_embed_topk(spark, sf):
-    docs = vector.hashed_vectors(corpus(spark, sf).withColumnRenamed("doc", "id"))
-    return vector.top_k(vector.hashed_vectors(asked(spark, sf).withColumnRenamed("qid", "id")), docs, K).select("qid", "doc", "rank", F.round("score", 6).alias("score"))
-
-
-def expanded_query_rank(spark, sf):
-    docs = vector.hashed_vectors(corpus(spark, sf).withColumnRenamed("doc", "id"))
-    wide = asked(spark, sf).select(F.col("qid").alias("id"), F.concat(F.col("text"), F.lit("\nThe decision that answers this is recorded as follows.\n"), F.col("text")).alias("text"))
-    return vector.top_k(vector.hashed_vectors(wide), docs, K).select("qid", "doc", "rank", F.round("score", 6).alias("score"))
-
-
 def vector_label_metrics(spark, sf):
     """Neighbours of the same label count as relevant."""
     labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc"), "label")
@@ -140,12 +130,34 @@ def decay_report(spark, sf):
 
 
 def _gold(spark, sf):
-    items = F.broadcast(asked(spark, sf))  # the query set, against all documents
-    return corpus(spark, sf).withColumnRenamed("text", "whole").join(items, F.contains(F.col("whole"), F.col("text"))).select("qid", "doc")
+    """Documents that contain an item's text.  A document with the text has its first WORDS whole words in a row, so
+    those are joined first, by hash; the texts themselves are compared for such pairs only."""
+    return kept(containing(corpus(spark, sf), asked(spark, sf)))
+
+
+WORDS = 4
+
+
+def containing(docs, items):
+    """(qid, doc): docs (doc, text) that contain the text of items (qid, text).  Words are runs of ASCII letters, digits and
+    underscores; an item's second to fifth stand whole in any text that contains it.  Items with fewer words, or none, are
+    compared with every document."""
+    words = tx.cased_tokens(F.col("text"))
+    keyed = kept(items.select("qid", "text", words.alias("ws")).withColumn("key", F.when(F.size("ws") > WORDS + 1, F.xxhash64(*[F.get("ws", F.lit(i + 1)) for i in range(WORDS)]))))
+    small = keyed.count() <= lexical.BROADCAST_WORDS
+    sent = F.broadcast if small else (lambda df: df)
+    w = F.col("ws")
+    rows = docs.select("doc", F.col("text").alias("whole"), words.alias("ws"))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - WORDS, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WORDS)])))
+    near = rows.select("doc", F.explode(runs).alias("key")).join(sent(keyed.where("key is not null").select("qid", "key")), "key").select("doc", "qid").distinct()
+    some = kept(near)
+    long = docs.join(some, "doc").join(sent(keyed.select("qid", F.col("text").alias("part"))), "qid").where(F.contains("text", "part")).select("qid", "doc")
+    short = sent(keyed.where("key is null").select("qid", F.col("text").alias("part")))
+    return long.unionByName(docs.join(short, F.contains(F.col("text"), F.col("part"))).select("qid", "doc")).distinct()
 
 
 def _ranked(spark, sf):
-    return lexical.best(lexical.bm25_plus(lexical.index(corpus(spark, sf), asked(spark, sf))), K)
+    return lexical.best(_plus(spark, sf)[1], K)
 
 
 def retrieval_metrics(spark, sf):
@@ -175,19 +187,33 @@ def return_on_tokens(spark, sf):
     return g.select("event_type", F.round(1000 * F.col("c") / F.col("t"), 6).alias("per_1k"), F.round(F.col("t") / F.nullif("c", F.lit(0)), 6).alias("tokens_per_correct"))
 
 
+def _compliance(spark, sf):
+    """A turn must keep what the user said before it in its conversation: (conv_id, turn, role, text, total, honoured, ids)."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = c.where("role = 'user'").select("conv_id", F.col("turn").alias("t"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("decision"))
+    text = F.coalesce("text", F.lit(""))
+    pairs = c.join(said, "conv_id").where("t < turn")
+    ok = pairs.withColumn("ok", tx.honoured(F.col("decision"), F.col("id"), text))
+    got = ok.groupBy("conv_id", "turn").agg(F.count("*").alias("total"), F.count_if("ok").alias("honoured"), F.sort_array(F.collect_list(F.when(F.col("ok"), F.struct("t", "id")))).alias("ids"))
+    zero = F.lit(0).cast("long")
+    rows = c.join(got, ["conv_id", "turn"], "left")
+    return rows.select("conv_id", "turn", "role", "text", F.coalesce("total", zero).alias("total"), F.coalesce("honoured", zero).alias("honoured"), F.coalesce(F.array_join(F.transform("ids", lambda x: x["id"]), "|"), F.lit("")).alias("honoured_ids"))
+
+
 def compliance_score(spark, sf):
-    """A turn complies with the first turn of its conversation if it shares a word of six letters or more with it."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", tx.tokens(F.col("text")).alias("ws"))
-    need = c.where("turn = 0").select("conv_id", F.array_distinct(F.filter("ws", lambda w: F.length(w) >= 6)).alias("kw"))
-    both = c.where("turn > 0").join(need, "conv_id")
-    return both.select("conv_id", "turn", F.when(F.size("kw") == 0, True).otherwise(F.arrays_overlap("kw", "ws")).alias("honoured"))
+    """How many of the user's earlier turns a turn keeps: by the identifiers that they name, else by their ids; 1 without any."""
+    rate = F.when(F.col("total") == 0, 1.0).otherwise(F.col("honoured") / F.col("total"))
+    return _compliance(spark, sf).select("conv_id", "turn", "total", "honoured", "honoured_ids", F.round(rate, 6).alias("rate"))
 
 
 def merge_ready(spark, sf):
-    c = table(spark, sf, "conversations")
-    empty = F.trim(F.coalesce("text", F.lit(""))) == ""
-    why = F.when(empty, "empty").when(tx.refuses(F.col("text")), "refusal").otherwise("ok")
-    return c.select("conv_id", "turn", why.alias("reason"), (why == "ok").alias("ready"))
+    """Whether a turn could be taken as it is, and why not: empty, a refusal, or something unkept."""
+    c = _compliance(spark, sf)
+    missed = F.col("total") - F.col("honoured")
+    text = tx.stripped(F.col("text"))
+    why = F.when(text == "", "empty response").when(tx.refuses(text), "refusal")
+    why = why.when(missed > 0, F.concat(missed.cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" governing decisions unmet"))).otherwise("all governing decisions honoured")
+    return c.select("conv_id", "turn", why.alias("reason"), ((text != "") & ~tx.refuses(text) & (missed == 0)).alias("ready"))
 
 
 def session_text(spark, sf):
@@ -264,19 +290,94 @@ def ablation(spark, sf):
     return _scored(spark, sf).withColumn("label", cells).where("label IS NOT NULL").groupBy("label").agg(F.round(F.avg("compliance"), 6).alias("compliance"), F.count("*").alias("n"))
 
 
-def crossover_pivot(spark, sf):
-    got = _scored(spark, sf).groupBy("arm").pivot("depth", [1, 2, 3]).agg(F.round(F.avg(F.col("recovered").cast("double")), 6))
-    return got.select("arm", *[F.col(str(d)).alias(f"d{d}") for d in (1, 2, 3)])
-
-
 def crossover_pivot_all(spark, sf):
-    """crossover_pivot with a column for each depth that occurs."""
+    """Recovery by arm, with a column for each depth that occurs."""
     s = _scored(spark, sf)
     depths = sorted(r[0] for r in s.select("depth").where("depth IS NOT NULL").distinct().collect())  # few
     got = s.groupBy("arm").pivot("depth", depths).agg(F.round(F.avg(F.col("recovered").cast("double")), 6))
     return got.select("arm", *[F.col(f"`{d}`").alias(f"d{d}") for d in depths])
 
 
+DATASETS = ("alpha", "beta", "gamma")
+ABLATION = (("none", 1, "full/none"), ("none", 3, "stripped/none"), ("words", 3, "stripped/words"), ("walk", 3, "stripped/walk"))
+
+
+def _runs(spark, sf):
+    """lineitem as attempts: dataset, arm, model, depth, spec, compliance, recovered, recall, correct, tokens, dollars."""
+    li = table(spark, sf, "lineitem")
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (n % len(names) + 1).cast("int"))
+    return li.select(
+        F.col("l_orderkey").alias("task_id"), pick(DATASETS, F.col("l_orderkey")).alias("dataset"), pick(("none", "words", "walk"), F.col("l_partkey")).alias("arm"),
+        pick(("one-large", "one-small", "two"), F.col("l_suppkey")).alias("model"), ((F.col("l_linenumber") - 1) % 3 + 1).cast("long").alias("depth"), (F.col("l_discount") * 10).alias("compliance"),
+        (F.col("l_quantity") > 20).alias("recovered"), (1 - F.col("l_tax") * 5).alias("recall"), (F.col("l_quantity") > 30).alias("correct"), F.col("l_quantity").alias("tokens_in"), (F.col("l_quantity") / 2).alias("tokens_out"),
+    )
+
+
+def headline_line(spark, sf):
+    """Mean compliance by dataset and arm for one line of models."""
+    return ev.headline(_runs(spark, sf), "one-").select("dataset", "arm", F.round("compliance", 6).alias("compliance"))
+
+
+def crossover_line(spark, sf):
+    """Recovery by arm and depth, on the datasets that can be stripped and one line of models."""
+    return ev.depth_crossover(_runs(spark, sf), DATASETS[:2], "one-").select("arm", "depth", F.round("recovery", 6).alias("recovery"))
+
+
+def robustness(spark, sf):
+    """Mean compliance by dataset and model with the arm held fixed."""
+    return ev.robustness(_runs(spark, sf), "walk").select("dataset", "model", F.round("compliance", 6).alias("compliance"))
+
+
+def ablation_cells(spark, sf):
+    """Cells of arm and depth by their labels; cells without a label are left out."""
+    cells = spark.createDataFrame(list(ABLATION), "arm string, depth long, label string")
+    return ev.ablation(_runs(spark, sf), cells, DATASETS[:2], "one-").select("label", F.round("compliance", 6).alias("compliance"), "n")
+
+
+def two_tier(spark, sf):
+    """Measured means and the claims of others, side by side and never averaged together."""
+    claims = table(spark, sf, "part").select(F.concat_ws("/", "p_name", F.col("p_partkey").cast("string")).alias("system"), (F.col("p_retailprice") / 1000).alias("value"), (F.col("p_partkey") % 3 == 0).alias("needs_citation"))
+    return ev.two_tier(_runs(spark, sf), claims).select("tier", "name", F.round("value", 6).alias("value"))
+
+
+def priced_runs(spark, sf):
+    """Dollars by model, by a table of prices a million tokens."""
+    prices = spark.createDataFrame([("one-large", 3.0, 15.0), ("one-small", 1.0, 5.0), ("two", 5.0, 15.0)], "model string, per_million_in double, per_million_out double")
+    return ev.priced(_runs(spark, sf), prices).groupBy("model").agg(F.round(F.sum(F.col("dollars") * 1e6), 3).alias("micro_dollars"))
+
+
+def frontier_report(spark, sf):
+    """Arms by mean tokens and share correct, cheapest first, with the area under their recovery by depth."""
+    return ev.frontier(_runs(spark, sf)).select("place", "arm", F.round("accuracy", 6).alias("accuracy"), F.round("cost", 6).alias("cost"), F.round("area", 6).alias("area"))
+
+
+def audc_raw(spark, sf):
+    """The area under each arm's recovery by depth, not divided by its span."""
+    return ev.curve_area(_curve(spark, sf), False).select("arm", F.round("area", 6).alias("area"))
+
+
+def factor_rates(spark, sf):
+    """Recall and what compliance makes of it, with score intervals for both shares."""
+    return ev.factorized(_runs(spark, sf)).select("arm", "depth", "n", *[F.round(c, 6).alias(c) for c in ("p_ret", "kappa", "low", "high", "ret_low", "ret_high")])
+
+
+def cost_per_correct(spark, sf):
+    """Tokens for each correct attempt; infinite without one."""
+    return ev.cost_per_correct(_runs(spark, sf).withColumn("correct", F.col("correct") & (F.col("model") != "two"))).select("model", F.round("cost", 6).alias("cost"))
+
+
+def left_to_run(spark, sf):
+    """Pairs of dataset and arm of a sweep that have no row yet."""
+    grid = spark.createDataFrame([(d,) for d in (*DATASETS, "delta")], "dataset string").crossJoin(spark.createDataFrame([(a,) for a in ("none", "words", "walk", "other")], "arm string"))
+    return grid.join(_runs(spark, sf).select("dataset", "arm").distinct(), ["dataset", "arm"], "left_anti")
+
+
+def graded_err(spark, sf):
+    """Expected reciprocal rank of graded lists: lines of an order by number, graded 0 to 4 by quantity."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qid"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("rank"), F.floor(F.col("l_quantity") / 11).cast("int").alias("grade"))
+    return ev.cascade(li, 4).select("qid", F.round("err", 6).alias("err"), F.round("ap", 6).alias("ap"))
+
+
 def _points(spark, sf):
     s = _scored(spark, sf).groupBy("depth", "arm").agg(F.round(F.avg("compliance"), 6).alias("accuracy"), F.round(F.avg("cost"), 6).alias("cost"))
     return s.select(F.concat_ws("/", "arm", F.col("depth").cast("string")).alias("name"), "accuracy", "cost")
@@ -320,11 +421,10 @@ def factorization(spark, sf):
 
 def supersession_current(spark, sf):
     """The order of each customer that no later order supersedes."""
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    newer = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    chain = o.withColumn("by", newer)
-    older = chain.where(F.col("by").isNotNull()).select(F.col("o_orderkey").alias("gone"))
-    return chain.join(older, chain["o_orderkey"] == older["gone"], "left_anti").select("o_custkey", "o_orderkey")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("chain"), F.col("o_orderkey").alias("item"), "o_orderdate")
+    newer = F.lead("item").over(Window.partitionBy("chain").orderBy("o_orderdate", "item"))
+    links = o.withColumn("by", newer).where("by is not null").select("chain", F.col("by").alias("src"), F.col("item").alias("dst"))
+    return gr.current_of(o.select("chain", "item"), links).select(F.col("chain").alias("o_custkey"), F.col("item").alias("o_orderkey"))
 
 
 def supersession_rate(spark, sf):
@@ -335,11 +435,12 @@ def supersession_rate(spark, sf):
 
 
 FUNCTIONS = (
-    dense_topk, mmr_order, cluster_tree_rank, hash_embed_topk, expanded_query_rank, vector_label_metrics,
+    dense_topk, mmr_order, cluster_tree_rank, vector_label_metrics,
     graph_neighbors, graph_bfs, graph_bfs_directed, graph_walk_1hop, graph_walk_3hop, spread_activation, pagerank_fixed_iter, pagerank_converged, edge_decay, decay_report,
     retrieval_metrics, mean_metrics, cost_to_correct, return_on_tokens, compliance_score, merge_ready, session_text, recall_distance,
     reliability_curve, brier_decomposition, fleiss, krippendorff, cohen_weighted, certify_depths,
-    headline, depth_crossover, ablation, crossover_pivot, crossover_pivot_all, pareto_frontier, dominated_set, hypervolume, audc, half_life, regret, factorization,
+    headline, depth_crossover, ablation, crossover_pivot_all, pareto_frontier, dominated_set, hypervolume, audc, audc_raw, half_life, regret, factorization,
+    headline_line, crossover_line, robustness, ablation_cells, two_tier, priced_runs, frontier_report, factor_rates, cost_per_correct, left_to_run, graded_err,
     supersession_current, supersession_rate,
 )
 
@@ -375,7 +476,7 @@ _TR = "SELECT o_orderkey AS src, o_custkey AS dst, o_totalprice / 500000 AS c, o
 _DE = f"WITH t AS ({_TR}), n AS (SELECT src, dst, tc, CASE WHEN tc >= 10 THEN least(1.0, c + 0.075) WHEN tc = 0 OR lt IS NULL OR 2 - lt >= 1 THEN c * 0.9::DOUBLE ELSE c END AS c, CASE WHEN tc >= 10 THEN 'reinforced' WHEN tc = 0 OR lt IS NULL OR 2 - lt >= 1 THEN 'decayed' ELSE 'kept' END AS what FROM t), k AS (SELECT * FROM n WHERE NOT (c < 0.1 AND tc = 0))"
 _METRICS = (
     _BASE
-    + f""", s AS {_PLUS}, rk AS (SELECT * FROM (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc) AS rank FROM s) WHERE rank <= 10),
+    + f""", s AS {_PLUS}, rk AS (SELECT * FROM (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS rank FROM s) WHERE rank <= 10),
 g AS (SELECT DISTINCT item_id AS qid, doc_id AS doc FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
 gn AS (SELECT qid, count(*) AS n FROM g GROUP BY qid),
 j AS (SELECT rk.*, (g.doc IS NOT NULL)::INT AS rel, coalesce(gn.n, 0) AS n FROM rk LEFT JOIN g USING (qid, doc) LEFT JOIN gn USING (qid)),
@@ -396,6 +497,16 @@ _AT = "att AS (SELECT user_id AS task, CAST(row_number() OVER (PARTITION BY user
 _RB = "pr AS (SELECT l_discount * 10 AS p, (l_quantity > 25)::INT AS y FROM lineitem), bn AS (SELECT CAST(greatest(ceil(round(p * 10, 9)) - 1, 0) AS BIGINT) AS bin, count(*) AS count, avg(p) AS mean_p, avg(y) AS mean_y FROM pr GROUP BY 1)"
 _RA = "ra AS (SELECT doc_id AS unit, unnest([quality, 1 - toxic]) AS label FROM labels), ce AS (SELECT unit, label, count(*) AS n FROM ra GROUP BY unit, label), un AS (SELECT unit, sum(n) AS m, sum(n * (n - 1)) AS same FROM ce GROUP BY unit)"
 
+_RUNS = """
+WITH rn AS (SELECT l_orderkey AS task_id, ['alpha', 'beta', 'gamma'][CAST(l_orderkey % 3 + 1 AS INT)] AS dataset, ['none', 'words', 'walk'][CAST(l_partkey % 3 + 1 AS INT)] AS arm, ['one-large', 'one-small', 'two'][CAST(l_suppkey % 3 + 1 AS INT)] AS model,
+  CAST((l_linenumber - 1) % 3 + 1 AS BIGINT) AS depth, l_discount * 10 AS compliance, l_quantity > 20 AS recovered, 1 - l_tax * 5 AS recall, l_quantity > 30 AS correct, l_quantity AS tokens_in, l_quantity / 2 AS tokens_out FROM lineitem)"""
+_COMPLY = f"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations),
+u AS (SELECT conv_id, turn AS t, concat_ws('-', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR)) AS id, {_IDENTIFIERS.format(t="text")} AS kw FROM c WHERE role = 'user'),
+p AS (SELECT c.conv_id, c.turn, u.t, u.id, CASE WHEN len(kw) > 0 THEN len(list_filter(kw, lambda k: contains(coalesce(text, ''), k))) > 0 ELSE contains(coalesce(text, ''), id) END AS ok FROM c JOIN u ON c.conv_id = u.conv_id AND u.t < c.turn),
+g AS (SELECT conv_id, turn, count(*) AS total, count(*) FILTER (ok) AS honoured, string_agg(id, '|' ORDER BY t) FILTER (ok) AS ids FROM p GROUP BY conv_id, turn),
+cs AS (SELECT c.*, CAST(coalesce(total, 0) AS BIGINT) AS total, CAST(coalesce(honoured, 0) AS BIGINT) AS honoured, coalesce(ids, '') AS honoured_ids FROM c LEFT JOIN g ON g.conv_id = c.conv_id AND g.turn = c.turn)"""
+
 SQL = {
     "dense_topk": """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -426,12 +537,15 @@ SELECT node, round(sum(x), 6) AS activation, count(*) AS n_seeds FROM t GROUP BY
     "mean_metrics": _METRICS + " SELECT round(avg(precision), 5) AS mean_precision, round(avg(recall), 5) AS mean_recall, round(avg(rr), 5) AS mean_rr, round(avg(ap), 5) AS mean_ap, round(avg(ndcg), 5) AS mean_ndcg, count(*) FILTER (chain_recovered) AS recovered FROM met",
     "cost_to_correct": f"WITH {_AT}, f AS (SELECT *, min(attempt) FILTER (correct) OVER (PARTITION BY task) AS first FROM att) SELECT task, count(*) AS attempts, max(first) IS NOT NULL AS resolved, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(tokens * 3 / 1000000), 9) AS dollars FROM f WHERE first IS NULL OR attempt <= first GROUP BY task",
     "return_on_tokens": f"WITH {_AT} SELECT event_type, round(1000 * count(*) FILTER (correct) / sum(tokens)::DOUBLE, 6) AS per_1k, round(sum(tokens)::DOUBLE / nullif(count(*) FILTER (correct), 0), 6) AS tokens_per_correct FROM att GROUP BY event_type",
-    "compliance_score": "WITH c AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS ws FROM conversations), n AS (SELECT conv_id, list_filter(ws, lambda w: length(w) >= 6) AS kw FROM c WHERE turn = 0) SELECT conv_id, turn, len(kw) = 0 OR list_has_any(kw, ws) AS honoured FROM c JOIN n USING (conv_id) WHERE turn > 0",
-    "merge_ready": "WITH r AS (SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN contains(lower(text), 'i cannot') OR contains(lower(text), 'i can''t') OR contains(lower(text), 'i am unable') OR contains(lower(text), 'i''m unable') OR contains(lower(text), 'as an ai') THEN 'refusal' ELSE 'ok' END AS reason FROM conversations) SELECT *, reason = 'ok' AS ready FROM r",
+    "compliance_score": _COMPLY + " SELECT conv_id, turn, total, honoured, honoured_ids, round(CASE WHEN total = 0 THEN 1.0::DOUBLE ELSE honoured / total END, 6) AS rate FROM cs",
+    "merge_ready": _COMPLY
+    + r""", tr AS (SELECT *, regexp_replace(coalesce(text, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t FROM cs),
+re AS (SELECT *, contains(lower(t), 'i can''t') OR contains(lower(t), 'i cannot') OR contains(lower(t), 'i won''t') OR contains(lower(t), 'as an ai') OR contains(lower(t), 'i''m not able to') AS refused FROM tr)
+SELECT conv_id, turn, CASE WHEN t = '' THEN 'empty response' WHEN refused THEN 'refusal' WHEN honoured < total THEN (total - honoured) || '/' || total || ' governing decisions unmet' ELSE 'all governing decisions honoured' END AS reason, t <> '' AND NOT refused AND honoured = total AS ready FROM re""",
     "session_text": "SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn, concat_ws(': ', role, text))) AS text_sha256 FROM conversations GROUP BY conv_id",
     "recall_distance": "SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) - turn AS distance FROM conversations",
     "reliability_curve": f"WITH {_RB} SELECT bin, count, round(mean_p, 6) AS mean_p, round(mean_y, 6) AS mean_y FROM bn",
-    "brier_decomposition": f"WITH {_RB}, b AS (SELECT avg((p - y) ** 2) AS brier, avg(y) AS base, count(*) AS n FROM pr) SELECT round(brier, 6) AS brier, round(sum(count * abs(mean_p - mean_y)) / n, 6) AS ece, round(sum(count * (mean_p - mean_y) ** 2) / n, 6) AS reliability, round(sum(count * mean_y * mean_y) / n - base * base, 6) AS resolution, round(base * (1 - base), 6) AS uncertainty FROM bn, b GROUP BY brier, base, n",
+    "brier_decomposition": f"WITH {_RB}, b AS (SELECT avg((p - y) ** 2) AS raw, avg(y) AS base, count(*) AS n FROM pr) SELECT round(raw, 6) AS raw_brier, round(sum(count * (mean_p * mean_p - 2 * mean_p * mean_y + mean_y)) / n, 6) AS brier, round(sum(count * abs(mean_p - mean_y)) / n, 6) AS ece, round(sum(count * (mean_p - mean_y) ** 2) / n, 6) AS reliability, round(sum(count * mean_y * mean_y) / n - base * base, 6) AS resolution, round(base * (1 - base), 6) AS uncertainty FROM bn, b GROUP BY raw, base, n",
     "fleiss": f"WITH {_RA}, b AS (SELECT avg(same / (m * (m - 1))) AS p_bar, sum(m) AS t FROM un), e AS (SELECT sum((c / t) ** 2) AS p_e FROM (SELECT label, sum(n) AS c FROM ce GROUP BY label), b) SELECT round(p_bar, 6) AS p_bar, round(p_e, 6) AS p_e, round(CASE WHEN p_e = 1 THEN 1 ELSE (p_bar - p_e) / (1 - p_e) END, 6) AS kappa FROM b, e",
     "krippendorff": f"WITH {_RA}, p AS (SELECT sum(m) AS t, sum((m * (m - 1) - same) / (m - 1)) AS un FROM un WHERE m > 1), c AS (SELECT sum(c * (c - 1)) AS cc FROM (SELECT label, sum(n) AS c FROM ce WHERE label IS NOT NULL GROUP BY label)) SELECT round(1 - un / ((t * (t - 1) - cc) / (t - 1)), 6) AS alpha FROM p, c",
     "cohen_weighted": """
@@ -446,7 +560,6 @@ SELECT weights, round(1 - (SELECT sum(p * CASE weights WHEN 'none' THEN (i <> j)
     "depth_crossover": f"WITH {_SC} SELECT arm, depth, round(avg(recovered::INT::DOUBLE), 6) AS recovery FROM sc GROUP BY arm, depth",
     "ablation": f"WITH {_SC} SELECT CASE depth WHEN 1 THEN 'shallow' WHEN 3 THEN 'middle' ELSE 'deep' END AS label, round(avg(compliance), 6) AS compliance, count(*) AS n FROM sc WHERE depth IN (1, 3, 7) GROUP BY 1",
     "crossover_pivot_all": f"WITH {_SC} SELECT arm, " + ", ".join(f"round(avg(recovered::INT::DOUBLE) FILTER (depth = {d}), 6) AS d{d}" for d in range(1, 8)) + " FROM sc GROUP BY arm",
-    "crossover_pivot": f"WITH {_SC} SELECT arm, round(avg(recovered::INT::DOUBLE) FILTER (depth = 1), 6) AS d1, round(avg(recovered::INT::DOUBLE) FILTER (depth = 2), 6) AS d2, round(avg(recovered::INT::DOUBLE) FILTER (depth = 3), 6) AS d3 FROM sc GROUP BY arm",
     "pareto_frontier": f"WITH {_SC}, {_PT} SELECT name, accuracy, cost FROM fr",
     "dominated_set": f"WITH {_SC}, {_PT} SELECT name FROM pt WHERE name NOT IN (SELECT name FROM fr)",
     "hypervolume": f"WITH {_SC}, {_PT}, c AS (SELECT DISTINCT accuracy, cost FROM fr), l AS (SELECT accuracy, cost, coalesce(lag(cost) OVER (ORDER BY accuracy DESC), 100000.0::DOUBLE) AS upper FROM c) SELECT round(sum(accuracy * (upper - cost)), 3) AS hypervolume FROM l",
@@ -454,6 +567,28 @@ SELECT weights, round(1 - (SELECT sum(p * CASE weights WHEN 'none' THEN (i <> j)
     "half_life": f"WITH {_SC}, {_CV} SELECT arm, round(min(CASE WHEN v0 > half AND value <= half THEN d0 + (v0 - half) / (v0 - value) * (depth - d0) END), 6) AS half_life FROM lg GROUP BY arm",
     "regret": f"WITH {_SC}, s AS (SELECT task, depth AS arm, max(compliance) AS score FROM sc GROUP BY task, depth), b AS (SELECT *, max(score) OVER (PARTITION BY task) AS hi, min(score) OVER (PARTITION BY task) AS lo FROM s) SELECT arm, round(avg(CASE WHEN hi <= lo THEN 0 ELSE (hi - score) / (hi - lo) END), 6) AS regret, count(*) AS n_tasks FROM b GROUP BY arm",
     "factorization": f"WITH {_SC}, g AS (SELECT arm, depth, sum(recall) AS r, sum(compliance) AS c, count(*) AS n FROM sc GROUP BY arm, depth), w AS (SELECT *, c / n AS p, 1.959963984540054::DOUBLE AS z FROM g) SELECT arm, depth, round(r / n, 6) AS p_ret, round(c / r, 6) AS kappa, round(greatest((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 0), 6) AS low, round(least((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 1), 6) AS high FROM w",
+    "audc_raw": f"WITH {_SC}, {_CV} SELECT arm, round(coalesce(sum((depth - d0) * (value + v0) / 2), 0), 6) AS area FROM lg GROUP BY arm",
+    "headline_line": _RUNS + " SELECT dataset, arm, round(avg(compliance), 6) AS compliance FROM rn WHERE model LIKE 'one-%' GROUP BY dataset, arm",
+    "crossover_line": _RUNS + " SELECT arm, depth, round(avg(recovered::INT::DOUBLE), 6) AS recovery FROM rn WHERE model LIKE 'one-%' AND dataset IN ('alpha', 'beta') GROUP BY arm, depth",
+    "robustness": _RUNS + " SELECT dataset, model, round(avg(compliance), 6) AS compliance FROM rn WHERE arm = 'walk' GROUP BY dataset, model",
+    "ablation_cells": _RUNS + ", ce(arm, depth, label) AS (VALUES ('none', 1, 'full/none'), ('none', 3, 'stripped/none'), ('words', 3, 'stripped/words'), ('walk', 3, 'stripped/walk')) SELECT label, round(avg(compliance), 6) AS compliance, count(*) AS n FROM rn JOIN ce ON rn.arm = ce.arm AND rn.depth = ce.depth WHERE model LIKE 'one-%' AND dataset IN ('alpha', 'beta') GROUP BY label",
+    "two_tier": _RUNS + " SELECT 'measured' AS tier, arm AS name, round(avg(compliance), 6) AS value FROM rn GROUP BY arm UNION ALL SELECT 'reported', concat_ws('/', p_name, CAST(p_partkey AS VARCHAR)), round(p_retailprice / 1000, 6) FROM part WHERE p_partkey % 3 <> 0 AND p_retailprice IS NOT NULL",
+    "priced_runs": _RUNS + " SELECT model, round(sum((tokens_in * CASE model WHEN 'one-large' THEN 3.0::DOUBLE WHEN 'one-small' THEN 1.0::DOUBLE ELSE 5.0::DOUBLE END + tokens_out * CASE model WHEN 'one-small' THEN 5.0::DOUBLE ELSE 15.0::DOUBLE END) / 1000000 * 1e6), 3) AS micro_dollars FROM rn GROUP BY model",
+    "frontier_report": _RUNS + """, am AS (SELECT arm, avg(correct::INT::DOUBLE) AS accuracy, avg(tokens_in + tokens_out) AS cost FROM rn GROUP BY arm),
+fr AS (SELECT * FROM am a WHERE NOT EXISTS (SELECT 1 FROM am b WHERE b.accuracy >= a.accuracy AND b.cost <= a.cost AND (b.accuracy > a.accuracy OR b.cost < a.cost))),
+cv AS (SELECT arm, depth, avg(recovered::INT::DOUBLE) AS v FROM rn GROUP BY arm, depth), lg AS (SELECT *, lag(depth) OVER w AS d0, lag(v) OVER w AS v0 FROM cv WINDOW w AS (PARTITION BY arm ORDER BY depth)),
+ar AS (SELECT arm, CASE WHEN max(depth) = min(depth) THEN max(v) ELSE sum((depth - d0) * (v + v0) / 2) END AS area FROM lg GROUP BY arm)
+SELECT CAST(row_number() OVER (ORDER BY cost, accuracy DESC, arm) AS BIGINT) AS place, arm, round(accuracy, 6) AS accuracy, round(cost, 6) AS cost, round(area, 6) AS area FROM fr JOIN ar USING (arm)""",
+    "factor_rates": _RUNS + """, g AS (SELECT arm, depth, sum(recall) AS r, sum(compliance) AS c, count(*) AS n FROM rn GROUP BY arm, depth), w AS (SELECT *, least(greatest(r / n, 0), 1) AS p, least(greatest(c / r, 0), 1) AS k, 1.959963984540054::DOUBLE AS z FROM g)
+SELECT arm, depth, n, round(r / n, 6) AS p_ret, round(c / r, 6) AS kappa, round(greatest((k + z * z / (2 * r) - z * sqrt(k * (1 - k) / r + z * z / (4 * r * r))) / (1 + z * z / r), 0), 6) AS low, round(least((k + z * z / (2 * r) + z * sqrt(k * (1 - k) / r + z * z / (4 * r * r))) / (1 + z * z / r), 1), 6) AS high,
+  round(greatest((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 0), 6) AS ret_low, round(least((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 1), 6) AS ret_high FROM w""",
+    "cost_per_correct": _RUNS + " SELECT model, round(CASE WHEN count(*) FILTER (correct AND model <> 'two') = 0 THEN 'infinity'::DOUBLE ELSE sum(tokens_in + tokens_out) / count(*) FILTER (correct AND model <> 'two') END, 6) AS cost FROM rn GROUP BY model",
+    "left_to_run": _RUNS + " SELECT * FROM (SELECT unnest(['alpha', 'beta', 'gamma', 'delta']) AS dataset) d CROSS JOIN (SELECT unnest(['none', 'words', 'walk', 'other']) AS arm) a WHERE (dataset, arm) NOT IN (SELECT (dataset, arm) FROM rn)",
+    "graded_err": """
+WITH l AS (SELECT l_orderkey AS qid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rank, floor(l_quantity / 11) AS grade FROM lineitem),
+s AS (SELECT *, (2 ** grade - 1) / 16.0::DOUBLE AS stop FROM l),
+a AS (SELECT *, coalesce(sum(ln(1 - stop)) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum((grade > 0)::INT) OVER (PARTITION BY qid ORDER BY rank) AS hits FROM s)
+SELECT qid, round(sum(stop * exp(before) / rank), 6) AS err, round(CASE WHEN sum((grade > 0)::INT) = 0 THEN 0 ELSE sum((grade > 0)::INT * hits / rank) / sum((grade > 0)::INT) END, 6) AS ap FROM a GROUP BY qid""",
     "supersession_current": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1",
     "supersession_rate": "WITH g AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS cur, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS app, count(*) AS n FROM orders GROUP BY o_custkey) SELECT count(*) AS total, count(*) FILTER (cur = app) AS correct, round(avg((cur = app)::INT::DOUBLE), 6) AS rate, round(avg(1 / n), 6) AS chance FROM g",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import stats, theory
 from lodestrata.operators import inference as inf
+from lodestrata.operators.lexical import exact_sum
 from lodestrata.plans.ranking import table
 
 
@@ -51,16 +52,25 @@ def avg_ranks(spark, sf):
 
 
 def friedman_stat(spark, sf):
+    """Friedman's statistic with its tie correction, and its p."""
     r = inf.ranks(_blocks(spark, sf), "block", "v")
+    ties = r.groupBy("block", "v").agg(F.count("*").alias("t")).agg(F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))
     s = r.groupBy("treatment").agg(F.sum("rank").alias("r"), F.count("*").alias("n")).agg(F.sum(F.col("r") ** 2).alias("r2"), F.count("*").alias("k"), F.max("n").alias("n"))
     n, k = F.col("n"), F.col("k")
-    return s.select(F.round(12 / (n * k * (k + 1)) * F.col("r2") - 3 * n * (k + 1), 6).alias("statistic"), n.alias("n"), k.alias("k"))
+    c = 1 - F.col("ties") / (n * (F.pow(k.cast("double"), 3) - k))
+    return s.join(F.broadcast(ties)).select(F.round((12 / (n * k * (k + 1)) * F.col("r2") - 3 * n * (k + 1)) / c, 6).alias("statistic"), n.alias("n"), k.alias("k"))
+
+
+# Studentized range at 0.05 over the root of 2, by number of treatments from 2 on.
+NEMENYI = (1.960, 2.344, 2.569, 2.728, 2.850, 2.949, 3.031, 3.102, 3.164, 3.219, 3.268, 3.313, 3.354, 3.391, 3.426, 3.458, 3.489, 3.517, 3.544)
 
 
 def nemenyi_cd(spark, sf):
-    """Critical difference for mean ranks; 2.949 is the value for seven treatments at 0.05."""
+    """Critical difference for mean ranks of 2 to 20 treatments at 0.05."""
     s = _blocks(spark, sf).agg(F.countDistinct("block").alias("n"), F.countDistinct("treatment").alias("k"))
-    return s.select(F.round(2.949 * F.sqrt(F.col("k") * (F.col("k") + 1) / (6 * F.col("n"))), 6).alias("cd"))
+    q = F.get(F.array(*[F.lit(x) for x in NEMENYI]), (F.col("k") - 2).cast("int"))
+    q = F.coalesce(q, F.raise_error(F.lit("the table holds 2 to 20 treatments")).cast("double"))
+    return s.select(F.round(q * F.sqrt(F.col("k") * (F.col("k") + 1) / (6 * F.col("n"))), 6).alias("cd"))
 
 
 def cliffs_delta(spark, sf):
@@ -251,10 +261,119 @@ def supersession_grid(spark, sf):
     return n.select("n", F.round(theory.supersession_structured(0.9, F.col("n")), 9).alias("structured"), F.round(theory.supersession_similarity(F.col("n")), 9).alias("similarity"), F.round(theory.break_even_quality(F.col("n")), 9).alias("break_even"), F.round(theory.scatter_factor(0.8, F.col("n")), 9).alias("scatter"))
 
 
+def economics_grid(spark, sf):
+    """All of the token economics over the grid, at 40 tokens an item and 3 dollars a million."""
+    got = theory.token_economics(F.col("s0"), F.col("rho"), F.col("q"), F.col("d").cast("double"), 40, 3e-6)
+    return _grid(spark).where("d <= 4").select(*[F.round(c, 6).alias(c) for c in ("s0", "rho", "q")], "d", *[F.round(c, 9).alias(n) for n, c in got.items() if n not in ("similarity_cost", "cost_ratio", "return_ratio", "similarity_dollars")], *[F.round(F.log(got[n]), 6).alias(f"log_{n}") for n in ("similarity_cost", "cost_ratio", "return_ratio", "similarity_dollars")])
+
+
+def value_grid(spark, sf):
+    """Net value of structure, scattered recovery and elasticities over the grid."""
+    s0, rho, q, d = F.col("s0"), F.col("rho"), F.col("q"), F.col("d").cast("double")
+    a, b = theory.similarity_gradients(s0, rho, d)
+    p = theory.similarity_recovery(s0, rho, d)
+    return _grid(spark).select(*[F.round(c, 6).alias(c) for c in ("s0", "rho", "q")], "d", F.round(theory.net_value_gain(s0, rho, q, d, 10, 2), 9).alias("net"), F.round(theory.scattered_recovery(q, d, 0.9, 2), 9).alias("scattered"),
+        F.round(theory.elasticity(a, s0, p), 6).alias("by_s0"), F.round(theory.elasticity(b, rho, p), 6).alias("by_rho"), F.round(theory.structured_gradient(q, d) - 0, 9).alias("gap_by_q"))
+
+
+def crossover_search(spark, sf):
+    """The first run of depths up to 64 at which structure wins by more than 0.05, and the depth at which it wins most."""
+    d = spark.range(1, 65).select(F.col("id").alias("d"))
+    g = _grid(spark).where("d = 1").drop("d").crossJoin(d)
+    key = ("s0", "rho", "q")
+    w = Window.partitionBy(*key).orderBy("d")
+    g = g.withColumn("g", F.round(theory.gap(F.col("s0"), F.col("rho"), F.col("q"), F.col("d").cast("double")), 12)).withColumn("above", F.col("g") > 0.05)
+    g = g.withColumn("first", F.min(F.when(F.col("above"), F.col("d"))).over(Window.partitionBy(*key)))
+    g = g.withColumn("end", F.min(F.when(~F.col("above") & (F.col("d") > F.col("first")), F.col("d"))).over(Window.partitionBy(*key)))
+    got = g.groupBy(*key).agg(F.min("first").alias("d_star"), F.coalesce(F.min("end") - 1, F.when(F.min("first").isNotNull(), F.lit(64))).cast("long").alias("last"), F.min_by("d", F.struct(-F.col("g"), F.col("d"))).alias("peak"))
+    return got.select(*[F.round(c, 6).alias(c) for c in key], "d_star", "last", "peak")
+
+
+def crossover_slopes(spark, sf):
+    """How the crossover depth moves with each parameter, by central differences."""
+    s0, rho, q = F.col("s0"), F.col("rho"), F.col("q")
+    f = theory.crossover_depth
+    by = {"s0": theory.central_difference(lambda x: f(x, rho, q), s0), "rho": theory.central_difference(lambda x: f(s0, x, q), rho), "q": theory.central_difference(lambda x: f(s0, rho, x), q)}
+    return _grid(spark).where("d = 1").select(*[F.round(c, 6).alias(c) for c in ("s0", "rho", "q")], *[F.round(c, 3).alias(f"by_{n}") for n, c in by.items()])
+
+
+def path_composition(spark, sf):
+    """Survival of mixed paths: an order's lines are hops, typed ones at 0.9 and the others at 0.8 * 0.95^distance."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), (F.col("l_linestatus") == "O").alias("typed"), F.col("l_linenumber").alias("i"))
+    s = F.when(F.col("typed"), 0.9).otherwise(theory.similarity_at(0.8, 0.95, F.col("i").cast("double")))
+    return li.groupBy("path").agg(F.count("*").alias("n_hops"), F.count_if("typed").alias("n_typed"), F.round(exact_sum(F.log(s)), 6).alias("log_survival"), F.round(F.exp(exact_sum(F.log(s))), 6).alias("survival"))
+
+
+def fano_grid(spark, sf):
+    """The least error that so many bits of uncertainty among k choices allow; the bits that it gives back beside it."""
+    g = spark.range(2, 9).select(F.col("id").alias("k")).crossJoin(spark.range(0, 11).select((F.col("id") / 10).alias("share")))
+    h = F.col("share") * F.log2(F.col("k").cast("double"))
+    e = theory.fano_error(h, F.col("k").cast("double"))
+    return g.select("k", "share", F.round(e, 9).alias("error"), F.round(theory.binary_entropy(e) + F.when(F.col("k") > 1, e * F.log2(F.col("k").cast("double") - 1)).otherwise(0.0) - h, 6).alias("off"))
+
+
+def stochastic_dominance(spark, sf):
+    return inf.dominance(table(spark, sf, "lineitem"), "l_returnflag", "A", "R", "l_quantity", 0.01)
+
+
+def confidence_seq(spark, sf):
+    """Bounds of each user's share of large keys after each event; all hold at once.  On a grid of 99 means."""
+    e = table(spark, sf, "events")
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    rows = e.select(F.col("user_id").alias("key"), nth.alias("nth"), (F.get_json_object("props", "$.k").cast("long") >= 60).cast("int").alias("x"))
+    got = inf.confidence_sequence(rows, grid=99)
+    return got.select("key", "nth", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
+
+
+def measured_crossover(spark, sf):
+    """Where the advantage of one line status over the other first turns positive, by return flag."""
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("key"), F.col("l_linenumber").cast("long").alias("x"))
+    y = F.avg(F.when(F.col("l_linestatus") == "O", F.col("l_quantity"))) - F.avg(F.when(F.col("l_linestatus") == "F", F.col("l_quantity")))
+    return inf.first_crossing(li.agg(F.round(y, 9).alias("y"))).select("key", F.round("crossing", 6).alias("crossing"))
+
+
+def wilcoxon_stat(spark, sf):
+    """Signed ranks of the lines' quantity against 50 times their tax and discount."""
+    li = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("a"), F.round(25 + 200 * (F.col("l_discount") - F.col("l_tax")), 0).alias("b"))
+    return inf.signed_ranks(li).select("n", "statistic", F.round("z", 6).alias("z"))
+
+
+def decay_models(spark, sf):
+    """Geometric and power-law decay of the mean price by line number, by their squared errors, AIC and BIC."""
+    s = table(spark, sf, "lineitem").groupBy("l_linenumber").agg(F.log(F.avg("l_extendedprice")).alias("y"))
+    n = F.count("*")
+    parts = []
+    for name, x in (("geometric", F.col("l_linenumber").cast("double")), ("power_law", F.log(F.col("l_linenumber") + 1.0))):
+        rss = F.greatest(F.regr_syy("y", x) - F.regr_sxy("y", x) * F.regr_sxy("y", x) / F.regr_sxx("y", x), F.lit(0.0))
+        fit = n * (F.log(2 * F.lit(np.pi) * rss / n) + 1)
+        parts.append(s.agg(F.lit(name).alias("model"), F.round(F.regr_slope("y", x), 6).alias("slope"), F.round(fit + 6, 4).alias("aic"), F.round(fit + 3 * F.log(n.cast("double")), 4).alias("bic")))
+    return parts[0].unionByName(parts[1])
+
+
+def bic_factor(spark, sf):
+    """The log of the Bayes factor for two shares against one, by their BIC, and for the first share against one half."""
+    import math
+
+    r = _table22(spark, sf).first()  # four counts
+    sa, na, sb, nb = r["a"], r["a"] + r["b"], r["c"], r["c"] + r["d"]
+    ll = lambda s, n, p: (s * math.log(p) if s else 0.0) + ((n - s) * math.log(1 - p) if n > s else 0.0)
+    pooled = (sa + sb) / (na + nb)
+    two = ll(sa, na, sa / na) + ll(sb, nb, sb / nb) - ll(sa, na, pooled) - ll(sb, nb, pooled) - math.log(na + nb) / 2
+    return spark.createDataFrame([(round(two, 4), round(stats.log_bayes_factor(sa, na), 4))], "two_shares double, one_half double")
+
+
+def tost_proportions(spark, sf):
+    """The two one-sided statistics for the equivalence of two shares within five hundredths, unpooled."""
+    pa, pb = F.col("a") / (F.col("a") + F.col("b")), F.col("c") / (F.col("c") + F.col("d"))
+    se = F.sqrt(pa * (1 - pa) / (F.col("a") + F.col("b")) + pb * (1 - pb) / (F.col("c") + F.col("d")))
+    return _table22(spark, sf).select(F.round(pa - pb, 9).alias("difference"), F.round((pa - pb + 0.05) / se, 6).alias("z_lower"), F.round((pa - pb - 0.05) / se, 6).alias("z_upper"))
+
+
 FUNCTIONS = (
     holm, benjamini_hochberg, benjamini_yekutieli, storey_q, avg_ranks, friedman_stat, nemenyi_cd, cliffs_delta, cohens_d, tost_moments, cohens_h_odds, mcnemar_counts,
     meta_dl, mutual_info, eprocess_path, eprocess_stop, ecdf_dominance, conformal_q, decay_fit, link_fit, mediation, partial_corr, g_computation, pinball, isotonic_trend,
     bootstrap_ci, studentized_ci, subsample_ci, cluster_ci, theory_grid, crossover_grid, sensitivity_grid, token_economics_grid, capacity_grid, supersession_grid,
+    economics_grid, value_grid, crossover_search, crossover_slopes, path_composition, fano_grid, stochastic_dominance, confidence_seq, measured_crossover, wilcoxon_stat, decay_models, bic_factor, tost_proportions,
 )
 
 _P = "t AS (SELECT p_brand AS family, p_partkey AS id, (p_partkey * 7919 % 10007 + 1) / 10008 * ((p_partkey % 7 + 1) / 70) AS p FROM part), r AS (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p, id) AS k FROM t)"
@@ -271,8 +390,8 @@ SQL = {
     "benjamini_yekutieli": f"WITH {_P} SELECT family, id, round(least({_UP} * list_sum(list_transform(range(1, m + 1), lambda i: 1.0::DOUBLE / i)), 1), 9) AS adjusted FROM r",
     "storey_q": f"WITH {_P}, s AS (SELECT *, least(avg((p > 0.05)::INT::DOUBLE) OVER (PARTITION BY family) / 0.95::DOUBLE, 1) AS pi0 FROM r) SELECT family, id, round(least({_UP} * pi0, 1), 9) AS adjusted FROM s",
     "avg_ranks": f"WITH {_BL} SELECT treatment, round(avg(r), 6) AS mean_rank FROM rk GROUP BY treatment",
-    "friedman_stat": f"WITH {_BL}, s AS (SELECT treatment, sum(r) AS r, count(*) AS n FROM rk GROUP BY treatment) SELECT round(12 / (max(n) * count(*) * (count(*) + 1)) * sum(r * r) - 3 * max(n) * (count(*) + 1), 6) AS statistic, max(n) AS n, count(*) AS k FROM s",
-    "nemenyi_cd": f"WITH {_BL} SELECT round(2.949::DOUBLE * sqrt(count(DISTINCT treatment) * (count(DISTINCT treatment) + 1) / (6 * count(DISTINCT block))), 6) AS cd FROM bl",
+    "friedman_stat": f"WITH {_BL}, ti AS (SELECT sum(t * t * t - t)::DOUBLE AS ties FROM (SELECT count(*) AS t FROM rk GROUP BY block, v)), s AS (SELECT treatment, sum(r) AS r, count(*) AS n FROM rk GROUP BY treatment), g AS (SELECT max(n) AS n, count(*) AS k, sum(r * r) AS r2 FROM s) SELECT round((12 / (n * k * (k + 1)) * r2 - 3 * n * (k + 1)) / (1 - ties / (n * (k * k * k - k))), 6) AS statistic, n, k FROM g, ti",
+    "nemenyi_cd": f"WITH {_BL}, g AS (SELECT count(DISTINCT treatment) AS k, count(DISTINCT block) AS n FROM bl) SELECT round({list(NEMENYI)}[CAST(k - 1 AS INT)]::DOUBLE * sqrt(k * (k + 1) / (6 * n)), 6) AS cd FROM g",
     "cliffs_delta": "WITH c AS (SELECT l_extendedprice AS v, count(*) FILTER (l_returnflag = 'A') AS na, count(*) FILTER (l_returnflag = 'N') AS nb FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1), b AS (SELECT *, coalesce(sum(nb) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c), s AS (SELECT sum(na * (below + nb / 2))::DOUBLE / (sum(na)::DOUBLE * sum(nb)) AS cles FROM b) SELECT round(cles, 6) AS cles, round(2 * cles - 1, 6) AS delta, CASE WHEN abs(2 * cles - 1) < 0.147 THEN 'negligible' WHEN abs(2 * cles - 1) < 0.33 THEN 'small' WHEN abs(2 * cles - 1) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude FROM s",
     "cohens_d": f"WITH {_M2} SELECT round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS d FROM mo",
     "tost_moments": f"WITH {_M2} SELECT round((ma - mb + 1) / sqrt(va / na + vb / nb), 6) AS t_lower, round((ma - mb - 1) / sqrt(va / na + vb / nb), 6) AS t_upper, round((va / na + vb / nb) ** 2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)), 4) AS df FROM mo",
@@ -290,6 +409,29 @@ SQL = {
     "partial_corr": "WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS xy, corr(l_quantity, l_discount) AS xz, corr(l_extendedprice, l_discount) AS yz FROM lineitem) SELECT round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS partial, round((xy - xz * yz) / sqrt(1 - xz * xz), 6) AS semipartial FROM c",
     "g_computation": "WITH l AS (SELECT (l_linestatus = 'O')::INT::DOUBLE AS t, l_quantity AS x, l_discount AS y FROM lineitem), s AS (SELECT covar_samp(t, t) AS tt, covar_samp(t, x) AS tx, covar_samp(x, x) AS xx, covar_samp(t, y) AS ty, covar_samp(x, y) AS xy, count(*) AS n FROM l) SELECT round((ty * xx - xy * tx) / (tt * xx - tx * tx), 9) AS ate, n FROM s",
     "pinball": "SELECT l_returnflag, round(avg(greatest(0.7::DOUBLE * (l_quantity - 25), -0.3::DOUBLE * (l_quantity - 25))), 6) AS loss FROM lineitem GROUP BY l_returnflag",
+    "isotonic_trend": """
+WITH s AS (SELECT CAST(l_linenumber AS BIGINT) AS depth, avg(l_quantity) AS m, count(*) AS n FROM lineitem GROUP BY 1),
+b AS (SELECT a.depth AS lo, c.depth AS hi, (SELECT sum(m * n) / sum(n) FROM s x WHERE x.depth BETWEEN a.depth AND c.depth) AS mean FROM s a JOIN s c ON a.depth <= c.depth),
+i AS (SELECT s.depth, s.n, lo, max(mean) AS up FROM s JOIN b ON lo <= s.depth AND hi >= s.depth GROUP BY s.depth, s.n, lo)
+SELECT depth, n, round(min(up), 6) AS fitted FROM i GROUP BY depth, n""",
+    "economics_grid": f"WITH {_GR}, t AS (SELECT *, list_sum(list_transform(range(1, d + 1), lambda i: 40 / (s0 * power(rho, i)))) AS ts, 40.0::DOUBLE * d AS tx FROM h WHERE d <= 4) SELECT {_G3}, d, round(ts, 9) AS similarity_tokens, round(tx, 9) AS structured_tokens, round(d * 40 / ts, 9) AS similarity_precision, 1.0::DOUBLE AS structured_precision, round(ts * (d * 40 / ts), 9) AS similarity_signal, round(tx, 9) AS structured_signal, round(tx / pq, 9) AS structured_cost, round(ts / tx, 9) AS token_ratio, round(ps / ts, 9) AS similarity_return, round(pq / tx, 9) AS structured_return, round(tx / pq * 3e-6, 9) AS structured_dollars, round(ln(ts / ps), 6) AS log_similarity_cost, round(ln((ts / ps) / (tx / pq)), 6) AS log_cost_ratio, round(ln((pq / tx) / (ps / ts)), 6) AS log_return_ratio, round(ln(ts / ps * 3e-6), 6) AS log_similarity_dollars FROM t",
+    "value_grid": f"WITH {_GR} SELECT {_G3}, d, round(10 * (pq - ps) - 2, 9) AS net, round(pq * power(0.9::DOUBLE, 2), 9) AS scattered, round(d::DOUBLE, 6) AS by_s0, round(d * (d + 1) / 2, 6) AS by_rho, round(d * pq / q, 9) AS gap_by_q FROM h",
+    "crossover_search": f"WITH {_GR}, k AS (SELECT DISTINCT s0, rho, q FROM g), x AS (SELECT s0, rho, q, d, round(power(q, d) - exp(d * ln(s0) + d * (d + 1) / 2 * ln(rho)), 12) AS gp FROM k, (SELECT range AS d FROM range(1, 65))), f AS (SELECT *, min(d) FILTER (gp > 0.05) OVER (PARTITION BY s0, rho, q) AS f FROM x), e AS (SELECT *, min(d) FILTER (gp <= 0.05 AND d > f) OVER (PARTITION BY s0, rho, q) AS e FROM f) SELECT {_G3}, min(f) AS d_star, CAST(coalesce(min(e) - 1, CASE WHEN min(f) IS NOT NULL THEN 64 END) AS BIGINT) AS last, arg_min(d, (-gp, d)) AS peak FROM e GROUP BY s0, rho, q",
+    "crossover_slopes": f"WITH {_GR}, k AS (SELECT DISTINCT s0, rho, q FROM g), e AS (SELECT *, 1e-5::DOUBLE AS h FROM k) SELECT {_G3}, round(((2 * (ln(q) - ln(s0 + h)) / ln(rho) - 1) - (2 * (ln(q) - ln(s0 - h)) / ln(rho) - 1)) / (2 * h), 3) AS by_s0, round(((2 * (ln(q) - ln(s0)) / ln(rho + h) - 1) - (2 * (ln(q) - ln(s0)) / ln(rho - h) - 1)) / (2 * h), 3) AS by_rho, round(((2 * (ln(q + h) - ln(s0)) / ln(rho) - 1) - (2 * (ln(q - h) - ln(s0)) / ln(rho) - 1)) / (2 * h), 3) AS by_q FROM e",
+    "path_composition": "WITH h AS (SELECT l_orderkey AS path, l_linestatus = 'O' AS typed, CASE WHEN l_linestatus = 'O' THEN 0.9::DOUBLE ELSE 0.8::DOUBLE * power(0.95::DOUBLE, l_linenumber) END AS s FROM lineitem) SELECT path, count(*) AS n_hops, count(*) FILTER (typed) AS n_typed, round(CAST(sum(CAST(ln(s) AS DECIMAL(28,9))) AS DOUBLE), 6) AS log_survival, round(exp(CAST(sum(CAST(ln(s) AS DECIMAL(28,9))) AS DOUBLE)), 6) AS survival FROM h GROUP BY path",
+    "stochastic_dominance": "WITH c AS (SELECT l_quantity AS v, count(*) FILTER (l_returnflag = 'A') AS na, count(*) FILTER (l_returnflag = 'R') AS nb FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1), d AS (SELECT v, sum(na) OVER (ORDER BY v)::DOUBLE / sum(na) OVER () - sum(nb) OVER (ORDER BY v)::DOUBLE / sum(nb) OVER () AS d, lead(v) OVER (ORDER BY v) - v AS w FROM c), a AS (SELECT *, sum(d * w) OVER (ORDER BY v) AS a FROM d) SELECT max(d) <= 0.01 AS first, coalesce(max(a), 0) <= 0.01 AS second FROM a",
+    "confidence_seq": """
+WITH b AS (SELECT user_id AS key, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS nth, (CAST(json_extract_string(props, '$.k') AS BIGINT) >= 60)::INT AS x FROM events),
+g AS (SELECT *, range / 100 AS m FROM b, range(1, 100)),
+c AS (SELECT *, exp(sum(ln(1 + 0.5::DOUBLE * (x - m))) OVER w) AS up, exp(sum(ln(1 - 0.5::DOUBLE * (x - m))) OVER w) AS down FROM g WINDOW w AS (PARTITION BY key, m ORDER BY nth)),
+t AS (SELECT *, max(round(0.5::DOUBLE * up + 0.5::DOUBLE * down, 9)) OVER (PARTITION BY key, m ORDER BY nth) AS most FROM c),
+a AS (SELECT key, nth, coalesce(min(m) FILTER (most < 1 / (1 - 0.95::DOUBLE)), 0) AS lo, coalesce(max(m) FILTER (most < 1 / (1 - 0.95::DOUBLE)), 1) AS hi FROM t GROUP BY key, nth)
+SELECT key, nth, round(max(lo) OVER w, 6) AS lower, round(min(hi) OVER w, 6) AS upper FROM a WINDOW w AS (PARTITION BY key ORDER BY nth)""",
+    "measured_crossover": "WITH s AS (SELECT l_returnflag AS key, CAST(l_linenumber AS BIGINT) AS x, round(avg(l_quantity) FILTER (l_linestatus = 'O') - avg(l_quantity) FILTER (l_linestatus = 'F'), 9) AS y FROM lineitem GROUP BY 1, 2), l AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM s WINDOW w AS (PARTITION BY key ORDER BY x)) SELECT key, round(min(CASE WHEN y0 IS NULL AND y > 0 THEN x::DOUBLE WHEN y > 0 AND y0 <= 0 THEN x0 + (0 - y0) / (y - y0) * (x - x0) END), 6) AS crossing FROM l GROUP BY key",
+    "wilcoxon_stat": "WITH d AS (SELECT l_quantity - round(25 + 200 * (l_discount - l_tax), 0) AS d FROM lineitem), c AS (SELECT abs(d) AS v, count(*) AS n, count(*) FILTER (d > 0) AS up FROM d WHERE d <> 0 GROUP BY 1), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS r FROM c), g AS (SELECT sum(n)::DOUBLE AS n, sum(r * up) AS up, sum(r * (n - up)) AS down, sum(n::DOUBLE ** 3 - n) AS ties FROM r) SELECT CAST(n AS BIGINT) AS n, least(up, down) AS statistic, round((least(up, down) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM g",
+    "decay_models": "WITH s AS (SELECT l_linenumber::DOUBLE AS i, ln(avg(l_extendedprice)) AS y FROM lineitem GROUP BY l_linenumber), x AS (SELECT 'geometric' AS model, i AS x, y FROM s UNION ALL SELECT 'power_law', ln(i + 1), y FROM s), g AS (SELECT model, count(*) AS n, regr_slope(y, x) AS slope, greatest(regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x), 0) AS rss FROM x GROUP BY model) SELECT model, round(slope, 6) AS slope, round(n * (ln(2 * pi() * rss / n) + 1) + 6, 4) AS aic, round(n * (ln(2 * pi() * rss / n) + 1) + 3 * ln(n), 4) AS bic FROM g",
+    "bic_factor": "WITH t AS (SELECT (count(*) FILTER (l_linestatus = 'O' AND l_quantity > 25))::DOUBLE AS sa, (count(*) FILTER (l_linestatus = 'O'))::DOUBLE AS na, (count(*) FILTER (l_linestatus = 'F' AND l_quantity > 25))::DOUBLE AS sb, (count(*) FILTER (l_linestatus = 'F'))::DOUBLE AS nb FROM lineitem), p AS (SELECT *, sa / na AS pa, sb / nb AS pb, (sa + sb) / (na + nb) AS p FROM t) SELECT round(sa * ln(pa) + (na - sa) * ln(1 - pa) + sb * ln(pb) + (nb - sb) * ln(1 - pb) - (sa + sb) * ln(p) - (na + nb - sa - sb) * ln(1 - p) - ln(na + nb) / 2, 4) AS two_shares, round(lgamma(sa + 1) + lgamma(na - sa + 1) - lgamma(na + 2) - na * ln(0.5::DOUBLE), 4) AS one_half FROM p",
+    "tost_proportions": "WITH t AS (SELECT (count(*) FILTER (l_linestatus = 'O' AND l_quantity > 25))::DOUBLE AS sa, (count(*) FILTER (l_linestatus = 'O'))::DOUBLE AS na, (count(*) FILTER (l_linestatus = 'F' AND l_quantity > 25))::DOUBLE AS sb, (count(*) FILTER (l_linestatus = 'F'))::DOUBLE AS nb FROM lineitem), p AS (SELECT sa / na - sb / nb AS d, sqrt(sa / na * (1 - sa / na) / na + sb / nb * (1 - sb / nb) / nb) AS se FROM t) SELECT round(d, 9) AS difference, round((d + 0.05::DOUBLE) / se, 6) AS z_lower, round((d - 0.05::DOUBLE) / se, 6) AS z_upper FROM p",
     "theory_grid": f"WITH {_GR} SELECT {_G3}, d, round(ps, 9) AS similarity, round(pq, 9) AS structured, round(pq - ps, 9) AS gap FROM h",
     "crossover_grid": f"WITH {_GR} SELECT {_G3}, round(2 * (ln(q) - ln(s0)) / ln(rho) - 1, 6) AS depth, round(ln(0.5::DOUBLE) / ln(rho), 6) AS half_life FROM h WHERE d = 1",
     "sensitivity_grid": f"WITH {_GR} SELECT {_G3}, d, round(d * ps / s0, 9) AS by_s0, round(d * (d + 1) / 2 * ps / rho, 9) AS by_rho, round(d * pq / q, 9) AS by_q FROM h",
