@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import hash_share, quoted, scratch_path, ship, small_batches, stored
+from lodestrata.llm.common import Scratch, hash_share, hot_keys, parts_of, quoted, salted_join, scratch_path, ship, small_enough, stored
 
 REVISIT_BYTES = 100
 #: Bytes at which an archive is closed and the next one begun.
 ARCHIVE_BYTES = 16 << 20
-#: Pages, and characters of each, of the dictionary's training sample, and the size of the dictionary.
+#: Pages (the least by a hash of the id), and characters of the beginning of each, of the dictionary's training sample, and
+#: the size of the dictionary.  It changes the archives' bytes and no record.
 DICT_PAGES, DICT_CHARS, DICT_BYTES = 400, 20_000, 32 << 10
 SKIPPABLE = 0x184D2A5D
 DATE = "2020-01-01T00:00:00Z"
@@ -201,22 +202,40 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     Null html is an empty payload, a null url becomes urn:page:ID.  Rows without id are responses; rows that repeat
     the least id of their payload are responses too.  An empty table writes nothing.  Other columns are ignored.
     A task writes archives under names of its attempt; only those of attempts that ended well are in the result.
+
+    Which pages are revisits is found from ids and digests alone and joined back by id and digest, so no shuffle gathers the
+    copies of a common page; the pages' own text is shuffled only if there are too many revisits for a broadcast.
     """
     spark = pages.sparkSession
     ship(spark)
-    small_batches(spark)
     folder = (folder or scratch_path(spark, "warc")).rstrip("/")
     rows = pages.select(quoted(id_col).cast("long").alias("id"), quoted(url_col).alias("url"), F.coalesce(quoted(html_col), F.lit("")).alias("html"))
-    few = rows.where(hash_share(F.xxhash64("id"), 2 * DICT_PAGES + 1000, pages.count()))
-    few = few.select("id", F.xxhash64("id").alias("k"), F.substring("html", 1, DICT_CHARS).alias("h"))
-    sample = few.orderBy("k", "id", "h").limit(DICT_PAGES).collect()
-    dictionary = train_dictionary([r["h"].encode() for r in sample])
-
-    rows = rows.withColumn("digest", F.sha2("html", 256))
-    long = rows.where((F.octet_length("html") >= REVISIT_BYTES) & F.col("id").isNotNull())
-    least = long.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d2"), "first")
-    rows = rows.join(least, rows["digest"] == least["d2"], "left")
-    rows = rows.select("id", "url", "html", "digest", F.when(F.col("id") != F.col("first"), F.col("first")).alias("refers_to"))
+    with Scratch(spark) as keep:
+        sized = rows.select("id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size"))
+        sized = keep(sized, "digests")
+        few = sized.where(hash_share(F.xxhash64("id"), 2 * DICT_PAGES + 1000, sized.count())).select(F.xxhash64("id").alias("k"), "id").distinct()
+        few = few.orderBy("k", "id").limit(DICT_PAGES).select(F.col("id").alias("wanted"))
+        sample = rows.join(F.broadcast(few), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("id", F.substring("html", 1, DICT_CHARS).alias("h"))
+        sample = sample.groupBy("id").agg(F.min("h").alias("h")).collect()  # DICT_PAGES rows
+        dictionary = train_dictionary([r["h"].encode() for r in sorted(sample, key=lambda r: (r["id"] is None, r["id"]))])
+
+        long = sized.where((F.col("size") >= REVISIT_BYTES) & F.col("id").isNotNull()).select("id", "digest")
+        copied = keep(long.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copied")
+        found = salted_join(long, copied.select("digest", "first"), ["digest"], F.col("id"), hot_keys(copied, ["digest"]))
+        revisits = found.where("id <> first").select(F.col("id").alias("id2"), F.col("digest").alias("digest2"), "first").distinct()
+        revisits = keep(revisits, "revisits")
+        whole = rows.withColumn("digest", F.sha2("html", 256))
+        same = (F.col("id") == F.col("id2")) & (F.col("digest") == F.col("digest2"))
+        if small_enough(revisits, F.lit(64)):
+            whole = whole.join(F.broadcast(revisits), same, "left").drop("id2", "digest2")
+        else:  # rows without id can't be revisits, and would all meet in one task
+            found = whole.where("id is not null").join(revisits, same, "left").drop("id2", "digest2")
+            whole = found.unionByName(whole.where("id is null").withColumn("first", F.lit(None).cast("long")))
+        return _written(whole.select("id", "url", "html", "digest", F.col("first").alias("refers_to")), folder, dictionary)
+
+
+def _written(rows: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
+    """Write records (id, url, html, digest, refers_to) to archives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -237,10 +256,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
             return pa.RecordBatch.from_arrays([pa.array(row[0]), pa.array(row[1], pa.int64()), pa.array(row[2], pa.int64())], ARCHIVE.names)
 
         for b in batches:
-            for page_id, url, page, digest, to in zip(*(b.column(i).to_pylist() for i in range(5))):
-                out.add(record(page_id, url, page.encode("utf-8", "surrogatepass"), digest, to))
-                if out.size() >= ARCHIVE_BYTES:
-                    yield close()
+            for start, end, texts in parts_of(b.column(2)):
+                rest = [b.column(i).slice(start, end - start).to_pylist() for i in (0, 1, 3, 4)]
+                for page, page_id, url, digest, to in zip(texts, *rest):
+                    out.add(record(page_id, url, page.encode("utf-8", "surrogatepass"), digest, to))
+                    if out.size() >= ARCHIVE_BYTES:
+                        yield close()
         if out.records:
             yield close()
 
@@ -248,7 +269,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
 
 
 def read_archives(archives: DataFrame, path_col: str = "path") -> DataFrame:
-    """A row per record of the archives at these paths: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """A row per record of the archives at these paths: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    An archive that a frame, a header, a length or a digest shows to be damaged ends the job with an error.  Paths that
+    repeat are read each for itself; an empty table gives no rows.
+    """
     ship(archives.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
