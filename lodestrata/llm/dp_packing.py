@@ -27,6 +27,8 @@ SENTENCE_PENALTY = 4.0
 INSIDE_PENALTY = 64.0
 #: Tokens after which a block is solved and its cuts, but for the last window's, are final.
 BLOCK_TOKENS = 1 << 19
+#: Words that a worker remembers here: in a pipeline it shares an executor that earlier stages have filled.
+MEMORY_WORDS = 800_000
 
 PIECE_FIELDS = T.StructType(
     [
@@ -184,7 +186,7 @@ def pack(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() << 33
-        words, packer = word_ids(path), Packer(window)
+        words, packer = word_ids(path, MEMORY_WORDS), Packer(window)
         kind: pa.DataType | None = None
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:

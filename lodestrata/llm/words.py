@@ -17,8 +17,9 @@ from lodestrata.llm.common import take_memory
 
 _STOPS = (".", "!", "?", "。", "！", "？", "…", ":", ";")
 
-#: Distinct words remembered by a worker (some 200 bytes each); beyond it the memory starts anew, which changes no result.
-MEMORY_WORDS = 800_000
+#: Distinct words remembered by a worker (some 200 bytes each) unless the caller says otherwise; beyond it the memory starts
+#: anew, which changes no result.
+MEMORY_WORDS = 1_500_000
 
 _MARK = "<|startoftext|>"
 
@@ -35,7 +36,8 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 class WordIds:
     """Texts to ids; also which tokens end a sentence."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMORY_WORDS):
+        self.most = most
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -90,7 +92,7 @@ class WordIds:
         parts = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
         coded = parts.values.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.index) > MEMORY_WORDS:
+        if len(self.index) > self.most:
             self.clear()
         known = list(map(self.index.get, words))
         if None in known:
@@ -108,9 +110,10 @@ class WordIds:
         return [(ids[a:b], stops[i:j] - a) for a, b, i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), where[:-1].tolist(), where[1:].tolist())]
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, most: int = MEMORY_WORDS) -> WordIds:
     """One memory a worker process and file, kept between tasks."""
     take_memory("word ids", _open.clear)
     if path not in _open:
-        _open[path] = WordIds(path)
+        _open[path] = WordIds(path, most)
+    _open[path].most = most
     return _open[path]
