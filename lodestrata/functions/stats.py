@@ -255,12 +255,29 @@ def two_proportion_power(p1: float, p2: float, n: int, alpha: float = 0.05) -> f
     se = math.sqrt(p1 * (1 - p1) / n + p2 * (1 - p2) / n)
     pooled = (p1 + p2) / 2
     se0 = math.sqrt(2 * pooled * (1 - pooled) / n)
+    if se == 0:
+        return 1.0
     return _Z.cdf((abs(p1 - p2) - _Z.inv_cdf(1 - alpha / 2) * se0) / se)
 
 
 def required_sample(p1: float, p2: float, alpha: float = 0.05, power: float = 0.8) -> int:
-    z = _Z.inv_cdf(1 - alpha / 2) + _Z.inv_cdf(power)
-    return math.ceil(z * z * (p1 * (1 - p1) + p2 * (1 - p2)) / (p1 - p2) ** 2)
+    """Rows a group; the variance is pooled under equality, as in two_proportion_power."""
+    if p1 == p2 or not 0 < power < 1:
+        raise ValueError("the shares must differ and the power lie in (0, 1)")
+    pooled = (p1 + p2) / 2
+    spread = _Z.inv_cdf(1 - alpha / 2) * math.sqrt(2 * pooled * (1 - pooled)) + _Z.inv_cdf(power) * math.sqrt(p1 * (1 - p1) + p2 * (1 - p2))
+    return math.ceil((spread / abs(p1 - p2)) ** 2)
+
+
+def least_effect(p: float, n: int, alpha: float = 0.05, power: float = 0.8) -> float:
+    """The smallest difference from share p that n rows a group show, by p's own variance."""
+    return (_Z.inv_cdf(1 - alpha / 2) + _Z.inv_cdf(power)) * math.sqrt(2 * p * (1 - p) / n)
+
+
+def chance_above(a: tuple[int, int], b: tuple[int, int], n: int = 200_000, seed: int = 0) -> float:
+    """How often a draw from the posterior of share a = (hits, rows) exceeds one from that of share b."""
+    draw = lambda x, s: np.random.RandomState(s).beta(0.5 + x[0], 0.5 + x[1] - x[0], n)
+    return float(np.mean(draw(a, seed) > draw(b, seed + 1)))
 
 
 def aligned_rank_f(y: np.ndarray) -> float:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,58 @@ def step_up(tests: DataFrame, factor: Column | float = 1.0) -> DataFrame:
     return rows.withColumn("adjusted", F.least(after * factor, F.lit(1.0))).drop("x", "m")
 
 
+# The points of the estimate of the share of true nulls.
+LAMBDAS = tuple(round(0.05 * j, 2) for j in range(1, 20))
+
+
+def end_weights(points=LAMBDAS) -> list[float]:
+    """What each point's value counts in the least-squares cubic's value at the last point."""
+    x = np.vander(points, 4)
+    return (x @ np.linalg.pinv(x))[-1].tolist()
+
+
+def null_share(tests: DataFrame) -> DataFrame:
+    """tests (family, id, p): (family, pi0), the share of true nulls in each family, at most 1; an error where it is not positive.
+
+    At each of LAMBDAS the share of greater p over the share expected of nulls; a smoothing spline through them, whose bound on
+    the residuals (their number) one cubic already meets, read off at the last point: a fixed weighted sum of counts."""
+    counts = tests.groupBy("family").agg(F.count("*").alias("m"), *[F.count_if(F.col("p") > x).alias(f"n{i}") for i, x in enumerate(LAMBDAS)])
+    pi0 = sum((w * (F.col(f"n{i}") / (F.col("m") * (1 - x))) for i, (w, x) in enumerate(zip(end_weights(), LAMBDAS))), F.lit(0.0))
+    bad = F.raise_error(F.lit("the share of true nulls is not positive: too few tests")).cast("double")
+    return counts.withColumn("pi0", pi0).select("family", F.when(F.col("pi0") <= 0, bad).otherwise(F.least("pi0", F.lit(1.0))).alias("pi0"))
+
+
+def crossover_interval(cells: DataFrame, n: int = 2000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+    """cells (key, x, a, na, b, nb): hits and rows of two ways at each x.  (key, point, low, high, exists): where a's share first
+    exceeds b's, as first_crossing says it, with the interval over n resamples and the share of them that cross at all.
+
+    Hits among rows drawn with replacement are binomial, so a resample is drawn from the counts and no row is gathered.
+    An x at which a way has no row is left out; without a crossing point, low and high are null."""
+    import pandas as pd
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f, rng = f[(f["na"] > 0) & (f["nb"] > 0)].sort_values("x"), np.random.default_rng(seed)
+        key, x = f["key"].iloc[:1].tolist(), f["x"].to_numpy(float)
+        if not len(x):
+            return pd.DataFrame({"key": [], "point": [], "low": [], "high": [], "exists": []})
+        a, na, b, nb = (f[c].to_numpy() for c in ("a", "na", "b", "nb"))
+        drawn = rng.binomial(na, a / na, (n, len(x))) / na - rng.binomial(nb, b / nb, (n, len(x))) / nb
+        y = np.vstack([a / na - b / nb, drawn])
+        up, row = y > 0, np.arange(n + 1)
+        i = up.argmax(axis=1)
+        j = np.maximum(i - 1, 0)
+        y0, y1 = y[row, j], y[row, i]
+        at = np.where(i == 0, x[0], x[j] - y0 / np.where(y1 == y0, 1.0, y1 - y0) * (x[i] - x[j]))
+        at[~up.any(axis=1)] = np.nan
+        seen = at[1:][~np.isnan(at[1:])]
+        ends = np.quantile(seen, [(1 - confidence) / 2, (1 + confidence) / 2]) if len(seen) else (np.nan, np.nan)
+        return pd.DataFrame({"key": key, "point": [at[0]], "low": [ends[0]], "high": [ends[1]], "exists": [len(seen) / n]})
+
+    kind = cells.schema["key"].dataType.simpleString()
+    got = cells.groupBy("key").applyInPandas(run, f"key {kind}, point double, low double, high double, exists double")
+    return got.select("key", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("point", "low", "high")], "exists")
+
+
 def harmonic(m: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), m.cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / i)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("ranking", "evaluation", "graphs", "inference", "sweep")
+MODULES = ("ranking", "evaluation", "graphs", "inference", "uncertainty", "sweep")
 
 
 def _modules():

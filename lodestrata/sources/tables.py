@@ -92,9 +92,61 @@ def chain_tasks(spark: SparkSession, depths: Sequence[int] = (1, 2, 3), per_dept
                     gold += [(task, i) for i in ids[1:]]
             rng.shuffle(own)
             items += [(task, pos, i, text) for pos, (i, text) in enumerate(own)]
+    return _task_frames(spark, tasks, items, gold, edges)
+
+
+def _task_frames(spark: SparkSession, tasks: list, items: list, gold: list, edges: list) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     return (
         spark.createDataFrame(tasks, "task_id string, query string, depth int"),
         spark.createDataFrame(items, "task_id string, pos int, item_id string, text string"),
         spark.createDataFrame(gold, "task_id string, item_id string"),
         spark.createDataFrame(edges, "task_id string, src string, dst string, rel string, confidence double"),
     )
+
+
+def revision_tasks(spark: SparkSession, length: int, n: int, seed: int = 0, others: int = 2, shuffled: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(tasks, items, gold, edges): a setting was revised ``length`` times, each revision superseding the one before; the last
+    one is gold.  Revisions read alike, so only the links tell them apart; ``others`` settings add chains of their own."""
+    if length < 1 or n < 0:
+        raise ValueError("a chain has a revision, and there are no fewer than 0 tasks")
+    rng = random.Random(seed)
+    tasks, items, gold, edges = [], [], [], []
+    for i in range(n):
+        task, own = f"revision-{length}-{i}", []
+        for chain in range(max(0, others) + 1):
+            subject = f"setting{i}x{chain}"
+            ids = [f"{task}-{chain}-{k}" for k in range(length)]
+            own += [(node, f"Revision {k}: {subject} is value{rng.randrange(10**6)} from now on.") for k, node in enumerate(ids)]
+            edges += [(task, new, old, "supersedes", 1.0) for old, new in zip(ids, ids[1:])]
+            if chain == 0:
+                tasks.append((task, f"Which value of {subject} holds now?", length))
+                gold.append((task, ids[-1]))
+        if shuffled:
+            rng.shuffle(own)
+        items += [(task, pos, node, text) for pos, (node, text) in enumerate(own)]
+    return _task_frames(spark, tasks, items, gold, edges)
+
+
+def scattered_tasks(spark: SparkSession, depths: Sequence[int] = (1, 2, 3), scatter: int = 0, per_depth: int = 10, seed: int = 0, others: int = 6) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(tasks, items, gold, edges): as chain_tasks, but the hops lie in turn in ``scatter + 1`` areas of different words, so a
+    chain of depth d changes area min(scatter, d) times and more.  Each area of the chain has two items of noise, each of
+    ``others`` areas one."""
+    if scatter < 0 or any(d < 1 for d in depths):
+        raise ValueError("scatter is at least 0 and depths are at least 1")
+    rng = random.Random(seed)
+    tasks, items, gold, edges = [], [], [], []
+    for depth in depths:
+        for i in range(per_depth):
+            task = f"scattered-{depth}-{i}"
+            words = [[f"{chr(97 + a % 26)}{a}{k}{i}" for k in range(8)] for a in range(scatter + 1 + others)]
+            fill = lambda: " ".join(f"z{rng.randrange(10**6)}" for _ in range(6))
+            ids = [f"{task}-{h}" for h in range(depth + 1)]
+            own = [(node, " ".join([*words[h % (scatter + 1)][: max(0, 8 * (depth - h + 1) // (depth + 1))], fill()])) for h, node in enumerate(ids)]
+            own += [(f"{task}-noise-{a}-{k}", " ".join([*words[a][: 4 - k], fill()])) for a in range(scatter + 1) for k in range(2)]
+            own += [(f"{task}-other-{a}", " ".join([*words[scatter + 1 + a], fill()])) for a in range(others)]
+            rng.shuffle(own)
+            tasks.append((task, " ".join(words[0]), depth))
+            items += [(task, pos, node, text) for pos, (node, text) in enumerate(own)]
+            gold.append((task, ids[-1]))
+            edges += [(task, a, b, "constrains" if h == depth - 1 else "derived_from", 1.0) for h, (a, b) in enumerate(zip(ids, ids[1:]))]
+    return _task_frames(spark, tasks, items, gold, edges)
