@@ -27,7 +27,7 @@ SENTENCE_PENALTY = 4.0
 INSIDE_PENALTY = 64.0
 #: Tokens after which a block is solved and its cuts, but for the last window's, are final.
 BLOCK_TOKENS = 1 << 19
-#: Words that a worker remembers here: in a pipeline it shares an executor that earlier stages have filled.
+#: Words that a worker remembers unless told otherwise: few, as a pipeline's earlier stages have filled the executor.
 MEMORY_WORDS = 800_000
 
 PIECE_FIELDS = T.StructType(
@@ -168,6 +168,7 @@ def pack(
     window: int = WINDOW,
     eos: int = 1,
     with_ids: bool = False,
+    memory_words: int = MEMORY_WORDS,
 ) -> DataFrame:
     """One row per piece: the id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids as bytes).
 
@@ -186,7 +187,7 @@ def pack(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() << 33
-        words, packer = word_ids(path, MEMORY_WORDS), Packer(window)
+        words, packer = word_ids(path, memory_words), Packer(window)
         kind: pa.DataType | None = None
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bbit_minhash, byte_cnn, dp_packing, html_extract, mil_quality, png_media, token_shards, toxicity, warc_zstd, winnow
+from lodestrata.llm import bbit_minhash, byte_cnn, dp_packing, html_extract, mil_quality, png_media, token_shards, toxicity, warc_zstd, winnow, words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dp_packing.pack(_table(spark, sf_dir, "documents"))
+    """Alone on its executors, it may remember more words than in the pipeline."""
+    return dp_packing.pack(_table(spark, sf_dir, "documents"), memory_words=words.MEMORY_WORDS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
