@@ -1,13 +1,17 @@
 """Whole texts as token ids by way of a memory of word parts.
 
-The tokenizer splits at white space before it merges, so a text's ids are its words' ids in a row.  A batch is cut at
-ASCII white space and its words are numbered in Arrow; each distinct word is tokenized once a worker, and the ids of
-the batch are then put together by array gathers.
+The tokenizer splits before it merges, so a text's ids are its parts' ids in a row.  A batch is cut at ASCII white space
+and, for a tokenizer that lowers its text and splits it into letters, digits and other characters, there too; its parts
+are numbered in Arrow, each distinct part is tokenized once a worker, and the ids of the batch are then put together by
+array gathers.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +21,98 @@ from lodestrata.llm.common import take_memory
 
 _STOPS = (".", "!", "?", "。", "！", "？", "…", ":", ";")
 
-#: Distinct words remembered by a worker (some 200 bytes each) unless the caller says otherwise; beyond it the memory starts
+#: Distinct words, or parts of them, remembered by a worker (some 200 bytes each) unless the caller says otherwise; beyond it the memory starts
 #: anew, which changes no result.
 MEMORY_WORDS = 1_500_000
 
 _MARK = "<|startoftext|>"
 
+#: What a tokenizer does before it merges, if words may be cut into letters, digits and other characters.
+_LOWERED = ["NFC", "Replace", "Lowercase"]
+_SPACES = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_END = "</w>"
+
+_SPACE, _LETTER, _DIGIT, _OTHER, _ODD, _LEAD = range(6)
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Kinds of bytes, and of the characters of two bytes.
+
+    Odd is what may be changed together with its neighbours (combining marks), may begin a special token or an English
+    ending, or is rare: a word with such a character is not cut.
+    """
+    byte, pair = np.full(256, _ODD, np.uint8), np.full(2048, _ODD, np.uint8)
+    for c in map(chr, range(33, 127)):
+        byte[ord(c)] = _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _ODD if c in "'<" else _OTHER
+    byte[[9, 10, 11, 12, 13, 32]] = _SPACE
+    byte[0xC2:0xE0] = _LEAD
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x370, 0x37F), *range(0x380, 0x482)]):
+        low = c.lower()
+        if len(low) == 1 and unicodedata.normalize("NFC", c) == c and all(unicodedata.category(x)[0] == "L" for x in c + low):
+            pair[ord(c)] = _LETTER
+    pair[[ord(c) for c in "¡§«»¿"]] = _OTHER
+    return byte, pair
+
+
+_BYTE, _PAIR = _kinds()
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def cuts_words(path: str) -> bool:
+    """Whether the tokenizer's file says that words may be cut as ``word_parts`` does, each part ending in a token of its own kind."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    steps = (told.get("normalizer") or {}).get("normalizers") or []
+    splits = (told.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model = told["model"]
+    return (
+        [x["type"] for x in steps] == _LOWERED
+        and steps[1] == _SPACES
+        and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+        and splits[0] == {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
+        and not splits[1]["add_prefix_space"]
+        and not splits[1]["use_regex"]
+        and model["type"] == "BPE"
+        and model.get("end_of_word_suffix") == _END
+        and not model.get("continuing_subword_prefix")
+        and all(x["content"].startswith("<") for x in told["added_tokens"])
+    )
+
+
+def word_parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of all texts (large strings without nulls) in a row, A-Z lowered; whether each is a whole word with an odd
+    character, left as it is; whether a word ends there; and where each text's parts begin, with the total."""
+    at = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: at[-1]]
+    kind = _BYTE[raw]
+    lead = np.flatnonzero(kind == _LEAD)
+    kind[lead] = kind[lead + 1] = _PAIR[(raw[lead] & 31).astype(np.int64) << 6 | raw[lead + 1] & 63]
+    low = _LOWER[raw]
+    inside = kind != _SPACE
+    first = inside.copy()  # of a word
+    first[1:] &= ~inside[:-1]
+    doc = at[:-1][at[:-1] < len(raw)]
+    first[doc] = inside[doc]
+    odd = np.flatnonzero(kind == _ODD)
+    if len(odd):
+        begin = np.flatnonzero(first)
+        word = np.unique(np.searchsorted(begin, odd, "right") - 1)
+        n = np.append(begin, len(raw))[word + 1] - begin[word]
+        whole = np.repeat(begin[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        kind[whole] = _ODD
+        low[whole] = raw[whole]
+    start = first | (kind == _DIGIT)
+    start[1:] |= kind[1:] != kind[:-1]
+    start &= inside
+    where = np.flatnonzero(start)
+    ends = np.append(first[where], True)[1:]
+    low = low[inside]
+    offsets = np.append(np.flatnonzero(start[inside]), len(low))
+    parts = pa.LargeStringArray.from_buffers(len(where), pa.py_buffer(offsets), pa.py_buffer(low))
+    return parts, kind[where] == _ODD, ends, np.searchsorted(where, at)
+
+
 _open: dict = {}
 
 
@@ -42,6 +132,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.cuts = cuts_words(path)
+        self.last = np.zeros(self.tok.get_vocab_size(), bool)  # tokens that end a part
+        if self.cuts:
+            self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith(_END)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -64,10 +158,28 @@ class WordIds:
             out += [parts[0].tolist(), *(p[1:].tolist() for p in parts[1:])]
         return out
 
-    def learn(self, words: list[str]) -> None:
-        got = self._encoded(words)
+    def _encoded_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, and how many each has: the last token of a part, and no other, is of the kind that ends one."""
+        got = [np.zeros(0, np.int32)]
+        for i in range(0, len(parts), 1000):
+            got.append(np.array(self.tok.encode_batch_fast([" ".join(parts[i : i + 1000])], add_special_tokens=False)[0].ids, np.int32))
+        ids = np.concatenate(got)
+        sizes = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+        if len(sizes) != len(parts) or sizes.sum() != len(ids):
+            raise ValueError(f"{len(parts)} parts of words have {len(sizes)} ends")
+        return ids, sizes
+
+    def learn(self, words: list[str], whole: np.ndarray) -> np.ndarray:
+        """Remember new words, or parts of them where whole is false; gives their numbers."""
+        order = np.argsort(whole, kind="stable")
+        words = [words[i] for i in order.tolist()]
+        cut = len(words) - int(whole.sum())
+        ids, sizes = self._encoded_parts(words[:cut])
+        rest = self._encoded(words[cut:])
+        ids = np.concatenate([ids, np.array([i for x in rest for i in x], np.int32)])
+        sizes = np.concatenate([sizes, np.array(list(map(len, rest)), np.int64)])
         n0 = len(self.index)
-        need, total = n0 + len(words), self.used + sum(map(len, got))
+        need, total = n0 + len(words), self.used + len(ids)
         if need > len(self.size):
             grow = max(need, 2 * len(self.size))
             for name in ("begin", "size", "stop"):
@@ -79,33 +191,44 @@ class WordIds:
             new = np.zeros(max(total, 2 * len(self.pool)), np.int32)
             new[: self.used] = self.pool[: self.used]
             self.pool = new
-        sizes = list(map(len, got))
         self.index.update(zip(words, range(n0, need)))
         self.size[n0:need] = sizes
-        self.begin[n0:need] = self.used + np.cumsum([0, *sizes])[:-1]
+        self.begin[n0:need] = self.used + np.cumsum(sizes) - sizes
         self.stop[n0:need] = [w.endswith(_STOPS) for w in words]
-        self.pool[self.used : total] = [i for ids in got for i in ids]
+        self.pool[self.used : total] = ids
         self.used = total
+        numbers = np.empty(len(words), np.int64)
+        numbers[order] = np.arange(n0, need)
+        return numbers
 
     def __call__(self, texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids and the rising counts of ids at which sentences end."""
-        parts = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
-        coded = parts.values.dictionary_encode()
+        column = pa.array([t or "" for t in texts], pa.large_string())
+        if self.cuts:
+            values, whole, word_ends, offsets = word_parts(column)
+        else:
+            parts = pc.ascii_split_whitespace(column)
+            values, offsets = parts.values, parts.offsets.to_numpy()
+            whole = word_ends = np.ones(len(values), bool)
+        coded = values.dictionary_encode()
+        nth = coded.indices.to_numpy()
         words = coded.dictionary.to_pylist()
         if len(self.index) > self.most:
             self.clear()
-        known = list(map(self.index.get, words))
-        if None in known:
-            self.learn([w for w, k in zip(words, known) if k is None])
-            known = list(map(self.index.__getitem__, words))
-        at = np.array(known, np.int64)[coded.indices.to_numpy()]
+        known = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            odd = np.zeros(len(words), bool)
+            odd[nth[whole]] = True
+            known[new] = self.learn([words[i] for i in new.tolist()], odd[new])
+        at = known[nth]
         size = self.size[at]
         ends = np.cumsum(size, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.pool[np.repeat(self.begin[at] - (ends - size), size) + np.arange(total)]
         ends = np.concatenate([[0], ends])
-        cut = ends[parts.offsets.to_numpy()]
-        stops = ends[1:][self.stop[at] & (size > 0)]
+        cut = ends[offsets]
+        stops = ends[1:][self.stop[at] & word_ends & (size > 0)]
         where = np.searchsorted(stops, cut, "right")
         return [(ids[a:b], stops[i:j] - a) for a, b, i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), where[:-1].tolist(), where[1:].tolist())]
 
