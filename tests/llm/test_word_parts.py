@@ -2,9 +2,12 @@
 
 import re
 
+import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
+from lodestrata.llm.dp_packing import Packer
 from lodestrata.llm.words import _STOPS, WordIds, cuts_words, tokenizer_file
 
 ODD = [
@@ -49,3 +52,16 @@ def test_a_memory_that_starts_anew_changes_nothing():
 def test_other_tokenizers_are_not_cut():
     assert cuts_words(public_tokenizers.path("word_bpe_49k.json"))
     assert not cuts_words(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_packing_documents_looks_up_fewer_parts_than_words():
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist()
+    whole, words, packer = Tokenizer.from_file(tokenizer_file()), WordIds(tokenizer_file()), Packer()
+    pieces = []
+    for k, (ids, stops) in enumerate(words(texts)):
+        pieces += packer.add(k, np.append(ids, np.int32(1)), stops)
+    pieces += packer.finish()
+    for k, text in enumerate(texts):
+        got = b"".join(ids for row, *_, ids in pieces if row == k)
+        assert np.frombuffer(got, "<u4").tolist() == [*whole.encode(text or "", add_special_tokens=False).ids, 1]
+    assert len(words.index) < 0.9 * len({w for t in texts for w in (t or "").split()})
