@@ -27,7 +27,7 @@ MEMORY_WORDS = 1_500_000
 
 _MARK = "<|startoftext|>"
 
-#: What a tokenizer does before it merges, if words may be cut into letters, digits and other characters.
+#: What a tokenizer does before it merges if words may be cut into letters, digits and other characters.
 _LOWERED = ["NFC", "Replace", "Lowercase"]
 _SPACES = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -59,13 +59,10 @@ _BYTE, _PAIR = _kinds()
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
-def cuts_words(path: str) -> bool:
-    """Whether the tokenizer's file says that words may be cut as ``word_parts`` does, each part ending in a token of its own kind."""
-    with open(path, encoding="utf-8") as f:
-        told = json.load(f)
-    steps = (told.get("normalizer") or {}).get("normalizers") or []
-    splits = (told.get("pre_tokenizer") or {}).get("pretokenizers") or []
-    model = told["model"]
+def cuts_words(tok) -> bool:
+    """Whether a tokenizer cuts words as ``word_parts`` does, each part ending in a token of its own kind."""
+    told = [json.loads(x.__getstate__()) if x else {} for x in (tok.normalizer, tok.pre_tokenizer)]
+    steps, splits = told[0].get("normalizers", []), told[1].get("pretokenizers", [])
     return (
         [x["type"] for x in steps] == _LOWERED
         and steps[1] == _SPACES
@@ -73,10 +70,10 @@ def cuts_words(path: str) -> bool:
         and splits[0] == {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
         and not splits[1]["add_prefix_space"]
         and not splits[1]["use_regex"]
-        and model["type"] == "BPE"
-        and model.get("end_of_word_suffix") == _END
-        and not model.get("continuing_subword_prefix")
-        and all(x["content"].startswith("<") for x in told["added_tokens"])
+        and type(tok.model).__name__ == "BPE"
+        and tok.model.end_of_word_suffix == _END
+        and not tok.model.continuing_subword_prefix
+        and all(x.content.startswith("<") for x in tok.get_added_tokens_decoder().values())
     )
 
 
@@ -132,10 +129,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cuts = cuts_words(path)
-        self.last = np.zeros(self.tok.get_vocab_size(), bool)  # tokens that end a part
-        if self.cuts:
-            self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith(_END)]] = True
+        self.cuts = cuts_words(self.tok)
+        n = self.tok.get_vocab_size()
+        self.last = np.fromiter((self.cuts and self.tok.id_to_token(i).endswith(_END) for i in range(n)), bool, n)  # tokens that end a part
         self.clear()
 
     def clear(self) -> None:

@@ -50,8 +50,8 @@ def test_a_memory_that_starts_anew_changes_nothing():
 
 
 def test_other_tokenizers_are_not_cut():
-    assert cuts_words(public_tokenizers.path("word_bpe_49k.json"))
-    assert not cuts_words(public_tokenizers.path("byte_bpe_50k.json"))
+    assert cuts_words(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
+    assert not cuts_words(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def test_packing_documents_looks_up_fewer_parts_than_words():
