@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm import bbit_minhash, byte_cnn, dp_packing, toxicity, winnow
-from lodestrata.llm.common import dropped, scratch_path, stored
+from lodestrata.llm.common import dropped, give_back, scratch_path, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +41,26 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dp_packing.pack(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("language_id", keep_known_languages),
-    ("near_dedup", keep_one_of_each),
-    ("decontamination", drop_contaminated),
-    ("packing", pack),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def begun_lean(stage: Stage) -> Stage:
+    """The stage, begun when the executors have given back the heap that the stages before made them take."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", begun_lean(drop_toxic)),
+    ("language_id", begun_lean(keep_known_languages)),
+    ("near_dedup", begun_lean(keep_one_of_each)),
+    ("decontamination", begun_lean(drop_contaminated)),
+    ("packing", begun_lean(pack)),
 ]
 
 #: Two stages are learned classifiers, which SQL can't express.

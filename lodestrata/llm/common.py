@@ -215,6 +215,16 @@ def tidy() -> None:
         pass
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect their garbage and give the heap that it took back to the system.
+
+    A JVM lets its heap grow with what a step allocates, not with what it keeps, and hardly shrinks it; Python workers
+    need that memory beside it.  A task a core reaches every executor that is idle; one that is missed only stays large.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()  # one row a task
+
+
 def bounded_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, class_col: str, per_class: int, chars: int, classes: Sequence | None = None, where=None) -> DataFrame:
     """(_k, _t, _y): id, text and class of at most ``per_class`` labelled documents of each class, the least by a hash of
     the id, as long as their texts have at most ``chars`` characters together.
