@@ -35,8 +35,8 @@ def benjamini_yekutieli(spark, sf):
 def storey_q(spark, sf):
     """pi0 by the single point lambda = 0.05, for each family."""
     t = _tests(spark, sf)
-    share = F.avg((F.col("p") > 0.05).cast("double")).over(Window.partitionBy("family"))
-    return _adjusted(inf.step_up(t.withColumn("pi0", F.least(share / 0.95, F.lit(1.0))), F.col("pi0")))
+    share = F.avg((F.col("p") > 0.05).cast("double"))
+    return _adjusted(inf.step_up(inf.by_family(t, "pi0", share, lambda x: F.least(x / 0.95, F.lit(1.0))), F.col("pi0")))
 
 
 def _blocks(spark, sf):

@@ -34,3 +34,18 @@ def test_step_up_of_a_large_family_looks_at_each_row_once(spark):
         order = np.argsort(p[f], kind="stable")
         want = np.minimum(np.maximum.accumulate((n - np.arange(n)) * p[f][order]), 1)
         assert [fallen[f, i] for i in order] == pytest.approx(want)
+
+
+def test_storey_takes_its_share_once_a_family(spark, tmp_path):
+    from lodestrata.plans import catalogue
+
+    n = 20_000
+    spark.range(1, n + 1).select(F.col("id").alias("p_partkey"), F.when(F.col("id") % 2 == 0, "one").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    q = catalogue.queries()["storey_q"](spark, str(tmp_path))
+    assert "unboundedfollowing" not in plan_of(q).replace(" ", "")
+    got = {r["id"]: r["adjusted"] for r in q.collect()}
+    assert len(got) == n  # parts without a brand are a family
+    for first in (1, 2):
+        k = np.arange(first, n + 1, 2)
+        p = (k * 7919 % 10007 + 1) / 10008 * ((k % 7 + 1) / 70)
+        assert [got[i] for i in k] == pytest.approx(stepped_up(p, min(np.mean(p > 0.05) / 0.95, 1)), abs=2e-9)
