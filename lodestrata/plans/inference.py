@@ -29,7 +29,7 @@ def benjamini_hochberg(spark, sf):
 
 
 def benjamini_yekutieli(spark, sf):
-    return _adjusted(inf.step_up(_tests(spark, sf), inf.harmonic(F.col("m"))))
+    return _adjusted(inf.step_up(inf.by_family(_tests(spark, sf), "h", F.count("*"), inf.harmonic), F.col("h")))
 
 
 def storey_q(spark, sf):

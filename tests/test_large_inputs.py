@@ -1,5 +1,7 @@
 """Steps whose work once grew with the square of a group."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -49,3 +51,18 @@ def test_storey_takes_its_share_once_a_family(spark, tmp_path):
         k = np.arange(first, n + 1, 2)
         p = (k * 7919 % 10007 + 1) / 10008 * ((k % 7 + 1) / 70)
         assert [got[i] for i in k] == pytest.approx(stepped_up(p, min(np.mean(p > 0.05) / 0.95, 1)), abs=2e-9)
+
+
+def test_yekutieli_adds_its_series_once_a_family(spark, tmp_path):
+    from lodestrata.plans import catalogue
+
+    n = 20_000
+    spark.range(1, n + 1).select(F.col("id").alias("p_partkey"), F.lit("one").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    began = time.time()
+    got = {r["id"]: r["adjusted"] for r in catalogue.queries()["benjamini_yekutieli"](spark, str(tmp_path)).collect()}
+    assert time.time() - began < 20
+    k = np.arange(1, n + 1)
+    want = stepped_up((k * 7919 % 10007 + 1) / 10008 * ((k % 7 + 1) / 70), sum(1 / k))
+    assert [got[i] for i in k] == pytest.approx(want, abs=2e-9)
+    for m in (1, 2, 65_536, 65_537, 200_000):
+        assert spark.range(1).select(inference.harmonic(F.lit(m))).first()[0] == sum(1 / i for i in range(1, m + 1))
