@@ -59,10 +59,18 @@ def spread(edges: DataFrame, seeds: DataFrame, hops: int = 3, decay: float = 0.5
     return reduce(DataFrame.unionByName, parts).groupBy("seed", "node").agg(F.sum("x").alias("activation"))
 
 
+def added(c: Column, n: Column) -> Column:
+    """c added to 0 n times over, one after the other: what a sum over n equal rows gives, however tasks would share them."""
+    stretch = lambda j: F.sequence(F.lit(1), F.least(F.lit(65536).cast("long"), n - j * 65536).cast("int"))
+    many = F.aggregate(F.sequence(F.lit(0), ((n - 1) / 65536).cast("int")), F.lit(0.0), lambda s, j: F.aggregate(stretch(j), s, lambda t, i: t + c))
+    return F.when(n == 1, c).otherwise(many)
+
+
 def pagerank(edges: DataFrame, nodes: DataFrame, restart: Column, alpha: float = 0.15, iterations: int | None = None, cut: int = 5, tolerance: float = 1e-12, most: int = 200) -> DataFrame:
     """(node, mass) where a step changes the masses by less than ``tolerance`` in sum (after ``most`` steps at the latest),
     or after ``iterations`` steps if given.  restart: a weight by node, normalised here; nodes without out-edges hand their
-    mass to it.  Parallel edges add.  Lineage is cut every ``cut`` steps by a checkpoint in the shared folder."""
+    mass to it.  Parallel edges add.  Each step is kept, so none is worked out twice; equal shares that a node gets are counted and
+    added one by one, so its mass doesn't depend on which task met which edge."""
     out = edges.groupBy("src", "dst").agg(F.sum("confidence").alias("w"))
     total = out.groupBy("src").agg(F.sum("w").alias("t"))
     step = out.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p"))
@@ -70,17 +78,17 @@ def pagerank(edges: DataFrame, nodes: DataFrame, restart: Column, alpha: float =
     whole = base.agg(F.sum("s").alias("s"), F.count("*").alias("n")).first()
     base = base.select("node", (F.col("s") / whole["s"] if whole["s"] else F.lit(1.0 / max(1, whole["n"]))).alias("s"))
     base = base.join(total.select(F.col("src").alias("node"), F.lit(True).alias("has")), "node", "left").select("node", "s", F.col("has").isNull().alias("dangling"))
-    mass = base.withColumn("m", F.col("s"))
     if iterations is None:
         return _settled(base, step, alpha, tolerance, most, cut)
-    for i in range(iterations):
+    base, step = kept(base), kept(step)
+    mass = base.withColumn("m", F.col("s"))
+    for _ in range(iterations):
         loose = mass.agg(F.sum(F.when(F.col("dangling"), F.col("m")))).first()[0] or 0.0
-        flow = mass.join(step, mass["node"] == step["src"]).groupBy("dst").agg(F.sum(F.col("m") * F.col("p")).alias("f"))
+        shares = mass.where("m <> 0").join(step, mass["node"] == step["src"]).groupBy("dst", (F.col("m") * F.col("p")).alias("c")).agg(F.count("*").alias("n"))
+        flow = shares.groupBy("dst").agg(F.sum(added(F.col("c"), F.col("n"))).alias("f"))
         mass = mass.join(flow, mass["node"] == flow["dst"], "left")
         new = (1 - alpha) * (F.coalesce("f", F.lit(0.0)) + loose * F.col("s")) + alpha * F.col("s")
-        mass = mass.select("node", "s", "dangling", new.alias("m"))
-        if i % cut == cut - 1:
-            mass = kept(mass)
+        mass = kept(mass.select("node", "s", "dangling", new.alias("m")))
     return mass.select("node", F.col("m").alias("mass"))
 
 

@@ -65,4 +65,26 @@ def test_yekutieli_adds_its_series_once_a_family(spark, tmp_path):
     want = stepped_up((k * 7919 % 10007 + 1) / 10008 * ((k % 7 + 1) / 70), sum(1 / k))
     assert [got[i] for i in k] == pytest.approx(want, abs=2e-9)
     for m in (1, 2, 65_536, 65_537, 200_000):
-        assert spark.range(1).select(inference.harmonic(F.lit(m))).first()[0] == sum(1 / i for i in range(1, m + 1))
+        assert spark.range(1).select(inference.harmonic(F.lit(m))).first()[0] == np.cumsum(1 / np.arange(1, m + 1))[-1]
+
+
+def test_equal_shares_add_up_the_same_in_any_number_of_tasks(spark):
+    from lodestrata.operators import graph
+
+    sizes = range(3, 60)
+    edges = [(f"o{n}-{i}", f"c{n}", 0.6) for n in sizes for i in range(n)]
+    frame = spark.createDataFrame(edges, "src string, dst string, confidence double").repartition(16)
+    nodes = frame.select(F.col("src").alias("node")).unionAll(frame.select("dst")).distinct()
+    restart = F.when(F.col("node").startswith("o"), 1.0).otherwise(0.0)
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = {r["node"]: r["mass"] for r in graph.pagerank(frame, nodes, restart, iterations=1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for n in sizes:
+        f = 0.0
+        for _ in range(n):
+            f += 1 / len(edges)
+        assert got[f"c{n}"] == 0.85 * f, n
