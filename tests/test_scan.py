@@ -60,3 +60,21 @@ def test_cells_are_scored_in_stretches(spark, texts, monkeypatch):
     monkeypatch.setattr(scan, "ROWS", 3)  # read where the pass is planned
     monkeypatch.setattr(scan, "CELLS", 60)
     assert ranked(lexical.bm25_plus(lexical.index(*texts), k=6)) == whole
+
+
+def test_late_interaction_leaves_a_task_as_the_best_only(spark, texts, monkeypatch):
+    import numpy as np
+
+    from lodestrata.operators import vector
+
+    docs, asked = texts
+    monkeypatch.setattr(vector, "HELD_CELLS", 400)  # room for few rows, and many stretches
+    top = lexical.kept(vector.word_maxsim(asked, docs, k=6))
+    assert top.count() <= 29 * 6 * 4
+    every = vector.word_maxsim(asked, docs)
+    assert ranked(top) == ranked(every)
+    words = lambda t: [w for w in "".join(c if c.isascii() and (c.isalnum() or c == "_") else " " for c in (t or "").lower()).split()]
+    text, query = {r["doc"]: r["text"] for r in docs.collect()}, {r["qid"]: r["text"] for r in asked.collect()}
+    for r in every.where("doc in (3, 7, 201) and qid in (0, 5, 52)").collect():
+        q, d = (np.array([vector.word_vector(w) for w in words(x)]) for x in (query[r["qid"]], text[r["doc"]]))
+        assert r["score"] == pytest.approx(vector.maxsim_score(q, d))
